@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash
+from . import bpe, langid, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -36,6 +36,34 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    fifth = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5))
+    model = langid.fit(docs.filter(fifth != 0))
+    found = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fifth == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Chain:
+    """The chain over the categories that the labels have: low quality, then toxic."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and decision of each category for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity_chain(spark, docs, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -43,7 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op5_byte_bpe, op10_simhash]
+    own = [op1_sharding, op3_language_id, op4_toxicity, op5_byte_bpe, op7_quality, op10_simhash]
     return {f.__name__: f for f in own}
 
 
