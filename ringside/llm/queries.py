@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, simhash, toxicity
+from . import bpe, langid, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity_chain(spark, docs, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(F.concat("assign", "access", "hex")), 256).alias("base_sha256"),
+        secret_scan.listed(F.concat("assign", "access", "hex", "random")).alias("spans"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -71,7 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op3_language_id, op4_toxicity, op5_byte_bpe, op7_quality, op10_simhash]
+    own = [op1_sharding, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op10_simhash]
     return {f.__name__: f for f in own}
 
 
