@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secret_scan, sharding, simhash, toxicity
+from . import bpe, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of the sources of all documents takes of each."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies", "rate")
+
+
 def vocabulary() -> tuple[dict[bytes, int], str]:
     """The ranks and the split pattern that the byte-level BPE queries take."""
     import public_tokenizers
@@ -83,7 +89,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op10_simhash]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op10_simhash]
     return {f.__name__: f for f in own}
 
 
