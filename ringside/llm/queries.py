@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -82,6 +82,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -89,7 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op10_simhash]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op9_neighbours, op10_simhash]
     return {f.__name__: f for f in own}
 
 
