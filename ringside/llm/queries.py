@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, html_extract, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -82,6 +82,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    weights = html_extract.fit(pages)
+    found = html_extract.main_text(pages.select(F.struct("page_id", "url").alias("page"), "html"), weights, id_col="page")
+    return found.select("id.page_id", "id.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every 20th vector among all others."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -95,7 +103,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op9_neighbours, op10_simhash]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash]
     return {f.__name__: f for f in own}
 
 
