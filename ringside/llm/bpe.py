@@ -34,7 +34,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes and decodes by one vocabulary; keeps the pieces it has met, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 400_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -160,9 +160,6 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-            return
         by: dict[int, list[tuple[str, bytes]]] = {}
         for s in pieces:
             b = s.encode("utf-8", "surrogatepass")
@@ -179,18 +176,19 @@ class Encoder:
                 for (s, _), ids in zip(part, found):
                     self.known[s] = ids.astype("<i4").tobytes()
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers; new pieces are learned at once."""
+        split = [self.find(t) for t in texts]
+        every = set().union(*split)
+        if len(self.known) > self.keep:
+            self.known.clear()
+        self.learn(every.difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in split]
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian 32-bit integers."""
-        pieces = self.find(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = {p for p in set(pieces) if p not in known}
-            self.learn(new)
-            if new and next(iter(new)) not in self.known:  # the store was emptied
-                self.learn(set(pieces))
-            return b"".join([self.known[p] for p in pieces])
+        """The ids of one text."""
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of rows of ids, laid end to end, and each row's number of bytes."""
@@ -232,7 +230,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, pattern)
         for batch in batches:
-            got = [enc.encode(t) for t in batch.column(1).to_pylist()]
+            got = enc.encode_batch(batch.column(1).to_pylist())
             sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
             flat = np.frombuffer(b"".join(got), "<i4")
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))

@@ -28,14 +28,20 @@ def bounded_batches(spark: SparkSession, rows: int = 500, max_bytes: str = "16m"
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", max_bytes)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, which the driver and all executors share.
 
-    The folder is the one that spark.checkpoint.dir names; only where it is unset (tests,
-    one machine) a local one is made.
+    It is the one that spark.checkpoint.dir names; only where that is unset (tests, one
+    machine) a local one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "ringside-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -252,7 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with one row of each group left: that with the smallest id."""
+    """`docs` with one row of each group left: that with the smallest id.
+
+    Of repeated rows with that id and the same text, one is left.
+    """
     groups = near_duplicates(docs, id_col, text_col, **how)
-    first = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__first")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["__first"]), "left_semi")
+    own = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("__first")).agg(F.count("*").alias("__rows"))
+    first = cut(own)
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["__first"]), "left_semi")
+    if first.filter("__rows > 1").isEmpty():
+        return kept
+    return kept.withColumn("__text", F.xxhash64(text_of(text_col))).dropDuplicates([id_col, "__text"]).drop("__text")

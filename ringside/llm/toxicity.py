@@ -209,3 +209,10 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     out = [F.round(F.col("p")[j], 6).alias(f"p_{k}") for j, k in enumerate(chain.categories)]
     told = [(F.col("p")[j] >= F.lit(t)).alias(k) for j, (k, t) in enumerate(zip(chain.categories, chain.thresholds))]
     return found.select("id", *out, *told)
+
+
+def without(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that the chain finds in a category; null texts stay."""
+    j = chain.categories.index(category)
+    scored = docs.withColumn("__ringside_p", scorer(docs.sparkSession, chain)(text_col))
+    return scored.filter(F.col("__ringside_p")[j] < chain.thresholds[j]).select(*[F.col(f"`{c}`") for c in docs.columns])
