@@ -28,6 +28,26 @@ def bounded_batches(spark: SparkSession, rows: int = 500, max_bytes: str = "16m"
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", max_bytes)
 
 
+def drawn(rows: DataFrame, key: str | Column, size: int, salt: str) -> DataFrame:
+    """The first `size` rows in the order of a hash of the key; ties in the hash are broken by it.
+
+    Which rows those are doesn't depend on how the table is partitioned. A count gives the
+    share of hashes that surely holds enough rows, so a task hands on its share of `size` only,
+    however many tasks there are.
+    """
+    at = F.col(key) if isinstance(key, str) else key
+    place = F.pmod(F.xxhash64(at.cast("string"), F.lit(salt)), F.lit(1 << 40))
+    n = rows.count()
+    if n > 4 * size:
+        # ten standard deviations above `size`: missing rows is out of the question, unless
+        # keys repeat; then the whole table is ordered
+        share = (size + 10 * size**0.5 + 100) / n
+        few = rows.filter(place < F.lit(int(share * (1 << 40))))
+        if few.limit(size).count() >= size:
+            rows = few
+    return rows.orderBy(place, at.cast("string")).limit(size)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, which the driver and all executors share.
 

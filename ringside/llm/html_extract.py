@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, drawn, text_of
 
 #: Fixed values of HTML: tags that begin and end a block, whose content is no text, and that have no end.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -302,7 +302,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
         for pdf in batches:
             yield pd.DataFrame({"x": [b.features for h in pdf["html"] for b in blocks(h)[:per_page]]})
 
-    rows = pages.select(F.xxhash64(F.col(id_col).cast("string"), F.lit("html")).alias("draw"), text_of(html_col).alias("html")).orderBy("draw").limit(sample)
+    rows = drawn(pages.select(F.col(id_col).alias("id"), text_of(html_col).alias("html")), "id", sample, "html")
     got = rows.select("html").mapInPandas(extract_features, "x array<double>").toPandas()
     if not len(got):
         return PRIOR.copy()
