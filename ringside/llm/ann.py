@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, drawn
 
 #: Rows of the training sample that the driver may hold, and floats, whichever is less.
 SAMPLE_ROWS, SAMPLE_FLOATS = 16_384, 4_000_000
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, dims: int, centroids: int = 64, k: int = 20, recall: fl
     SAMPLE_FLOATS floats; 200 of them are the queries of the measurement.
     """
     size = max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // max(1, dims)))
-    sample = rows.orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(size).select("v").toPandas()
+    sample = drawn(rows, "id", size, "ann").select("v").toPandas()
     x = np.array(sample["v"].tolist(), float).reshape(len(sample), dims)
     h = dims // 2
     index = Index(_kmeans(x[:, :h], centroids), _kmeans(x[:, h:], centroids))
