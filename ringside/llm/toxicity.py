@@ -6,8 +6,8 @@ it. In training, those are out-of-fold probabilities, so a later model learns ho
 earlier one can be trusted on texts that it has not seen.
 
 Features are present or absent (hashed words and word beginnings), so one insult counts in a
-long text as in a short one. Each model keeps the features whose log-odds differ clearly from
-chance.
+long text as in a short one. Each model keeps the features whose counts in the two classes
+differ by more than chance (a likelihood-ratio test).
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, cut, drawn, text_of
 from .letters import words
 
 BITS = 20
@@ -53,15 +54,16 @@ class Linear:
 
 
 def _select(ptr: np.ndarray, col: np.ndarray, y: np.ndarray, least_z: float, most: int) -> np.ndarray:
-    """Features whose log-odds between the classes are `least_z` standard errors from 0."""
+    """Features whose likelihood-ratio statistic G between the classes has a root of `least_z`."""
     of = np.repeat(y, np.diff(ptr))
     feats, inv = np.unique(col, return_inverse=True)
-    a = np.bincount(inv, weights=of, minlength=len(feats)) + 0.5
-    b = np.bincount(inv, weights=1 - of, minlength=len(feats)) + 0.5
-    n1, n0 = y.sum() + 1, len(y) - y.sum() + 1
-    z = (np.log(a / (n1 - a)) - np.log(b / (n0 - b))) / np.sqrt(1 / a + 1 / (n1 - a) + 1 / b + 1 / (n0 - b))
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return feats[best[np.abs(z[best]) >= least_z]]
+    a = np.bincount(inv, weights=of, minlength=len(feats))
+    b = np.bincount(inv, weights=1 - of, minlength=len(feats))
+    n1, n0 = y.sum(), len(y) - y.sum()
+    f = lambda x: x * np.log(np.maximum(x, 1.0))
+    z = np.sqrt(np.maximum(0.0, 2 * (f(a) + f(b) + f(n1 - a) + f(n0 - b) - f(a + b) - f(n1 + n0 - a - b) - f(n1) - f(n0) + f(n1 + n0))))
+    best = np.argsort(-z, kind="stable")[:most]
+    return feats[best[z[best] >= least_z]]
 
 
 def _fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, least_z: float = 3.0, most: int = 8192, ridge: float = 1.0, rounds: int = 150) -> Linear:
@@ -122,22 +124,21 @@ class Chain:
         return self._all
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], folds: int = 5) -> Chain:
-    """Fit the models in order; rows are dealt to folds by their position."""
-    fold = np.arange(len(rows)) % folds
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], fold: np.ndarray, least_z: float = 3.0, most: int = 8192) -> Chain:
+    """Fit the models in order; fold has the fold of each row."""
     before = np.zeros((len(rows), 0))
     models, thresholds = [], []
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
         out = np.zeros(len(rows))
-        for f in range(folds):
+        for f in np.unique(fold):
             test = np.flatnonzero(fold == f)
             train = np.flatnonzero(fold != f)
-            m = _fit([rows[k] for k in train], before[train], y[train])
+            m = _fit([rows[k] for k in train], before[train], y[train], least_z, most)
             for k in test:
                 out[k] = m.margin(set(rows[k].tolist()), list(before[k]))
         p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-        models.append(_fit(rows, before, y))
+        models.append(_fit(rows, before, y, least_z, most))
         thresholds.append(_threshold(p, y))
         before = np.c_[before, p]
     return Chain(categories, models, thresholds)
@@ -156,35 +157,66 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((q[best] + q[best + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000) -> Chain:
+def _telling(each: DataFrame, names: list[str], folds: int, least_z: float, most: int) -> DataFrame:
+    """(feature): at most `most` of a category, with the largest z, from `least_z`, in some training.
+
+    A training has all rows, or all but one fold. each: (fold, 0/1 of each category, features). Counts of a training are those of all rows
+    less those of its fold, so one aggregation serves all of them.
+    """
+    sizes = each.groupBy("fold").agg(F.count("*").alias("rows"), *[F.sum(k).alias(f"y_{k}") for k in names]).collect()  # a row for each fold
+    has = each.select("fold", *names, F.explode("features").alias("feature")).groupBy("feature", "fold").agg(F.count("*").alias("rows"), *[F.sum(k).alias(f"y_{k}") for k in names])
+    wide = has.groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}_{f}") for f in range(folds) for c in ("rows", *(f"y_{k}" for k in names))])
+    total = lambda c, f: reduce(Column.__add__, [F.col(f"{c}_{g}") for g in range(folds) if g != f])
+    whole = lambda c, f: sum(r[c] for r in sizes if r["fold"] != f)
+    g = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    chosen = []
+    wide = cut(wide)
+    for k in names:
+        found = []
+        for f in range(-1, folds):
+            a, n1 = total(f"y_{k}", f).cast("double"), float(whole(f"y_{k}", f))
+            n, b = float(whole("rows", f)), total("rows", f) - a
+            cells = g(a) + g(b) + g(n1 - a) + g(n - n1 - b) - g(a + b) - g(n - a - b) - g(F.lit(n1)) - g(F.lit(n - n1)) + g(F.lit(n))
+            found.append(F.sqrt(F.greatest(F.lit(0.0), 2 * cells)))
+        told = wide.select("feature", F.greatest(*found, F.lit(0.0)).alias("z")).filter(F.col("z") >= least_z * - 1e-6)
+        chosen.append(told.orderBy(F.desc("z"), "feature").limit(most).select("feature"))
+    return reduce(DataFrame.union, chosen).distinct()
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", per_class: int = 2500, folds: int = 5, least_z: float = 3.0, most: int = 2048) -> Chain:
     """Fit a chain on a bounded sample of labelled documents.
 
     categories: name to a 0/1 column of `labels`, in chain order (null counts as 0). The
-    sample has at most `per_class` labels for each category, and as many of rows without any,
-    the first in the order of a hash of the id: that bounds what is broadcast (ids) and what
-    the driver gets (features of those texts). Labels of unknown documents are ignored; of
-    several labels of a document the largest count.
+    sample has at most `per_class` labels for each category, and twice as many of rows without
+    any, the first in the order of a hash of the id. Labels of unknown documents are ignored; of
+    several labels of a document the largest count. Which features tell anything is found by
+    Spark; the driver gets those of the sampled texts only, and of at most `most` features for each category.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     names = list(categories)
     flags = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(k) for k, c in categories.items()])
-    draw = [F.xxhash64(F.col("__id"), F.lit("toxicity")), F.col("__id")]
     parts = [flags.filter(F.col(k) == 1) for k in names] + [flags.filter(" and ".join(f"`{k}` = 0" for k in names))]
-    sample = parts[0].orderBy(*draw).limit(per_class)
-    for p in parts[1:]:
-        sample = sample.union(p.orderBy(*draw).limit(per_class))
-    sample = sample.groupBy("__id").agg(*[F.max(k).alias(k) for k in names])
-    kind = [f"`{k}` int" for k in names]
+    sample = reduce(DataFrame.union, [drawn(p, "__id", per_class * (1 + (p is parts[-1])), "toxicity") for p in parts])
+    sample = cut(sample.groupBy("__id").agg(*[F.max(k).alias(k) for k in names]))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.drop(columns="text").assign(features=[features(t) for t in pdf["text"]])
 
-    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "__id").withColumn("draw", draw[0])
-    got = rows.select("draw", "__id", *names, "text").mapInPandas(extract, ", ".join(["draw long", f"`__id` {docs.schema[id_col].dataType.simpleString()}", *kind, "features array<int>"])).toPandas()
-    got = got.sort_values(["draw", "__id"], kind="stable").drop_duplicates("__id")
-    return fit_chain([np.asarray(f, np.int32) for f in got["features"]], got[names].to_numpy(), names)
+    # the sample has a fixed number of ids at most
+    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(folds)).cast("int"))
+    each = rows.select("__id", "fold", *names, "text").mapInPandas(extract, f"`__id` {kind}, fold int, " + ", ".join(f"`{k}` int" for k in names) + ", features array<int>")
+    each = cut(each.groupBy("__id").agg(*[F.max(c).alias(c) for c in ("fold", *names, "features")]))
+    if each.isEmpty():
+        return Chain(names, [_fit([], np.zeros((0, j)), np.zeros(0)) for j in range(len(names))], [0.5] * len(names))
+    telling = cut(_telling(each, names, folds, least_z, most))
+    met = each.select("__id", F.explode("features").alias("feature")).join(F.broadcast(telling), "feature").groupBy("__id").agg(F.array_sort(F.collect_list("feature")).alias("features"))
+    got = each.drop("features").join(met, "__id", "left").toPandas().sort_values("__id", kind="stable")
+    none = np.zeros(0, np.int32)
+    return fit_chain([none if f is None else np.asarray(f, np.int32) for f in got["features"]], got[names].to_numpy(), names, got["fold"].to_numpy(), least_z, most)
 
 
 def scorer(spark, chain: Chain):
