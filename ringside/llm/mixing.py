@@ -9,17 +9,18 @@ doesn't move the languages with it. The convex dual has a variable for every sou
 class, and its solution is an exponential tilt: rate = min(cap, exp(source + class)).
 
 The dual is solved by Newton steps in turn on the two blocks of variables; within a block the
-Hessian is diagonal, so a step is one distributed aggregation and no matrix is needed,
-however many sources there are. Documents of one source and class have the same tilt, so the
+Hessian is diagonal, so no matrix is needed, however many sources there are, and a round is
+one distributed aggregation. Documents of one source and class have the same tilt, so the
 iterations run on their token sums.
 
 Rates become whole copies by systematic rounding along the documents of a source in the order
 of size, with exact integer running sums: the copies of every stretch stay within one of its
-rates. What is still off the target is made up by single copies of single documents.
+rates. What is still off the target is made up by single copies of single documents, more or less.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .common import WORD_REGEX, cut, text_of
 
 GRID = 1 << 20  # rates are whole multiples of 1 / GRID
 SALTS = 64
+CLASSES = 1024  # values of keep_col share so many classes at most (by a hash)
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -55,59 +57,97 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), c
     return rows.withColumn("fits", fits).select("source", "source_size", F.coalesce(F.least("most", F.col("fits.level") * F.col("weight")), F.col("most")).alias("target"))
 
 
-def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def _level(target: float, mass: np.ndarray, tilt: np.ndarray, cap: float) -> float:
+    """x for which sum(mass * min(x * tilt, cap)) is the target: exact Newton steps on its dual variable.
+
+    The sum is piecewise linear and concave in x, so steps from below never overshoot, and
+    there are as many pieces as classes.
+    """
+    x = 0.0
+    for _ in range(len(mass) + 2):
+        free = x * tilt < cap * (1 - 1e-12)
+        slope = float((mass * tilt)[free].sum())
+        left = target - float((mass * np.minimum(x * tilt, cap)).sum())
+        if slope <= 0 or left <= 1e-12 * max(1.0, target):
+            break
+        x += left / slope
+    return x
+
+
+def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float, rounds: int = 40, tolerance: float = 1e-5) -> DataFrame:
     """(source, class, rate) from (source, class, tokens) and (source, target).
 
-    All keys are non-null strings. keep_weight 0 leaves the classes free.
+    All keys are non-null strings. keep_weight 0 leaves the classes free. There are at most
+    CLASSES classes, so their dual variables are on the driver; those of the sources never
+    are. Each Newton step on the classes is one distributed aggregation: every source solves
+    its own constraint under the classes' tilts, and what it takes of each class is summed.
     """
-    cells = cut(cells)
-    shares = cut(cells.groupBy("class").agg(F.sum("tokens").cast("double").alias("share")).withColumn("mu", F.lit(0.0)))
-    sums = cells.groupBy("source").agg(F.sum("tokens").alias("all"))
-    scale = cut(targets.join(sums, "source").withColumn("x", F.when(F.col("all") > 0, F.least(F.lit(cap), F.col("target") / F.col("all"))).otherwise(F.lit(1.0))).drop("all"))
-    for _ in range(rounds):
-        # sources: Newton on x = exp(variable); the constraint is piecewise linear and concave
-        # in x, so steps from below never overshoot
-        met = cells.join(shares, "class").join(scale, "source")
-        rate = F.col("x") * F.exp("mu")
-        block = met.groupBy("source").agg(
-            F.sum(F.col("tokens") * F.least(rate, F.lit(cap))).alias("got"),
-            F.sum(F.when(rate < cap, F.col("tokens") * F.exp("mu")).otherwise(0.0)).alias("slope"),
-        )
-        step = F.when(F.col("slope") > 0, (F.col("target") - F.col("got")) / F.col("slope")).otherwise(F.lit(0.0))
-        new = scale.join(block, "source").select("source", "target", F.greatest(F.col("x") + step, F.col("x") / 8).alias("x"), (F.abs(F.col("got") - F.col("target")) / F.greatest("target", F.lit(1e-9))).alias("off"))
-        scale = cut(new)
-        off = scale.agg(F.max("off")).first()[0] or 0.0
-        scale = scale.drop("off")
+    cells = cut(cells.join(targets, "source"))
+    shares = {r["class"]: float(r["share"] or 0) for r in cells.groupBy("class").agg(F.sum("tokens").alias("share")).collect()}
+    mu = dict.fromkeys(shares, 0.0)
+
+    def rates(pdf: pd.DataFrame, mu: dict[str, float]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("class", kind="stable")
+        mass, tilt = pdf["tokens"].to_numpy(float), np.exp([mu[c] for c in pdf["class"]])
+        x = _level(float(pdf["target"].iloc[0]), mass, tilt, cap) if mass.sum() > 0 else 1.0
+        return pdf, mass, x * tilt
+
+    def taken(mu: dict[str, float]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, mass, rate = rates(pdf, mu)
+            return pd.DataFrame({"class": pdf["class"], "got": mass * np.minimum(rate, cap), "curve": np.where(rate < cap, mass * rate, 0.0)})
+
+        return run
+
+    for _ in range(rounds if keep_weight > 0 else 0):
+        got = cells.groupBy("source").applyInPandas(taken(dict(mu)), "class string, got double, curve double").groupBy("class").agg(F.sum("got").alias("got"), F.sum("curve").alias("curve")).collect()
         moved = 0.0
-        if keep_weight > 0:
-            met = cells.join(shares, "class").join(scale, "source")
-            rate = F.col("x") * F.exp("mu")
-            block = met.groupBy("class").agg(
-                F.sum(F.col("tokens") * F.least(rate, F.lit(cap))).alias("got"),
-                F.sum(F.when(rate < cap, F.col("tokens") * rate).otherwise(0.0)).alias("curve"),
-            )
-            stiff = keep_weight * F.col("share")
-            step = (F.col("share") - F.col("got") - stiff * F.col("mu")) / F.greatest(F.col("curve") + stiff, F.lit(1e-9))
-            step = F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))
-            shares = cut(shares.join(block, "class").select("class", "share", (F.col("mu") + step).alias("mu"), F.abs(step).alias("moved")))
-            moved = shares.agg(F.max("moved")).first()[0] or 0.0
-            shares = shares.drop("moved")
-        if off < tolerance and moved < 1e-4:
+        for r in got:
+            share = shares[r["class"]]
+            stiff = keep_weight * share
+            step = (share - r["got"] - stiff * mu[r["class"]]) / max(r["curve"] + stiff, 1e-9)
+            step = max(-1.0, min(1.0, step))
+            mu[r["class"]] += step
+            moved = max(moved, abs(step))
+        if moved < tolerance:
             break
-    return cells.join(shares, "class").join(scale, "source").select("source", "class", F.least(F.col("x") * F.exp("mu"), F.lit(cap)).alias("rate"))
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, rate = rates(pdf, mu)
+        return pd.DataFrame({"source": pdf["source"], "class": pdf["class"], "rate": np.minimum(rate, cap)})
+
+    return cells.groupBy("source").applyInPandas(final, "source string, class string, rate double")
 
 
 def _make_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Single copies that bring one source nearer to its target, large documents first."""
-    left = float(pdf["left"].iloc[0])
-    sign = 1 if left > 0 else -1
-    rows = pdf[pdf["sign"] == sign].sort_values(["size", "digest"], ascending=[False, True], kind="stable")
-    out = []
-    for key, size in zip(rows[["source", "band", "salt", "place"]].itertuples(index=False, name=None), rows["size"]):
-        # the last one may pass the target if it ends nearer to it
-        if 0 < size <= abs(left) or (size > abs(left) and size - abs(left) < abs(left) and size == rows["size"].min()):
-            out.append((*key, sign))
-            left -= sign * size
+    """Single copies, one more or one less, that bring one source nearer to its target.
+
+    In each step the one change, or the two, that leave the least are made, until nothing is
+    gained; a document changes by one copy at most.
+    """
+    rows = pdf.sort_values(["size", "sign", "digest", "band", "salt", "place"], kind="stable")
+    left, keys = float(rows["left"].iloc[0]), rows[["source", "band", "salt", "place"]].to_numpy()
+    moves, sign = (rows["size"] * rows["sign"]).to_numpy(np.int64), rows["sign"].to_numpy()
+    open_, out = np.ones(len(rows), bool), []
+    for _ in range(500):
+        at = np.flatnonzero(open_)
+        at = at[np.argsort(moves[at], kind="stable")]
+        v = moves[at]
+        if not len(v):
+            break
+        one = int(np.abs(v - left).argmin())
+        partner = np.minimum(np.searchsorted(v, left - v), len(v) - 1)
+        below = np.maximum(partner - 1, 0)
+        partner = np.where(np.abs(left - v - v[below]) <= np.abs(left - v - v[partner]), below, partner)
+        miss = np.where(partner == np.arange(len(v)), np.inf, np.abs(left - v - v[partner]))
+        two = int(miss.argmin())
+        best = [one] if abs(left - v[one]) <= miss[two] else [two, int(partner[two])]
+        if abs(left - v[best].sum()) >= abs(left) - 1e-9:
+            break
+        left -= float(v[best].sum())
+        for k in at[best]:
+            out.append((*keys[k], int(sign[k])))
+            open_ &= ~(keys[:, 1:] == keys[k, 1:]).all(axis=1)
     return pd.DataFrame(out, columns=["source", "band", "salt", "place", "more"])
 
 
@@ -120,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     copy each. An empty table gives an empty result; other columns are ignored.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
-    group = key(F.col(keep_col)) if keep_col else F.lit("n")
+    group = F.pmod(F.xxhash64(key(F.col(keep_col))), F.lit(CLASSES)).cast("string") if keep_col else F.lit("n")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), key(F.col(source_col)).alias("source"), group.alias("class"), word_count(text_col).alias("size"))
     units = cut(rows.groupBy("id", "text_hash", "source", "class", "size").agg(F.count("*").alias("times")))
     mass = F.col("size") * F.col("times")
@@ -129,11 +169,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     named = sizes.withColumn("source", F.when(F.col("source") != "n", F.substr(F.col("source"), F.lit(2))))
     targets = cut(source_targets(named, weights, float(cap)).withColumn("source", key(F.col("source"))))
     rates = tilts(cells, targets.select("source", "target"), float(cap), keep_weight if keep_col else 0.0)
-    rates = rates.withColumn("grid", F.round(F.col("rate") * GRID).cast("long")).drop("rate")
+    rates = cut(rates.withColumn("grid", F.round(F.col("rate") * GRID).cast("long")).drop("rate"))
 
     digest = F.xxhash64(F.col("id").cast("string"), F.col("text_hash"))
     band = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
-    own = units.join(F.broadcast(rates) if keep_col is None else rates, ["source", "class"])
+    own = units.join(rates, ["source", "class"])
     own = own.withColumns({"digest": digest, "band": band}).withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int"))
     own = cut(own)
     # running sums of rates: of whole (band, salt) groups first, then within one
