@@ -256,7 +256,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Of repeated rows with that id and the same text, one is left.
     """
-    groups = near_duplicates(docs, id_col, text_col, **how)
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the first row of each group left; groups: (id, component_id) of every row."""
     own = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("__first")).agg(F.count("*").alias("__rows"))
     first = cut(own)
     kept = docs.join(first, docs[id_col].eqNullSafe(first["__first"]), "left_semi")
