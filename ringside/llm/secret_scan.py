@@ -6,8 +6,8 @@ the log-likelihood of its character pairs under a model of random strings, less
 model of ordinary identifiers, per pair. Runs above the threshold are spans of kind `random`.
 
 Both models are counts of character pairs in labelled samples: random strings are digests
-written in the usual alphabets, identifiers are words of the corpus, alone and joined as
-identifiers are. A model is a table of (number of characters)^2 figures, so it goes into the
+written in the usual alphabets, ordinary ones are runs of the corpus
+as they stand, its words joined as identifiers are, and numbers, dates and rules. A model is a table of (number of characters)^2 figures, so it goes into the
 plan as a literal. Nothing here runs Python on the executors.
 
 Spark has no function that gives the places of all matches. They follow from splitting the
@@ -87,16 +87,27 @@ def random_samples(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.lit(1).alias("label"), text.alias("text"))
 
 
-def identifier_samples(docs: DataFrame, text_col: str, key_col: str, n: int) -> DataFrame:
-    """Words of about n documents labelled 0, alone and joined as identifiers are.
+def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int) -> DataFrame:
+    """Ordinary runs of about n documents labelled 0.
 
-    The documents are drawn by a hash of the key. Only words of ALPHABET's letters count; the
-    words of one document beyond the first 200 are left out of this training sample.
+    The documents are drawn by a hash of the key. Each gives its own runs of ALPHABET, without
+    what the fixed patterns match; its words, joined as identifiers are; and for as many words,
+    numbers and dates, alone and in names, and rules of each separator and each two. The runs
+    and words of one document beyond the first 200 are left out of this training sample.
     """
     total = F.lit(max(1, docs.count()))
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("secrets")), F.lit(1 << 30)) / (1 << 30)
-    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"\b[A-Za-z]{2,}\b"), F.lit(0)), 1, 200)
-    rows = docs.withColumn("__draw", draw).filter(F.col("__draw") < F.lit(n) / total).select(text_of(text_col).alias("text")).select(words.alias("w"))
+    found = lambda text, pattern: F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, 200)
+    text = F.col("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        text = F.regexp_replace(text, pattern, " ")
+    rows = docs.withColumn("__draw", draw).filter(F.col("__draw") < F.lit(n) / total).select(text_of(text_col).alias("text"))
+    rows = rows.select(found(F.col("text"), r"\b[A-Za-z]{2,}\b").alias("w"), found(text, r"[A-Za-z0-9+/_=-]{2,}").alias("own"))
+    some = lambda x, k, salt, m: F.pmod(F.xxhash64(x, k, F.lit(salt)), F.lit(m))
+    day = lambda x, k: F.date_add(F.lit("1990-01-01").cast("date"), some(x, k, "day", 20_000).cast("int"))
+    number = lambda x, k: F.lpad(some(x, k, "number", 10**9).cast("string"), 9, "0")
+    date = lambda mark: lambda x, k: F.date_format(day(x, k), f"yyyy{mark}MM{mark}dd")
+    dated = lambda mark: lambda x, k: F.concat(F.lower(x), F.lit(mark), F.date_format(day(x, k), "yyyyMMdd"), F.lit(mark), F.substring(number(x, k), 1, 6))
     joined = F.array(
         F.array_join("w", "_"),
         F.array_join("w", "-"),
@@ -104,19 +115,24 @@ def identifier_samples(docs: DataFrame, text_col: str, key_col: str, n: int) ->
         F.array_join(F.transform("w", lambda s: F.lower(s)), ""),
         F.array_join(F.transform("w", lambda s: F.initcap(s)), ""),
         F.upper(F.array_join("w", "_")),
+        F.array_join(F.transform("w", number), ""),
+        *[F.array_join(F.transform("w", date(m)), m) for m in "-/_"],
+        *[F.array_join(F.transform("w", dated(m)), m) for m in "-/_"],
     )
-    return rows.select(F.lit(0).alias("label"), F.explode(joined).alias("text"))
+    marks = "+/_-="
+    rules = F.array(*[F.repeat(F.lit(a + b), F.size("w")) for a in marks for b in marks])
+    return rows.select(F.lit(0).alias("label"), F.explode(F.concat("own", joined, rules)).alias("text"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", n: int = 300, threshold: float = 0.6) -> Markov:
-    """Count the labelled samples (20 n digests, and words of about n documents).
+    """Count the labelled samples (20 n digests, and ordinary runs of about n documents).
 
     The samples are bounded by n; the driver gets len(ALPHABET)^2 counts of each label.
     threshold: mean log ratio of a pair from which a run counts as random.
     """
     import math
 
-    samples = random_samples(docs.sparkSession, 20 * n).union(identifier_samples(docs, text_col, key_col, n))
+    samples = random_samples(docs.sparkSession, 20 * n).union(ordinary_samples(docs, text_col, key_col, n))
     size = len(ALPHABET)
     counts = [[0.5] * (size * size) for _ in range(2)]
     for r in _pair_counts(samples).collect():

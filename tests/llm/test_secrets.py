@@ -68,3 +68,21 @@ def test_many_matches_in_one_text(spark):
     text = "token=abcdefgh1 " * 5000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert len(secret_scan.scan(docs, secret_scan.fit(docs)).first()["assign"]) == 5000
+
+
+ORDINARY = [
+    "-" * 20, "_" * 40, "=" * 24, "/" * 30, "+" + "-----+" * 5, "-=" * 15, "12345678901234567890", "3141592653589793238462643383279",
+    "2024-01-15-2024-01-15", "2024/01/15/2023/12/31/", "img-20240115-123456-001", "report_2023-11-30_final_v2", "backup/2024/01/15/daily-0001", "this_is_an_ordinary_name",
+]
+RANDOM = ["x7Gq2LpZ9vT4mKc8RwY1bN5sHd3FjQ6a", "QmFzZTY0+x9Zk3pV/7tRw2LsYhUe8Dn", "K7QX2MZP9RTV4W8YB3NC6HJD", "9f86d081884c7d659a2feaa0c5", "zq8vkx3wj5tb7mn2ph6rc9fd4gs"]
+
+
+def test_rules_dates_and_numbers_are_no_secrets(spark, small):
+    english = spark.createDataFrame([(k, "this is an ordinary text of some words with names and things that are written here " * 20) for k in range(50)], "doc_id long, text string")
+    for docs in (english, spark.read.parquet(f"{small}/documents.parquet")):
+        model = secret_scan.fit(docs)
+        rows = spark.createDataFrame([(k, f"see {x} here") for k, x in enumerate(ORDINARY + RANDOM)], "doc_id long, text string")
+        found = {r.id for r in secret_scan.scan(rows, model).collect() if r["random"]}
+        assert found == set(range(len(ORDINARY), len(ORDINARY + RANDOM)))
+        kept = {r.doc_id: r.text for r in secret_scan.redact(rows, model).collect()}
+        assert all(kept[k] == f"see {x} here" for k, x in enumerate(ORDINARY))
