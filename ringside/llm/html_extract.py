@@ -30,7 +30,7 @@ from .common import bounded_batches, drawn, text_of
 
 #: Fixed values of HTML: tags that begin and end a block, whose content is no text, and that have no end.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN_TAGS = frozenset("script style noscript template iframe svg math head title textarea select button object canvas audio video noframes".split())
+HIDDEN_TAGS = frozenset("script style noscript template iframe svg title textarea select button object canvas audio video noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title noframes iframe".split())
 #: Words of class and id attributes that mark boilerplate, and content.
@@ -113,8 +113,9 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         tag, close = tag.lower(), m["close"] or m["close2"]
+        attrs = m["attrs"] or m["attrs2"] or ""
         if hidden:
-            if tag == hidden_tag:
+            if tag == hidden_tag and (close or not attrs.endswith("/")):
                 hidden += -1 if close else 1
             continue
         if close:
@@ -131,12 +132,14 @@ def blocks(html: str) -> list[Block]:
             elif tag == "br":
                 say(" ")
             continue
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if attrs.endswith("/") and tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS:
+        if tag == "head":  # its end tag may be left out; what may stand in it has no text of its own
+            flush()
+            continue
+        if attrs.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
-        if tag in RAW_TAGS:  # up to its own end tag, whatever is between
+        if tag in RAW_TAGS:  # up to its own end tag, whatever is between; a slash ends it only if there is none
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            at = end.end() if end else at if attrs.endswith("/") else len(html)
             continue
         if tag in HIDDEN_TAGS:
             hidden, hidden_tag = 1, tag

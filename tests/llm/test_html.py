@@ -46,3 +46,21 @@ def test_awkward_pages(spark):
     assert {r.id: r.text for r in got.collect()}[0] == ""
     assert html_extract.main_text(pages.limit(0), weights).count() == 0
     assert (html_extract.fit(pages.limit(0)) == html_extract.PRIOR).all()
+
+
+def test_omitted_and_empty_ends():
+    said = lambda page: [b.text for b in html_extract.blocks(page)]
+    article = "<article><p>The text of the page, at length.</p></article>"
+    assert said(f"<html><head><title>x</title><script>var a = '<body><p>no</p>';</script><noscript><p>no</p></noscript><body>{article}") == ["The text of the page, at length."]
+    assert said(f"<head><meta charset=utf-8><link rel=a href=b>{article}") == ["The text of the page, at length."]
+    assert said(f"<body><svg width='1'/>{article}<svg/><svg><text>no</text><svg/></svg><p>After.") == ["The text of the page, at length.", "After."]
+    assert said(f"<body><object data='x'/>{article}<script src='x'/>") == ["The text of the page, at length."]
+    assert said(f"<body><iframe src='x'/>{article}") == ["The text of the page, at length."]
+    assert said("<article><p>As <math><mi>a</mi><mo>=</mo><mn>1</mn></math> says.</p></article>") == ["As a=1 says."]
+
+
+def test_pages_without_the_end_of_head(spark):
+    pages = [f"<html><head><title>x</title><body><svg/><article><h1>A title</h1><p>The text of page {k}, which goes on at some length, as texts do.</p></article>" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.id: r.text for r in html_extract.main_text(docs, html_extract.PRIOR).collect()}
+    assert got == {k: f"A title\nThe text of page {k}, which goes on at some length, as texts do." for k in range(3)}
