@@ -3,7 +3,7 @@
 A text's vector holds its letter n-grams (1 to 3, hashed to `dims` places) with sublinear
 term frequency times inverse document frequency, scaled to length 1. Each language has
 several centroids, clustered by spherical k-means on a bounded sample of labelled texts; the
-nearest by cosine gives the language. A text farther from it than the cluster's own
+document frequencies are those of all labelled texts. The nearest by cosine gives the language. A text farther from it than the cluster's own
 texts reach is marked as rejected.
 """
 
@@ -89,11 +89,33 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return c, x @ c.T
 
 
+def document_counts(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
+    """(texts with a letter, how many of them have each place) over all rows of (text).
+
+    A task adds up its texts, and the driver gets dims + 1 rows.
+    """
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(dims + 1, np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                places = ngram_counts(t, dims)[0]
+                total[places] += 1
+                total[dims] += len(places) > 0
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"place": at, "n": total[at]})
+
+    out = np.zeros(dims + 1)
+    for r in rows.select("text").mapInPandas(counts, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out[r["place"]] = r["n"]
+    return int(out[dims]), out[:dims]
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 1 << 13) -> Centroids:
     """Fit on a sample of about `per_language` labelled texts of each language.
 
-    The sample is drawn by a hash of key_col, so reruns agree. It is the only data that the
-    driver gets: per_language x languages sparse vectors of at most `dims` entries, with at
+    The sample is drawn by a hash of key_col, so reruns agree. Beside counts of the places of
+    all labelled texts, it is the only data that the driver gets: per_language x languages sparse vectors of at most `dims` entries, with at
     most MOST_LANGUAGES languages. Rows without a language, a text or a letter teach nothing;
     without any row left, every text is UNKNOWN.
     """
@@ -115,10 +137,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     sample = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")))
     got = sample.select("lang", "draw", "text").mapInPandas(vectors, "lang string, draw double, places array<int>, counts array<double>").toPandas()
     got = got[got["places"].map(len) > 0].sort_values(["lang", "draw"], kind="stable").groupby("lang").head(2 * per_language)
-    df = np.zeros(dims)
-    for p in got["places"]:
-        df[np.asarray(p)] += 1
-    model = Centroids(dims, np.log((1 + len(got)) / (1 + df)) + 1, np.zeros((dims, 0)), [], np.zeros(0))
+    n, df = document_counts(rows, dims)
+    model = Centroids(dims, np.log((1 + n) / (1 + df)) + 1, np.zeros((dims, 0)), [], np.zeros(0))
     found, reach = [], []
     for lang, own in got.groupby("lang", sort=True):
         x = np.zeros((len(own), dims))

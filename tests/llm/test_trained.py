@@ -125,3 +125,11 @@ def test_quality_of_awkward_rows(spark):
         got = {r.id: r for r in quality.assess(docs, model).collect()}
         assert got[3].n_words == 0 and got[3].base_failed and got[8].n_words == 30_000 and got[8].base_failed
         assert quality.assess(docs.limit(0), model).count() == 0
+
+
+def test_document_frequencies_are_of_all_labelled_texts(spark):
+    texts = [f"{'abcdefgh'[k % 8]}{'ijklm'[k % 5]} word {k}" for k in range(60)] + ["12 !", None]
+    docs = spark.createDataFrame([(k, t, "en" if k % 2 else "de") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, per_language=5, dims=1 << 10)
+    df = Counter(p for t in texts if t for p in langid.ngram_counts(t, 1 << 10)[0].tolist())
+    assert np.allclose(model.idf, [math.log(61 / (1 + df[p])) + 1 for p in range(1 << 10)])
