@@ -178,7 +178,7 @@ def _telling(each: DataFrame, names: list[str], folds: int, least_z: float, most
             n, b = float(whole("rows", f)), total("rows", f) - a
             cells = g(a) + g(b) + g(n1 - a) + g(n - n1 - b) - g(a + b) - g(n - a - b) - g(F.lit(n1)) - g(F.lit(n - n1)) + g(F.lit(n))
             found.append(F.sqrt(F.greatest(F.lit(0.0), 2 * cells)))
-        told = wide.select("feature", F.greatest(*found, F.lit(0.0)).alias("z")).filter(F.col("z") >= least_z * - 1e-6)
+        told = wide.select("feature", F.greatest(*found, F.lit(0.0)).alias("z")).filter(F.col("z") >= least_z - 1e-6)
         chosen.append(told.orderBy(F.desc("z"), "feature").limit(most).select("feature"))
     return reduce(DataFrame.union, chosen).distinct()
 
