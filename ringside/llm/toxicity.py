@@ -183,7 +183,7 @@ def _telling(each: DataFrame, names: list[str], folds: int, least_z: float, most
     return reduce(DataFrame.union, chosen).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", per_class: int = 2500, folds: int = 5, least_z: float = 3.0, most: int = 2048) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, folds: int = 5, least_z: float = 3.0, most: int = 8192) -> Chain:
     """Fit a chain on a bounded sample of labelled documents.
 
     categories: name to a 0/1 column of `labels`, in chain order (null counts as 0). The
