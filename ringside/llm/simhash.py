@@ -11,8 +11,9 @@ of that many blocks. Buckets with one member end there; large ones are cut into
 each pair of chunks is a comparison of its own, so no bucket has to fit into a task. A
 comparison stores its fingerprints as bit planes (plane k holds bit k of 64 fingerprints in
 a word), adds the planes that differ with carry-save counters, 64 distances at a time, and
-abandons a word once all its distances exceed the radius. Each comparison returns a spanning
-forest of its links, never all pairs. The forests are contracted to components by repeated
+abandons a word once all its distances exceed the radius; there are as many counters as the
+radius has binary digits, and a fingerprint may be several words wide (see near_copies). Each
+comparison returns a spanning forest of its links, never all pairs. The forests are contracted to components by repeated
 minimum-neighbour hooking with pointer jumping on the distinct fingerprints.
 """
 
@@ -53,9 +54,21 @@ def fingerprint(text: str, width: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 15):  # bounded memory for very long texts
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])]
-        bits = np.unpackbits(np.array(part, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += bit_counts(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 15)], stops[at : at + (1 << 15)])], np.uint64))
+    return majority(counts, n)
+
+
+def bit_counts(digests: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit numbers have each bit set, the highest bit first."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(digests), 1 << 15):
+        part = digests[at : at + (1 << 15)].astype(">u8").view(np.uint8)
+        counts += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The number whose bits are those that over half of n numbers have."""
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -78,13 +91,27 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def _beyond(counts: list[np.ndarray], radius: int, none: np.ndarray) -> np.ndarray:
+    """The lanes whose binary counters (lowest digit first) exceed the radius."""
+    more, same = none, ~none
+    for k in range(len(counts) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counts[k]
+        else:
+            more, same = more | (same & counts[k]), same & ~counts[k]
+    return more
+
+
 def bit_sliced_links(fp: np.ndarray, group: np.ndarray, asks: np.ndarray, told: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (i, j) of the same group within `radius`, i among `asks`, j among `told`.
 
-    fp: uint64; group: non-decreasing; asks, told: boolean. Every word of a bit plane holds
-    the same bit of up to 64 `told` rows of one group. All (row, word) combinations of a
-    group are updated together; two planes enter the counters at a time by a full adder.
+    fp: uint64, one or several words a row; group: non-decreasing; asks, told: boolean. Every
+    word of a bit plane holds the same bit of up to 64 `told` rows of one group. All (row, word)
+    combinations of a group are updated together; two planes enter the counters at a time by a
+    full adder, and carries go up the counters' digits. What leaves the highest digit is beyond
+    the radius for good.
     """
+    fp = fp.reshape(len(fp), -1)
     none = np.zeros(0, np.int64)
     rows = np.flatnonzero(told)
     if not len(rows):
@@ -97,9 +124,11 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, asks: np.ndarray, told:
     word_group = g[opens]
     shift = (lane % 64).astype(np.uint64)
     one = np.uint64(1)
-    planes = np.empty((BITS, len(opens)), np.uint64)
-    for k in range(BITS):
-        planes[k] = np.bitwise_or.reduceat(((fp[rows] >> np.uint64(k)) & one) << shift, opens)
+    bit_of = lambda at, k: (fp[at, k // BITS] >> np.uint64(k % BITS)) & one
+    bits = BITS * fp.shape[1]
+    planes = np.empty((bits, len(opens)), np.uint64)
+    for k in range(bits):
+        planes[k] = np.bitwise_or.reduceat(bit_of(rows, k) << shift, opens)
     fill = np.bitwise_or.reduceat(one << shift, opens)
     # every asking row meets every word of its group
     ask = np.flatnonzero(asks)
@@ -107,29 +136,33 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, asks: np.ndarray, told:
     n = hi - lo
     who = np.repeat(ask, n)
     word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    ones = np.zeros(len(who), np.uint64)
-    twos, over = ones.copy(), ~fill[word]
     zero = np.uint64(0)
-    # counts 0..3 live in (twos, ones); over marks lanes beyond the radius
-    for k in range(0, BITS, 2):
-        a = planes[k][word] ^ (zero - ((fp[who] >> np.uint64(k)) & one))
-        b = planes[k + 1][word] ^ (zero - ((fp[who] >> np.uint64(k + 1)) & one))
-        carry = (ones & a) | (ones & b) | (a & b)
-        ones ^= a ^ b
-        over |= twos & carry
-        twos ^= carry
-        beyond = over | {0: ones | twos, 1: twos, 2: ones & twos, 3: zero}[radius]
-        if k % 8 == 6:
-            over = beyond if radius < 3 else over
-            keep = beyond != ~zero
+    nil = np.zeros(len(who), np.uint64)
+    counts, over = [nil.copy() for _ in range(radius.bit_length())], ~fill[word]
+    for k in range(0, bits, 2):
+        a = planes[k][word] ^ (zero - bit_of(who, k))
+        b = planes[k + 1][word] ^ (zero - bit_of(who, k + 1))
+        if not counts:
+            over = over | a | b
+        else:
+            carry = (counts[0] & a) | (counts[0] & b) | (a & b)
+            counts[0] ^= a ^ b
+            for c in counts[1:]:
+                up = c & carry
+                c ^= carry
+                carry = up
+            over |= carry
+        if k % 8 == 6 and k + 2 > radius:
+            over |= _beyond(counts, radius, nil)
+            keep = over != ~zero
             if not keep.all():  # abandoned words
-                who, word, ones, twos, over = who[keep], word[keep], ones[keep], twos[keep], over[keep]
+                who, word, over, nil, counts = who[keep], word[keep], over[keep], nil[keep], [c[keep] for c in counts]
                 if not len(who):
                     return none, none
-    near = ~(over | {0: ones | twos, 1: twos, 2: ones & twos, 3: zero}[radius])
+    near = ~(over | _beyond(counts, radius, nil))
     hit = np.flatnonzero(near)
-    bits = np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at, bit = np.nonzero(bits)
+    lanes = np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    at, bit = np.nonzero(lanes)
     i = who[hit][at]
     j = rows[opens[word[hit][at]] + bit]
     apart = i != j
@@ -153,60 +186,79 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _compare(radius: int, room: int = 4096):
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], room: int) -> Iterator[pd.DataFrame]:
+    """Stretches of whole groups, of about `room` rows, from batches of rows sorted by `keys`."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size < room:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        key = rows[keys].to_numpy(np.int64)
+        other = (key[::-1] != key[-1]).any(axis=1)
+        whole = len(rows) - int(np.argmax(other)) if other.any() else 0
+        if whole:
+            yield rows.iloc[:whole]
+        held, size = [rows.iloc[whole:]], len(rows) - whole
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_numbers(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """0, 1, ... for the groups of rows sorted by `keys`."""
+    key = pdf[keys].to_numpy(np.int64)
+    return np.r_[0, np.cumsum((key[1:] != key[:-1]).any(axis=1))]
+
+
+def _compare(radius: int, words: list[str]):
     """mapInPandas over rows sorted by comparison: the spanning forest of each one's links."""
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        signed = pdf["fp"].to_numpy(np.int64)
-        new = (pdf[["c", "key", "i", "j"]].to_numpy(np.int64)[1:] != pdf[["c", "key", "i", "j"]].to_numpy(np.int64)[:-1]).any(axis=1)
-        group = np.r_[0, np.cumsum(new)]
-        one = (pdf["i"] == pdf["j"]).to_numpy()
-        side = pdf["side"].to_numpy()
-        a, b = bit_sliced_links(signed.view(np.uint64), group, one | (side == 0), one | (side == 1), radius)
-        root = _roots(len(pdf), a, b)
-        linked = np.flatnonzero(root != np.arange(len(pdf)))
-        return pd.DataFrame({"a": signed[root[linked]], "b": signed[linked]})
+    keys = ["c", "key", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size < room:
-                continue
-            rows = pd.concat(held, ignore_index=True)
-            key = rows[["c", "key", "i", "j"]].to_numpy(np.int64)
-            whole = len(rows) - int(np.argmax((key[::-1] != key[-1]).any(axis=1))) if (key != key[-1]).any() else 0
-            if whole:
-                yield forest(rows.iloc[:whole])
-            held, size = [rows.iloc[whole:]], len(rows) - whole
-        if size:
-            yield forest(pd.concat(held, ignore_index=True))
+        for pdf in whole_groups(batches, keys, 4096):
+            v, side, one = pdf["v"].to_numpy(np.int64), pdf["side"].to_numpy(), (pdf["i"] == pdf["j"]).to_numpy()
+            fp = np.ascontiguousarray(pdf[words].to_numpy(np.int64)).view(np.uint64)
+            a, b = bit_sliced_links(fp, group_numbers(pdf, keys), one | (side == 0), one | (side == 1), radius)
+            root = _roots(len(pdf), a, b)
+            linked = np.flatnonzero(root != np.arange(len(pdf)))
+            yield pd.DataFrame({"a": v[root[linked]], "b": v[linked]})
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 2, blocks: int = 5, chunk: int = 1024) -> DataFrame:
-    """(a, b): links that connect all fingerprints within `radius`; `distinct` has fp once each.
+def compare(keyed: DataFrame, radius: int, chunk: int = 1024) -> DataFrame:
+    """(a, b): links that connect all rows v that share a bucket (c, key) and are within `radius`.
 
-    Complete: any two fingerprints within the radius are in one component of the result.
+    keyed: (c, key, v, and the words of v's fingerprint). Buckets of one row end here; large
+    ones are cut into chunks.
     """
-    masks = _masks(blocks, radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "key"))
+    words = [c for c in keyed.columns if c not in ("c", "key", "v")]
     sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
     several = keyed.join(sizes, ["c", "key"])
-    dealt = several.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64("fp"), "chunks"))
-    met = dealt.select("c", "key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
+    dealt = several.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64("v"), "chunks"))
+    met = dealt.select("c", "key", "v", *words, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         F.col("c").cast("long").alias("c"),
         "key",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("long").alias("side"),
-        "fp",
+        "v",
+        *words,
     )
-    ordered = met.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", "side", "fp")
-    return ordered.mapInPandas(_compare(radius), "a long, b long").distinct()
+    ordered = met.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", "side", "v")
+    return ordered.mapInPandas(_compare(radius, words), "a long, b long").distinct()
+
+
+def links(distinct: DataFrame, radius: int = 2, blocks: int = 5, chunk: int = 1024) -> DataFrame:
+    """(a, b): links that connect all fingerprints within `radius`; `distinct` has fp once each.
+
+    Complete: any two fingerprints within the radius are in one component of the result.
+    """
+    masks = _masks(blocks, radius)
+    keyed = distinct.select(F.col("fp").alias("v"), "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "key"))
+    return compare(keyed, radius, chunk)
 
 
 def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
@@ -232,38 +284,50 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     return place
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, radius: int, blocks: int, chunk: int) -> DataFrame:
+    """(id, text_hash, fp, first): first is (id is null, id, text_hash) of the group's first row."""
+    if not 0 <= radius < blocks:
+        raise ValueError("the radius must be below the number of blocks")
+    bounded_batches(docs.sparkSession)
+    text = text_of(text_col)
+    prints = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), _fingerprints(text).alias("fp")))
+    least = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least")))
+    place = components(links(least.select("fp"), radius, blocks, chunk))
+    placed = least.join(place.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = placed.groupBy("root").agg(F.min("least").alias("first"))
+    by_print = cut(placed.join(heads, "root").select("fp", "first"))
+    return prints.join(by_print, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 5, chunk: int = 1024) -> DataFrame:
     """(id, fp, component_id) for every row of `docs`.
 
     component_id is the smallest id reachable over links, itself included. A null or empty
-    text has fingerprint 0 and is linked like any other; repeated rows give repeated rows; an
-    empty table gives an empty result; other columns are ignored, whatever their names.
-    A null id takes part, but a component has a null id only if all its ids are null.
+    text has fingerprint 0 and is linked like any other; texts are read whole, however long;
+    repeated rows give repeated rows; an empty table gives an empty result; other columns are
+    ignored, whatever their names. A null id takes part, but a component has a null id only if
+    all its ids are null.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("the counters hold distances up to 3")
-    prints = cut(fingerprints(docs, id_col, text_col))
-    least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    place = components(links(least.select("fp"), radius, blocks, chunk))
-    placed = least.join(place.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = cut(placed.join(heads, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("id", "fp", "component_id")
+    return _groups(docs, id_col, text_col, radius, blocks, chunk).select("id", "fp", F.col("first.id").alias("component_id"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 5, chunk: int = 1024) -> DataFrame:
     """`docs` with one row of each group left: that with the smallest id.
 
-    Of repeated rows with that id and the same text, one is left.
+    Of rows with that id but different texts, the one whose text has the least hash is left;
+    of rows that are equal in both, one. Null texts count as empty.
     """
-    return first_of_groups(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+    return first_of_groups(docs, _groups(docs, id_col, text_col, radius, blocks, chunk), id_col, text_col)
 
 
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the first row of each group left; groups: (id, component_id) of every row."""
-    own = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("__first")).agg(F.count("*").alias("__rows"))
-    first = cut(own)
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["__first"]), "left_semi")
-    if first.filter("__rows > 1").isEmpty():
+    """`docs` with the first row of each group; groups: (id, text_hash, first) of every row."""
+    own = groups.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    first = cut(own.groupBy(F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash")).agg(F.count("*").alias("rows")))
+    same = docs[id_col].eqNullSafe(first["first_id"]) & (F.xxhash64(text_of(docs[text_col])) == first["first_hash"])
+    kept = docs.join(first, same, "left_semi")
+    if first.filter("rows > 1").isEmpty():
         return kept
-    return kept.withColumn("__text", F.xxhash64(text_of(text_col))).dropDuplicates([id_col, "__text"]).drop("__text")
+    own_names = kept.columns
+    marked = kept.select(F.struct(*[F.col(f"`{c}`") for c in own_names]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("hash"))
+    return marked.dropDuplicates(["key", "hash"]).select(*[F.col(f"row.`{c}`") for c in own_names])
