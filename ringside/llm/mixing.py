@@ -20,6 +20,8 @@ rates. What is still off the target is made up by single copies of single docume
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,24 +39,37 @@ def word_count(text_col: str = "text") -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD_REGEX)).cast("long")
 
 
+def _places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """`rows` with `place`, 0, 1, ... in an order; no task sorts them all."""
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = cut(dealt.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1))
+    start, starts = 0, []
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        starts += [F.lit(r["part"]), F.lit(start)]
+        start += r["n"]
+    return dealt.withColumn("place", F.col("place") + (F.element_at(F.create_map(*starts), F.col("part")) if starts else F.lit(0))).drop("part")
+
+
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """`sources` (source, source_size) with target.
 
     Sources by code point, null last, weigh `weights` in turn and share the sum of all sizes.
     A target stops at cap times the source's size; the excess is shared again by weight. That
-    is min(cap * size, level * weight) for one level, found from running sums in the order in
-    which sources reach their limit. One row per source: this table is small.
+    is min(cap * size, level * weight) for one level. It is found from below: each round is one
+    aggregation, in which the sources that the last level fills pass on what they can't take. There
+    may be any number of sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.lit([float(w) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1)
-    rows = sources.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")).withColumn("limit", F.col("most") / F.col("weight"))
-    full = Window.orderBy("limit", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("limit", F.col("source").isNull(), "source").rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(full), F.lit(0.0))) / F.sum("weight").over(rest)
-    rows = rows.withColumn("level", level)
-    # the level is that of the first source that does not reach its limit
-    fits = F.min(F.when(F.col("level") <= F.col("limit"), F.struct("limit", "level"))).over(Window.partitionBy())
-    return rows.withColumn("fits", fits).select("source", "source_size", F.coalesce(F.least("most", F.col("fits.level") * F.col("weight")), F.col("most")).alias("target"))
+    placed = _places(sources, [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.lit([float(w) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    rows = cut(placed.withColumn("weight", weight).withColumn("most", cap * F.col("source_size")))
+    level, full = 0.0, -1
+    while True:
+        fills = F.col("most") < level * F.col("weight")
+        r = rows.agg(F.count_if(fills).alias("full"), F.sum("source_size").alias("all"), F.sum(F.when(fills, F.col("most"))).alias("took"), F.sum(F.when(~fills, F.col("weight"))).alias("open")).first()
+        if r["full"] <= full or not r["open"]:
+            break
+        level, full = (float(r["all"]) - float(r["took"] or 0.0)) / float(r["open"]), r["full"]
+    return rows.select("source", "source_size", F.least("most", level * F.col("weight")).alias("target"))
 
 
 def _level(target: float, mass: np.ndarray, tilt: np.ndarray, cap: float) -> float:
@@ -74,13 +89,15 @@ def _level(target: float, mass: np.ndarray, tilt: np.ndarray, cap: float) -> flo
     return x
 
 
-def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float, rounds: int = 40, tolerance: float = 1e-5) -> DataFrame:
+def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """(source, class, rate) from (source, class, tokens) and (source, target).
 
     All keys are non-null strings. keep_weight 0 leaves the classes free. There are at most
     CLASSES classes, so their dual variables are on the driver; those of the sources never
     are. Each Newton step on the classes is one distributed aggregation: every source solves
-    its own constraint under the classes' tilts, and what it takes of each class is summed.
+    its own constraint under the classes' tilts, and what it takes of each class is summed. Steps
+    end when none moves a class by more than `tolerance`; after `rounds` of them, a warning says
+    how far the last one went. (The sources' constraints hold in any case.)
     """
     cells = cut(cells.join(targets, "source"))
     shares = {r["class"]: float(r["share"] or 0) for r in cells.groupBy("class").agg(F.sum("tokens").alias("share")).collect()}
@@ -99,6 +116,7 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float,
 
         return run
 
+    moved = 0.0
     for _ in range(rounds if keep_weight > 0 else 0):
         got = cells.groupBy("source").applyInPandas(taken(dict(mu)), "class string, got double, curve double").groupBy("class").agg(F.sum("got").alias("got"), F.sum("curve").alias("curve")).collect()
         moved = 0.0
@@ -111,6 +129,8 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float,
             moved = max(moved, abs(step))
         if moved < tolerance:
             break
+    if moved >= tolerance:
+        warnings.warn(f"the classes' tilts still moved by {moved:.2g} after {rounds} rounds", stacklevel=2)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, _, rate = rates(pdf, mu)
@@ -129,7 +149,7 @@ def _make_up(pdf: pd.DataFrame) -> pd.DataFrame:
     left, keys = float(rows["left"].iloc[0]), rows[["source", "band", "salt", "place"]].to_numpy()
     moves, sign = (rows["size"] * rows["sign"]).to_numpy(np.int64), rows["sign"].to_numpy()
     open_, out = np.ones(len(rows), bool), []
-    for _ in range(500):
+    while True:  # each step leaves less, and takes a row away
         at = np.flatnonzero(open_)
         at = at[np.argsort(moves[at], kind="stable")]
         v = moves[at]
@@ -151,8 +171,18 @@ def _make_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "band", "salt", "place", "more"])
 
 
+def _key(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+
+
+def _keys(id_col: str, text_col: str, source_col: str, keep_col: str | None) -> list[Column]:
+    """What tells documents apart: (id, text_hash, source, class)."""
+    group = F.pmod(F.xxhash64(_key(F.col(keep_col))), F.lit(CLASSES)).cast("string") if keep_col else F.lit("n")
+    return [F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), _key(F.col(source_col)).alias("source"), group.alias("class")]
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, keep_col: str | None = "lang", keep_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, text_hash, size, source, source_size, target, rate, copies, taken) of every document.
+    """(id, text_hash, size, source, class, source_size, target, rate, copies, taken) of every document.
 
     taken = copies * size, with at most `cap` copies. Nulls: a null text has no words; a null
     source or class is one of its own; a null id is an id. Repeated rows (equal id, text and
@@ -167,7 +197,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     cells = units.groupBy("source", "class").agg(F.sum(mass).alias("tokens"))
     sizes = units.groupBy("source").agg(F.sum(mass).alias("source_size"))
     named = sizes.withColumn("source", F.when(F.col("source") != "n", F.substr(F.col("source"), F.lit(2))))
-    targets = cut(source_targets(named, weights, float(cap)).withColumn("source", key(F.col("source"))))
+    targets = cut(source_targets(named, weights, float(cap)).withColumn("source", _key(F.col("source"))))
     rates = tilts(cells, targets.select("source", "target"), float(cap), keep_weight if keep_col else 0.0)
     rates = cut(rates.withColumn("grid", F.round(F.col("rate") * GRID).cast("long")).drop("rate"))
 
@@ -195,12 +225,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     made_up = single.groupBy("source").applyInPandas(_make_up, "source string, band int, salt int, place int, more int")
     done = placed.join(made_up, ["source", "band", "salt", "place"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
     out = done.join(targets, "source").join(rates.withColumn("rate", F.col("grid") / GRID), ["source", "class"])
-    return out.select("id", "text_hash", "size", F.explode(F.expr("sequence(1L, times)")).alias("__t"), "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")).drop("__t")
+    return out.select("id", "text_hash", "size", F.explode(F.expr("sequence(1L, times)")).alias("__t"), "source", "class", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")).drop("__t")
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` as the mix takes them: every row as often as it has copies, some not at all."""
-    plan = mix(docs, id_col=id_col, text_col=text_col, **how).select("id", "text_hash", "copies").distinct().filter("copies > 0")
-    plan = plan.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies"))
-    met = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]) & (F.xxhash64(text_of(docs[text_col])) == plan["__hash"]))
-    return met.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_col: str | None = "lang", **how) -> DataFrame:
+    """`docs` as the mix takes them: every row as often as it has copies, some not at all.
+
+    Rows are those of mix(): told apart by id, text, source and class, so one id may stand for
+    several texts or sources; repeated rows are taken equally often. Nulls are as in mix(); texts
+    without words stay once; an empty table gives an empty result; all columns stay, whatever their names.
+    """
+    names, keys = docs.columns, ["id", "text_hash", "source", "class"]
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_col=keep_col, **how).select(*keys, "copies").distinct().filter("copies > 0")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys(id_col, text_col, source_col, keep_col)).alias("own")
+    met = own.join(plan.alias("plan"), [F.col(f"own.{k}").eqNullSafe(F.col(f"plan.{k}")) for k in keys])
+    return met.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*[F.col(f"row.`{c}`") for c in names])

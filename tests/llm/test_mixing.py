@@ -69,3 +69,29 @@ def test_awkward_rows(spark):
     kept = mixing.take(docs)
     assert kept.columns == docs.columns
     assert kept.count() == sum(r.copies for r in rows)
+
+
+def test_one_id_in_two_sources_and_columns_of_any_name(spark):
+    text = "a b c d e f g h"
+    rows = [(1, text, "a", "en", "x"), (1, text, "b", "en", "y"), (1, "another text of this id", "b", "en", "z"), (None, text, None, None, "u"), (2, "w " * 90, "c", "de", "v"), (2, "w " * 90, "c", "de", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, __copy string").withColumnsRenamed({}).selectExpr("*", "1 as copies", "2 as id", "3 as `row`", "4 as class", "5 as text_hash")
+    plan = mixing.mix(docs).collect()
+    want = sorted((str(r.id), r.text_hash, r.source) for r in plan for _ in range(r.copies))
+    kept = mixing.take(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(r.copies for r in plan)
+    named = kept.selectExpr("cast(doc_id as string) as i", "xxhash64(text) as h", "coalesce(concat('s', source), 'n') as s").collect()
+    assert sorted((str(r.i), r.h, r.s) for r in named) == want
+    of = {(r.id, r.source, r.text_hash): r.copies for r in plan}
+    assert len(of) == 5
+
+
+def test_targets_of_many_sources(spark):
+    import random
+
+    rng = random.Random(9)
+    sizes = {f"s{k}": rng.choice([0, 1, 7, 50, 900, 20_000]) for k in range(700)} | {None: 5}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)
+    got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+    assert sum(got.values()) == pytest.approx(sum(sizes.values()))
