@@ -13,7 +13,7 @@ differ by more than chance (a likelihood-ratio test).
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,6 +26,7 @@ from .common import bounded_batches, cut, drawn, text_of
 from .letters import words
 
 BITS = 20
+STRETCH = 1 << 17  # entries that a sum works on at once
 
 
 def word_features(word: str) -> list[int]:
@@ -52,46 +53,107 @@ class Linear:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in sorted(own)) + float(np.dot(self.extra, before))
 
+    def margins(self, x: Present, before: np.ndarray) -> np.ndarray:
+        """margin() of every row."""
+        return self.bias + x.dot(np.array([self.weights.get(int(f), 0.0) for f in x.feats])) + before @ self.extra
 
-def _select(ptr: np.ndarray, col: np.ndarray, y: np.ndarray, least_z: float, most: int) -> np.ndarray:
-    """Features whose likelihood-ratio statistic G between the classes has a root of `least_z`."""
-    of = np.repeat(y, np.diff(ptr))
-    feats, inv = np.unique(col, return_inverse=True)
-    a = np.bincount(inv, weights=of, minlength=len(feats))
-    b = np.bincount(inv, weights=1 - of, minlength=len(feats))
+
+@dataclass
+class Present:
+    """Which features rows have: the places `col[ptr[k]:ptr[k + 1]]` in `feats` for row k.
+
+    Sums run over stretches of about STRETCH entries, so nothing of the size of all entries is
+    made beside `col` itself.
+    """
+
+    feats: np.ndarray
+    ptr: np.ndarray
+    col: np.ndarray
+
+    @staticmethod
+    def of(rows: Iterable[np.ndarray]) -> Present:
+        rows = list(rows)
+        feats = np.unique(np.concatenate([np.unique(np.concatenate(rows[k : k + 512])) for k in range(0, len(rows), 512)])) if rows else np.zeros(0, np.int32)
+        col = np.empty(sum(map(len, rows)), np.int32)
+        ptr = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)].astype(np.int64)
+        for k, r in enumerate(rows):
+            col[ptr[k] : ptr[k + 1]] = np.searchsorted(feats, r)
+        return Present(feats, ptr, col)
+
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def take(self, at: np.ndarray) -> Present:
+        """Some of the rows."""
+        size = np.diff(self.ptr)[at]
+        ptr = np.r_[0, np.cumsum(size)].astype(np.int64)
+        col = np.empty(int(ptr[-1]), np.int32)
+        for k, r in enumerate(at):
+            col[ptr[k] : ptr[k + 1]] = self.col[self.ptr[r] : self.ptr[r + 1]]
+        return Present(self.feats, ptr, col)
+
+    def only(self, on: np.ndarray) -> Present:
+        """The rows with some of the features, given by their places."""
+        to = np.full(len(self.feats), -1, np.int32)
+        to[on] = np.arange(len(on))
+        size, parts = np.zeros(len(self), np.int64), []
+        for a, b in self._stretches():
+            own = to[self.col[self.ptr[a] : self.ptr[b]]]
+            size[a:b] = np.bincount(np.repeat(np.arange(b - a), np.diff(self.ptr[a : b + 1]))[own >= 0], minlength=b - a)
+            parts.append(own[own >= 0])
+        return Present(self.feats[on], np.r_[0, np.cumsum(size)], np.concatenate([*parts, np.zeros(0, np.int32)]))
+
+    def _stretches(self) -> Iterator[tuple[int, int]]:
+        cuts = np.searchsorted(self.ptr, np.arange(0, int(self.ptr[-1]) + STRETCH, STRETCH))
+        cuts = np.unique(np.r_[0, np.minimum(cuts, len(self)), len(self)]).tolist()
+        return zip(cuts, cuts[1:])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """For each row, the sum of w over its features."""
+        out = np.zeros(len(self))
+        for a, b in self._stretches():
+            lo, size = self.ptr[a], np.diff(self.ptr[a : b + 1])
+            some = np.flatnonzero(size)
+            if len(some):
+                out[a + some] = np.add.reduceat(w[self.col[lo : self.ptr[b]]], self.ptr[a:b][some] - lo)
+        return out
+
+    def sums(self, r: np.ndarray) -> np.ndarray:
+        """For each feature, the sum of r over the rows that have it."""
+        out = np.zeros(len(self.feats))
+        for a, b in self._stretches():
+            out += np.bincount(self.col[self.ptr[a] : self.ptr[b]], weights=np.repeat(r[a:b], np.diff(self.ptr[a : b + 1])), minlength=len(out))
+        return out
+
+
+def _select(x: Present, y: np.ndarray, least_z: float, most: int) -> np.ndarray:
+    """Places of the features whose likelihood-ratio statistic G between the classes has a root of `least_z`."""
+    a, b = x.sums(y), x.sums(1 - y)
     n1, n0 = y.sum(), len(y) - y.sum()
-    f = lambda x: x * np.log(np.maximum(x, 1.0))
+    f = lambda v: v * np.log(np.maximum(v, 1.0))
     z = np.sqrt(np.maximum(0.0, 2 * (f(a) + f(b) + f(n1 - a) + f(n0 - b) - f(a + b) - f(n1 + n0 - a - b) - f(n1) - f(n0) + f(n1 + n0))))
     best = np.argsort(-z, kind="stable")[:most]
-    return feats[best[z[best] >= least_z]]
+    return np.sort(best[z[best] >= least_z])
 
 
-def _fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, least_z: float = 3.0, most: int = 8192, ridge: float = 1.0, rounds: int = 150) -> Linear:
+def _fit(x: Present, before: np.ndarray, y: np.ndarray, least_z: float = 3.0, most: int = 8192, ridge: float = 1.0, rounds: int = 150) -> Linear:
     """Logistic regression with a ridge, by gradient steps scaled per weight."""
     if not len(y) or y.min() == y.max():
         return Linear({}, np.zeros(before.shape[1]), (6.0 if len(y) and y.max() > 0 else -6.0))
-    col = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    ptr = np.r_[0, np.cumsum([len(r) for r in rows])]
-    feats = np.sort(_select(ptr, col, y, least_z, most))
-    row = np.repeat(np.arange(len(rows)), np.diff(ptr))
-    at = np.searchsorted(feats, col) if len(feats) else np.zeros(len(col), np.int64)
-    at = np.minimum(at, max(0, len(feats) - 1))
-    has = feats[at] == col if len(feats) else np.zeros(len(col), bool)
-    row, at = row[has], at[has]
-    m, d = len(feats), len(feats) + before.shape[1]
-    w, bias, n = np.zeros(d), 0.0, len(y)
+    x = x.only(_select(x, y, least_z, most))
+    m, d = len(x.feats), len(x.feats) + before.shape[1]
+    w, bias = np.zeros(d), 0.0
     grad2, gb2 = np.full(d, 1e-3), 1e-3
     for _ in range(rounds):
-        z = bias + np.bincount(row, weights=w[at], minlength=n) + before @ w[m:]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(bias + x.dot(w[:m]) + before @ w[m:], -30, 30)))
         r = p - y
-        g = np.r_[np.bincount(at, weights=r[row], minlength=m)[:m], before.T @ r] + ridge * w
+        g = np.r_[x.sums(r), before.T @ r] + ridge * w
         gb = r.sum()
         grad2 += g * g
         gb2 += gb * gb
         w -= 0.5 * g / np.sqrt(grad2)
         bias -= 0.5 * gb / np.sqrt(gb2)
-    return Linear({int(f): float(x) for f, x in zip(feats, w[:m])}, w[m:], float(bias))
+    return Linear({int(f): float(v) for f, v in zip(x.feats, w[:m])}, w[m:], float(bias))
 
 
 @dataclass
@@ -124,21 +186,20 @@ class Chain:
         return self._all
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str], fold: np.ndarray, least_z: float = 3.0, most: int = 8192) -> Chain:
-    """Fit the models in order; fold has the fold of each row."""
-    before = np.zeros((len(rows), 0))
+def fit_chain(rows: Iterable[np.ndarray], labels: np.ndarray, categories: list[str], fold: np.ndarray, least_z: float = 3.0, most: int = 8192) -> Chain:
+    """Fit the models in order; rows: the features of each; fold has the fold of each row."""
+    x = Present.of(rows)
+    before = np.zeros((len(x), 0))
     models, thresholds = [], []
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
-        out = np.zeros(len(rows))
+        out = np.zeros(len(x))
         for f in np.unique(fold):
-            test = np.flatnonzero(fold == f)
-            train = np.flatnonzero(fold != f)
-            m = _fit([rows[k] for k in train], before[train], y[train], least_z, most)
-            for k in test:
-                out[k] = m.margin(set(rows[k].tolist()), list(before[k]))
+            test, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            m = _fit(x.take(train), before[train], y[train], least_z, most)
+            out[test] = m.margins(x.take(test), before[test])
         p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-        models.append(_fit(rows, before, y, least_z, most))
+        models.append(_fit(x, before, y, least_z, most))
         thresholds.append(_threshold(p, y))
         before = np.c_[before, p]
     return Chain(categories, models, thresholds)
@@ -211,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     each = rows.select("__id", "fold", *names, "text").mapInPandas(extract, f"`__id` {kind}, fold int, " + ", ".join(f"`{k}` int" for k in names) + ", features array<int>")
     each = cut(each.groupBy("__id").agg(*[F.max(c).alias(c) for c in ("fold", *names, "features")]))
     if each.isEmpty():
-        return Chain(names, [_fit([], np.zeros((0, j)), np.zeros(0)) for j in range(len(names))], [0.5] * len(names))
+        return Chain(names, [_fit(Present.of([]), np.zeros((0, j)), np.zeros(0)) for j in range(len(names))], [0.5] * len(names))
     telling = cut(_telling(each, names, folds, least_z, most))
     met = each.select("__id", F.explode("features").alias("feature")).join(F.broadcast(telling), "feature").groupBy("__id").agg(F.array_sort(F.collect_list("feature")).alias("features"))
     got = each.drop("features").join(met, "__id", "left").toPandas().sort_values("__id", kind="stable")
