@@ -22,6 +22,16 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one, named row, so that their names can't clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def columns_of_row(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of `docs` from whole_row(), some of them replaced."""
+    return [new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
 def bounded_batches(spark: SparkSession, rows: int = 500, max_bytes: str = "16m") -> None:
     """Bound what a Python worker holds at once: Arrow batches by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

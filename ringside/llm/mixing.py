@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, cut, text_of
+from .common import WORD_REGEX, columns_of_row, cut, text_of, whole_row
 
 GRID = 1 << 20  # rates are whole multiples of 1 / GRID
 SALTS = 64
@@ -235,8 +235,8 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     several texts or sources; repeated rows are taken equally often. Nulls are as in mix(); texts
     without words stay once; an empty table gives an empty result; all columns stay, whatever their names.
     """
-    names, keys = docs.columns, ["id", "text_hash", "source", "class"]
+    keys = ["id", "text_hash", "source", "class"]
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_col=keep_col, **how).select(*keys, "copies").distinct().filter("copies > 0")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys(id_col, text_col, source_col, keep_col)).alias("own")
+    own = docs.select(whole_row(docs), *_keys(id_col, text_col, source_col, keep_col)).alias("own")
     met = own.join(plan.alias("plan"), [F.col(f"own.{k}").eqNullSafe(F.col(f"plan.{k}")) for k in keys])
-    return met.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*[F.col(f"row.`{c}`") for c in names])
+    return met.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*columns_of_row(docs))

@@ -16,12 +16,13 @@ text at the matches: the pieces between, and the matches, alternate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import columns_of_row, text_of, whole_row
 
 #: Fixed patterns of the base kinds, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,34 +34,58 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+SMOOTH = 20.0  # pairs that a prior distribution counts as
+SPAN = "struct<start:int,kind:int,end:int>"
+LEAST_PRIOR = 0.1  # a prior distribution's least part: the samples don't hold every word
+BLOCK = 4096  # code points of a text that are cut at once
 
 
-def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _walk(items: Column, start: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """What a walk along an array gives: an array of type `kind`.
+
+    step(state, item) is (next state, whether the item gives something, what). Appending to an
+    array copies it, so items are walked in blocks of about the root of their number: n items
+    take n * sqrt(n) copied places rather than n * n.
+    """
+
+    def block(state: Column, own: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            state, gives, what = step(acc["state"], item)
+            return F.struct(state.alias("state"), F.when(gives, F.concat(acc["out"], F.array(what))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(own, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one)
+
+    def blocks(items: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(items).cast("double")))).cast("int")
+        first = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        step_on = lambda acc, k: _let(block(acc["state"], F.slice(items, k * size + 1, size)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), first, step_on, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(items) > 0, _let(items, blocks)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 0, keep: Callable[[Column], Column] | None = None) -> Column:
     """[(start, kind, end)] of the leftmost matches that don't overlap, in code points.
 
-    Matches whose group `value_group` has fewer than `least` characters are dropped. Texts
-    without a match are read once only.
+    Matches whose group `value_group` has fewer than `least` characters are dropped, and those
+    for which keep(match) doesn't hold. Texts without a match are read once only.
     """
-    sizes = lambda group: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.char_length(m))
+    found = lambda group, f: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), f)
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s))
-    steps = F.arrays_zip(gaps.alias("gap"), sizes(0).alias("m"), *([sizes(value_group).alias("v")] if value_group else []))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.coalesce(s["m"], F.lit(0))).alias("at"),
-            # the last gap has no match after it
-            F.when(
-                s["m"].isNotNull() & (s["v" if value_group else "m"] >= least),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + s["gap"] + s["m"]).alias("end")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), walked).otherwise(F.array().cast(SPAN))
+    here = found(value_group, lambda m: (F.char_length(m) >= least) & (keep(m) if keep else F.lit(True)))
+    steps = F.arrays_zip(gaps.alias("gap"), found(0, lambda m: F.char_length(m)).alias("m"), here.alias("keep"))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        end = at + s["gap"] + F.coalesce(s["m"], F.lit(0))
+        # the last gap has no match after it
+        return end, s["m"].isNotNull() & s["keep"], F.struct((at + s["gap"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+
+    return F.when(F.rlike(text, F.lit(pattern)), _walk(steps, F.lit(0), SPAN, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 @dataclass
@@ -79,29 +104,32 @@ def _pair_counts(samples: DataFrame) -> DataFrame:
 
 
 def random_samples(spark: SparkSession, n: int) -> DataFrame:
-    """n random strings labelled 1: digests in hexadecimal, base64, base36 and capitals."""
+    """n random strings labelled 1: digests in hexadecimal, both kinds of base64, letters and digits, and capitals."""
     digest = F.sha2(F.concat(F.lit("random:"), F.col("id").cast("string")), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     letters = F.translate(base64, "+/", "xQ")
-    text = F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 4 == 1, base64).when(F.col("id") % 4 == 2, F.upper(letters)).otherwise(letters)
+    kinds = F.array(F.substring(digest, 1, 40), base64, F.upper(letters), letters, F.translate(base64, "+/", "-_"))
+    text = F.get(kinds, F.col("id").cast("int") % 5)
     return spark.range(n).select(F.lit(1).alias("label"), text.alias("text"))
 
 
-def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int) -> DataFrame:
+def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int, per_document: int = 200) -> DataFrame:
     """Ordinary runs of about n documents labelled 0.
 
     The documents are drawn by a hash of the key. Each gives its own runs of ALPHABET, without
     what the fixed patterns match; its words, joined as identifiers are; and for as many words,
-    numbers and dates, alone and in names, and rules of each separator and each two. The runs
-    and words of one document beyond the first 200 are left out of this training sample.
+    numbers and dates, alone and in names, and rules of each separator and each two, and of
+    each other character. Of a document with more runs or words, about `per_document` of each are drawn by
+    a hash.
     """
     total = F.lit(max(1, docs.count()))
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("secrets")), F.lit(1 << 30)) / (1 << 30)
-    found = lambda text, pattern: F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, 200)
+    some_of = lambda every: F.filter(every, lambda x, k: F.pmod(F.xxhash64(x, k), F.greatest(F.size(every), F.lit(per_document))) < per_document)
+    found = lambda text, pattern: _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some_of)
     text = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
-    rows = docs.withColumn("__draw", draw).filter(F.col("__draw") < F.lit(n) / total).select(text_of(text_col).alias("text"))
+    rows = docs.select(text_of(text_col).alias("text"), draw.alias("draw")).filter(F.col("draw") < F.lit(n) / total)
     rows = rows.select(found(F.col("text"), r"\b[A-Za-z]{2,}\b").alias("w"), found(text, r"[A-Za-z0-9+/_=-]{2,}").alias("own"))
     some = lambda x, k, salt, m: F.pmod(F.xxhash64(x, k, F.lit(salt)), F.lit(m))
     day = lambda x, k: F.date_add(F.lit("1990-01-01").cast("date"), some(x, k, "day", 20_000).cast("int"))
@@ -120,28 +148,45 @@ def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int) -> Da
         *[F.array_join(F.transform("w", dated(m)), m) for m in "-/_"],
     )
     marks = "+/_-="
-    rules = F.array(*[F.repeat(F.lit(a + b), F.size("w")) for a in marks for b in marks])
+    rules = F.array(*[F.repeat(F.lit(a + b), F.size("w")) for a in marks for b in marks], *[F.repeat(F.lit(c), F.size("w")) for c in ALPHABET if c not in marks])
     return rows.select(F.lit(0).alias("label"), F.explode(F.concat("own", joined, rules)).alias("text"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", n: int = 300, threshold: float = 0.6) -> Markov:
     """Count the labelled samples (20 n digests, and ordinary runs of about n documents).
 
-    The samples are bounded by n; the driver gets len(ALPHABET)^2 counts of each label.
+    The samples are bounded by n; the driver gets len(ALPHABET)^2 counts of each label. Both
+    models are mixed with one of the kinds of characters (small, capital, digit, or the mark
+    itself), and that with an even one, each by the same share for both labels, which falls with the
+    number of pairs that the rarer of both has seen of a character.
     threshold: mean log ratio of a pair from which a run counts as random.
     """
     import math
 
     samples = random_samples(docs.sparkSession, 20 * n).union(ordinary_samples(docs, text_col, key_col, n))
     size = len(ALPHABET)
-    counts = [[0.5] * (size * size) for _ in range(2)]
+    counts = [[0] * (size * size) for _ in range(2)]
     for r in _pair_counts(samples).collect():
         counts[r["label"]][r["pair"]] += r["n"]
-    logs = []
-    for c in counts:
-        row = [sum(c[a * size : (a + 1) * size]) for a in range(size)]
-        logs.append([math.log(c[a * size + b] / row[a]) for a in range(size) for b in range(size)])
-    return Markov([round(y - x, 4) for x, y in zip(*logs)], threshold)
+    kinds = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else c for c in ALPHABET]
+    few, ratio = [{}, {}], []  # pairs of kinds of characters
+    for own, c in zip(few, counts):
+        for k, n in enumerate(c):
+            pair = kinds[k // size], kinds[k % size]
+            own[pair] = own.get(pair, 0) + n
+    for a in range(size):
+        rows = [c[a * size : (a + 1) * size] for c in counts]
+        rough = [[own[kinds[a], k] / kinds.count(k) for k in kinds] for own in few]
+        even = [1 / size] * size
+        p, q = _mixed(rows, _mixed(rough, [even, even]))[::-1]
+        ratio += [round(math.log(x / y), 4) for x, y in zip(p, q)]
+    return Markov(ratio, threshold)
+
+
+def _mixed(rows: list[list[float]], prior: list[list[float]]) -> list[list[float]]:
+    """Both labels' counts as shares, mixed with prior ones; the prior's part is the same for both."""
+    part = max(LEAST_PRIOR, SMOOTH / (SMOOTH + min(map(sum, rows))))
+    return [[(1 - part) * n / (sum(row) or 1) + part * x for n, x in zip(row, own)] for row, own in zip(rows, prior)]
 
 
 def log_ratio(run: Column, model: Markov) -> Column:
@@ -160,8 +205,7 @@ def log_ratio(run: Column, model: Markov) -> Column:
 
 def random_spans(text: Column, model: Markov) -> Column:
     """Spans of runs that the models find random."""
-    runs = spans(text, RUN, 3)
-    return F.filter(runs, lambda s: log_ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) >= model.threshold)
+    return spans(text, RUN, 3, keep=lambda run: log_ratio(run, model) >= model.threshold)
 
 
 def scan(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,25 +237,38 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), one), ",")
 
 
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is given in blocks of BLOCK."""
+    a, b = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    within = F.substring(block(a), start - a * BLOCK + 1, end - start)
+    across = F.concat(F.substring(block(a), start - a * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(block(b), F.lit(1), end - b * BLOCK))
+    return F.when(a == b, within).otherwise(across)
+
+
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by a mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        F.array_sort(found),
-        state,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with every span (overlapping ones as one) replaced by a mark.
+
+    The text between spans is cut from blocks, as a cut reads from the beginning of its string.
+    """
+
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, s["end"]), s["start"] >= at, F.struct(at.alias("start"), F.lit(0).alias("kind"), s["start"].alias("end"))
+
+    gaps = _walk(F.array_sort(found), F.lit(0), SPAN, step)
+    cut = lambda blocks: F.array_join(F.transform(gaps, lambda g: F.concat(_piece(blocks, g["start"], g["end"]), F.lit(mark))), "")
+    last = F.array_max(F.transform(found, lambda s: s["end"]))
+    whole = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.concat(cut(blocks), _piece(blocks, last, F.char_length(text))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
 
 def redact(docs: DataFrame, model: Markov, text_col: str = "text") -> DataFrame:
-    """`docs` with the secrets of every text replaced; texts without any, and nulls, stay."""
-    text = text_of(text_col)
-    every = F.concat(*columns(text, model)).alias("__ringside_spans")
-    found = docs.select("*", F.inline(F.array(F.struct(every))))
-    hit = F.size("__ringside_spans") > 0
-    return found.withColumn(text_col, F.when(hit, redacted(text, F.col("__ringside_spans"))).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with the secrets of every text replaced.
+
+    Texts without any, empty ones and nulls stay as they are; repeated rows give repeated rows;
+    an empty table gives an empty result; all columns stay, whatever their names.
+    """
+    every = F.concat(*columns(text_of(text_col), model)).alias("spans")
+    found = docs.select(whole_row(docs), F.inline(F.array(F.struct(every))))
+    text = F.col(f"row.`{text_col}`")
+    return found.select(*columns_of_row(docs, **{text_col: F.when(F.size("spans") > 0, redacted(text, F.col("spans"))).otherwise(text)}))

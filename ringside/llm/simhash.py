@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, text_of
+from .common import bounded_batches, columns_of_row, cut, text_of, whole_row
 
 BITS = 64
 SEED = 42
@@ -328,6 +328,5 @@ def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id",
     kept = docs.join(first, same, "left_semi")
     if first.filter("rows > 1").isEmpty():
         return kept
-    own_names = kept.columns
-    marked = kept.select(F.struct(*[F.col(f"`{c}`") for c in own_names]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("hash"))
-    return marked.dropDuplicates(["key", "hash"]).select(*[F.col(f"row.`{c}`") for c in own_names])
+    marked = kept.select(whole_row(kept), F.col(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("hash"))
+    return marked.dropDuplicates(["key", "hash"]).select(*columns_of_row(kept))

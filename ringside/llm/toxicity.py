@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, drawn, text_of
+from .common import bounded_batches, columns_of_row, cut, drawn, text_of, whole_row
 from .letters import words
 
 BITS = 20
@@ -305,7 +305,12 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def without(docs: DataFrame, chain: Chain, category: str, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that the chain finds in a category; null texts stay."""
+    """`docs` without the rows that the chain finds in a category.
+
+    A null, empty or wordless text is judged as a text without features; texts are read whole,
+    however long; repeated rows go or stay together; an empty table gives an empty result; all columns
+    stay, whatever their names.
+    """
     j = chain.categories.index(category)
-    scored = docs.withColumn("__ringside_p", scorer(docs.sparkSession, chain)(text_col))
-    return scored.filter(F.col("__ringside_p")[j] < chain.thresholds[j]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = docs.select(whole_row(docs), scorer(docs.sparkSession, chain)(text_col).alias("p"))
+    return scored.filter(F.col("p")[j] < chain.thresholds[j]).select(*columns_of_row(docs))

@@ -1,5 +1,10 @@
 import hashlib
+import random
 import re
+import string
+import time
+
+from pyspark.sql import functions as F
 
 from ringside.llm import queries, secret_scan
 
@@ -47,8 +52,8 @@ def test_spans_in_code_points(spark):
     for r in found.collect():
         got = [f"{secret_scan.KINDS[s.kind]}:{s.start}:{s.end}" for s in sorted([*r["assign"], *r["access"], *r["hex"]], key=lambda s: (s.start, s.kind))]
         assert got == brute(TEXTS[r.id])
-    random = {r.id: [TEXTS[r.id][s.start : s.end] for s in r["random"]] for r in found.collect()}
-    assert random[5] == ["x7Gq2LpZ9vT4mKc8RwY1bN5sHd3FjQ6a"]
+    found_random = {r.id: [TEXTS[r.id][s.start : s.end] for s in r["random"]] for r in found.collect()}
+    assert found_random[5] == ["x7Gq2LpZ9vT4mKc8RwY1bN5sHd3FjQ6a"]
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -86,3 +91,52 @@ def test_rules_dates_and_numbers_are_no_secrets(spark, small):
         assert found == set(range(len(ORDINARY), len(ORDINARY + RANDOM)))
         kept = {r.doc_id: r.text for r in secret_scan.redact(rows, model).collect()}
         assert all(kept[k] == f"see {x} here" for k, x in enumerate(ORDINARY))
+
+
+def brute_ratio(run, model):
+    at = [secret_scan.ALPHABET.find(c) for c in run]
+    pairs = [(a, b) for a, b in zip(at, at[1:]) if a >= 0 and b >= 0]
+    return sum(model.log_ratio[a * len(secret_scan.ALPHABET) + b] for a, b in pairs) / max(1, len(run) - 1)
+
+
+def test_score_and_error_rates_on_strings_not_trained_on(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = secret_scan.fit(docs)
+    rng = random.Random(11)
+    words = [w for r in docs.filter("doc_id % 3 = 0").collect() for w in re.findall(r"[A-Za-z]{3,}", r.text or "")]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    letters, digits = string.ascii_letters, string.digits
+    rows = [(1, "".join(rng.choice(a) for _ in range(n))) for a in (letters + digits, letters + digits + "+/", letters + digits + "-_", "0123456789abcdef", string.ascii_uppercase + digits, string.ascii_lowercase + digits) for n in (20, 24, 31) for _ in range(20)]
+    make = [lambda: "_".join(pick(5)), lambda: "-".join(pick(5)), lambda: "/".join(pick(5)), lambda: "".join(w.title() for w in pick(6)), lambda: str(rng.randrange(10**21, 10**30)), lambda: rng.choice("-_=+/") * rng.randrange(20, 50), lambda: rng.choice(letters) * 24, lambda: "/".join(map(str, range(1, rng.randrange(12, 30))))]
+    rows += [(0, f().ljust(20, "_")) for f in make for _ in range(40)]
+    told = spark.createDataFrame(rows, "label int, text string")
+    got = told.select("label", "text", secret_scan.log_ratio(F.col("text"), model).alias("r")).collect()
+    assert all(abs(r.r - brute_ratio(r.text, model)) < 1e-9 for r in got)
+    missed = sum(r.r < model.threshold for r in got if r.label)
+    wrong = [r.text for r in got if not r.label and r.r >= model.threshold]
+    assert missed <= 0.02 * 360 and len(wrong) <= 0.01 * 320, (missed, wrong)
+
+
+def test_twenty_thousand_matches(spark):
+    text = "token=abcdefgh1 😀é " * 20_000
+    docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, __ringside_spans int")
+    model = secret_scan.fit(docs.limit(0))
+    began = time.time()
+    clean = secret_scan.redact(docs, model)
+    assert clean.columns == docs.columns and clean.first().text == "[SECRET] 😀é " * 20_000
+    assert time.time() - began < 60
+
+
+def test_redaction_across_blocks(spark):
+    key = "token=abcdefgh12345"
+    texts = ["é" * n + key + "😀" * m + key + "z" * k for n, m, k in ((4090, 1, 0), (4096, 4096, 4096), (0, 9000, 1), (4095 - len(key), 0, 5000), (1, 4095, 20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.fit(docs.limit(0))).collect()}
+    for k, t in enumerate(texts):
+        # without blocks: marks between the text that no span covers
+        spans, out, at = brute(t), "", 0
+        for s in spans:
+            a, b = map(int, s.split(":")[1:])
+            out += t[at:a] + "[SECRET]"
+            at = b
+        assert got[k] == out + t[at:]
