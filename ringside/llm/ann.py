@@ -6,14 +6,17 @@ nearest centroids. A query ranks the centroids of each half by inner product and
 centroid pairs by their summed score with a heap, best first, until the cells that it has met
 hold a share of all entries. The entries of those cells are reranked by the exact inner
 product in double precision. The share is measured when the index is fitted: it is what the
-walk needs on the sample, against brute force, for the recall that is asked for.
+walk needs on the sample, against brute force, for the recall that is asked for. How many
+centroids there are follows from the number of rows: more of them make the share smaller and
+the walk longer, and the fit takes the number at which both together cost least.
 
 The walk needs only the centroids and the number of entries of each cell: both are bounded by
 the number of centroids. As cells are met in the order of their score, the score of the
-last one says which cells a query has met; a query therefore goes, with that score, to the
-lists of those left centroids that can reach it. Lists are cut into blocks of entries and
-blocks of queries, so that no list has to fit into a task, and every (query, block) hands on its
-`k` best only.
+last one says which cells a query has met. The lists of the left centroids are packed into
+blocks of entries (a long list takes several), and a query goes, with that score, to the
+blocks that it can reach. Queries are dealt in blocks too, so no list has to fit into a task;
+within a pair of blocks, entries lie in the order of their cells, and only stretches with a
+cell that a query has met are scored for it. Every (query, block) hands on its `k` best only.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,10 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, drawn
+from .simhash import whole_groups
 
 #: Rows of the training sample that the driver may hold, and floats, whichever is less.
 SAMPLE_ROWS, SAMPLE_FLOATS = 16_384, 4_000_000
-ENTRIES, ASKS = 2048, 512  # rows of a block
+#: Floats of a block of entries, queries of a block, entries that are scored at once, queries at once.
+BLOCK_FLOATS, ASKS, STRETCH, TURN = 1 << 19, 2048, 64, 256
+STEP_COST = 2.0  # what a step of the walk counts as, in scored entries (low: a small share is worth a long walk)
+#: Most lengths of vectors in a table.
+MOST_LENGTHS = 16
 
 
 @dataclass
@@ -75,7 +84,9 @@ class Index:
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
+    own = (c * c).sum(axis=1)[None, :]
+    parts = [(own - 2 * (x[at : at + 4096] @ c.T)).argmin(axis=1) for at in range(0, len(x), 4096)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -90,33 +101,19 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """((id, v array<double>), dimensions): the rows that take part.
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v array<double>): the rows that take part.
 
-    Left out: null ids, null and zero vectors, vectors with null or non-finite components,
-    and vectors that have not the commonest number of components (the larger on a tie).
+    Left out: null ids, null and zero vectors, and vectors with null or non-finite components.
     """
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_col).alias("id"), v.cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    kinds = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
-    dims = kinds[0]["d"] if kinds else 0
-    return rows.filter(F.size("v") == dims), dims
+    return vectors.select(F.col(id_col).alias("id"), v.cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def fit(rows: DataFrame, dims: int, centroids: int = 64, k: int = 20, recall: float = 0.95) -> Index:
-    """Centroids, and the share of the entries that finds `recall` of the k nearest.
-
-    The sample is the first rows in the order of a hash of the id, up to SAMPLE_ROWS rows and
-    SAMPLE_FLOATS floats; 200 of them are the queries of the measurement.
-    """
-    size = max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // max(1, dims)))
-    sample = drawn(rows, "id", size, "ann").select("v").toPandas()
-    x = np.array(sample["v"].tolist(), float).reshape(len(sample), dims)
-    h = dims // 2
-    index = Index(_kmeans(x[:, :h], centroids), _kmeans(x[:, h:], centroids))
-    if len(x) <= k + 1:
-        return index
+def _share(index: Index, x: np.ndarray, k: int, recall: float) -> float:
+    """The share of the entries x that walks have to meet to find `recall` of the k nearest."""
+    h = index.left.shape[1]
     left, right = index.places(x)
     needs = []
     for n, q in enumerate(x[:200]):
@@ -124,77 +121,127 @@ def fit(rows: DataFrame, dims: int, centroids: int = 64, k: int = 20, recall: fl
         exact[n] = -np.inf
         nearest = np.argpartition(-exact, k)[:k]
         needs.extend((met[:, None] >= met[nearest][None, :]).sum(axis=0))
-    index.share = float(min(1.0, np.quantile(needs, recall) / len(x)))
-    return index
+    return float(min(1.0, np.quantile(needs, recall) / len(x)))
 
 
-def _best(index, k: int, room: int = 20_000):
-    """mapInPandas over rows sorted by block pair: each query's k best entries of its block."""
+def fit(rows: DataFrame, dims: int, n: int, centroids: int | None = None, k: int = 20, recall: float = 0.94) -> Index:
+    """Centroids, and the share of the entries that finds `recall` of the k nearest of n rows.
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
+    The sample is the first rows in the order of a hash of the id, up to SAMPLE_ROWS rows and
+    SAMPLE_FLOATS floats; 200 of them are the queries of the measurement. Without a number of
+    centroids, it is doubled from 16 for as long as that lowers the estimated cost of a query,
+    share * (n + STEP_COST * centroids^2), with 16 rows of the sample a centroid at least.
+    """
+    size = max(1, min(SAMPLE_ROWS, SAMPLE_FLOATS // max(1, dims)))
+    sample = drawn(rows, "id", size, "ann").select("v").toPandas()
+    x = np.array(sample["v"].tolist(), float).reshape(len(sample), dims)
+    h = dims // 2
+    best, least = None, np.inf
+    each = centroids or 16
+    while True:
+        index = Index(_kmeans(x[:, :h], each), _kmeans(x[:, h:], each))
+        if len(x) > k + 1:
+            index.share = _share(index, x, k, recall)
+        cost = index.share * (n + STEP_COST * each * each)
+        if cost >= least:
+            return best
+        best, least, each = index, cost, 2 * each
+        if centroids or len(x) < 16 * each:
+            return best
+
+
+def _best(index, k: int):
+    """mapInPandas over rows sorted by pair of blocks: each query's k best entries of its block."""
+    keys = ["block", "turn"]
+
+    def score(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ask, told = rows[rows["ask"]], rows[~rows["ask"]]
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
         if not len(ask) or not len(told):
-            return out[0]
+            return
         own = index.value
         h = own.left.shape[1]
-        ids = told["id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, x, right = ids[order], np.stack(told["v"].to_numpy())[order], told["right"].to_numpy(np.int64)[order]
-        centre = own.left[int(told["left"].iloc[0])]
-        for at in range(0, len(ask), 64):
-            part = ask.iloc[at : at + 64]
-            who, q = part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy())
-            met = (q[:, :h] @ centre)[:, None] + (q[:, h:] @ own.right.T)[:, right]
-            out_of = (met < part["floor"].to_numpy()[:, None]) | (who[:, None] == ids[None, :])
-            # einsum adds each pair in the same order, so equal vectors get equal scores
-            s = np.where(out_of, -np.inf, np.einsum("qd,vd->qv", q, x))
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            got = np.take_along_axis(s, top, axis=1)
-            here = got > -np.inf
-            out.append(pd.DataFrame({"query_id": np.repeat(who, here.sum(axis=1)), "vec_id": ids[top][here], "score": got[here]}))
-        return pd.concat(out[1:])
+        told = told.sort_values(["left", "right", "id"], kind="stable")
+        ids, x = told["id"].to_numpy(np.int64), np.stack(told["v"].to_numpy())
+        cell = told[["left", "right"]].to_numpy(np.int64)
+        opens = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)])
+        of = np.repeat(np.arange(len(opens)), np.diff(np.r_[opens, len(cell)]))
+        for at in range(0, len(ask), TURN):
+            part = ask.iloc[at : at + TURN]
+            who, q, floor = part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()), part["floor"].to_numpy()
+            met = (q[:, :h] @ own.left.T)[:, cell[opens, 0]] + (q[:, h:] @ own.right.T)[:, cell[opens, 1]] >= floor[:, None]
+            s = np.full((len(part), len(ids)), -np.inf)
+            for a in range(0, len(ids), STRETCH):
+                b = min(a + STRETCH, len(ids))
+                some = np.flatnonzero(met[:, of[a] : of[b - 1] + 1].any(axis=1))
+                if len(some):
+                    # einsum adds each pair in the same order, so equal vectors get equal scores
+                    here = np.einsum("qd,vd->qv", q[some], x[a:b])
+                    s[some, a:b] = np.where(met[some][:, of[a:b]] & (who[some][:, None] != ids[None, a:b]), here, -np.inf)
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            order = np.lexsort((ids[col], -s[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, row)
+            top = np.arange(len(row)) - first < k
+            row, col = row[top], col[top]
+            yield pd.DataFrame({"query_id": who[row], "vec_id": ids[col], "score": s[row, col]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        keys = ["left", "part", "turn"]
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size < room:
-                continue
-            rows = pd.concat(held, ignore_index=True)
-            key = rows[keys].to_numpy(np.int64)
-            other = (key[::-1] != key[-1]).any(axis=1)
-            whole = len(rows) - int(np.argmax(other)) if other.any() else 0
-            for _, group in rows.iloc[:whole].groupby(keys, sort=False):
-                yield score(group)
-            held, size = [rows.iloc[whole:]], len(rows) - whole
-        if size:
-            for _, group in pd.concat(held, ignore_index=True).groupby(keys, sort=False):
-                yield score(group)
+        for rows in whole_groups(batches, keys, 4096):
+            for _, group in rows.groupby(keys, sort=False):
+                yield from score(group)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int = 64, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _blocks(lists: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """(first block, number of blocks) of each left list, from their numbers of entries.
+
+    Lists of up to `size` entries share blocks of up to that size; longer ones have their own.
+    """
+    first, many, block, held = [], [], -1, size + 1
+    for n in lists.tolist():
+        parts = max(1, math.ceil(n / size))
+        if parts > 1 or held + n > size:
+            block += 1
+            held = 0
+        first.append(block)
+        many.append(parts)
+        held += n
+        if parts > 1:
+            block += parts - 1
+            held = size + 1
+    return first, many
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int | None = None, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query, nearest first.
 
     queries: (id_col, vector_col), with ids of their own or of `vectors`; a candidate is every
     row of `vectors` with another id. Ties go to the smaller id. recall is the share of true
     neighbours that the index is fitted for (see fit); all entries of the cells that a walk
-    meets are scored. Rows without a usable vector (see usable) take no part; a repeated query
-    is answered once; repeated entries are candidates each; an empty table gives an empty
-    result. Ids are integers.
+    meets are scored. Rows without a usable vector (see usable) take no part. Vectors are
+    compared with those of their own length; a table has MOST_LENGTHS of them at most, or the job
+    fails. A repeated query is answered once; repeated entries are candidates each; an empty
+    table gives an empty result; other columns are ignored. Ids are integers.
     """
     spark = vectors.sparkSession
     bounded_batches(spark, rows=4096)
-    rows, dims = usable(vectors, id_col, vector_col)
-    n = rows.count()
-    if not n:
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    lengths = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(MOST_LENGTHS + 1).collect()}
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = spark.sparkContext.broadcast(fit(rows, dims, centroids, k, recall))
+    found = [_found(rows.filter(F.size("v") == d), asked.filter(F.size("v") == d), d, n, k, centroids, recall) for d, n in sorted(lengths.items())]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(rows: DataFrame, asked: DataFrame, dims: int, n: int, k: int, centroids: int | None, recall: float) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query and block; all vectors have one length."""
+    spark = rows.sparkSession
+    index = spark.sparkContext.broadcast(fit(rows, dims, n, centroids, k, recall))
 
     @F.pandas_udf("left int, right int")
     def place(v: pd.Series) -> pd.DataFrame:
@@ -206,22 +253,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int =
     for r in placed.groupBy("left", "right").agg(F.count("*").alias("n")).collect():  # at most centroids^2
         table[r["left"], r["right"]] = r["n"]
     entries, effort = spark.sparkContext.broadcast(table), math.ceil(index.value.share * n)
+    first, many = _blocks(table.sum(axis=1), max(256, BLOCK_FLOATS // max(1, dims)))
 
     @F.pandas_udf("floor double, lists array<int>")
     def walk(v: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([index.value.walk(np.asarray(q), entries.value, effort) for q in v], columns=["floor", "lists"])
 
-    asked = queries.select(F.col(id_col).alias(id_col), F.col(vector_col).alias(vector_col))
-    asked = usable(asked, id_col, vector_col)[0].filter(F.size("v") == dims).dropDuplicates(["id", "v"])
-    goes = cut(asked.select("id", "v", walk.asNondeterministic()("v").alias("w")).select("id", "v", "w.floor", F.explode("w.lists").alias("left")))
-    asks = goes.groupBy("left").agg(F.count("*").alias("asks"))
-    sizes = cut(placed.groupBy("left").agg(F.count("*").alias("n")).join(asks, "left").select("left", F.ceil(F.col("n") / ENTRIES).alias("parts"), F.ceil(F.col("asks") / ASKS).alias("turns")))
-    own = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
-    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    # sizes has a row for each left centroid
-    told = placed.join(F.broadcast(sizes), "left").withColumn("part", own("parts")).select("left", "part", each("turns").alias("turn"), F.lit(False).alias("ask"), "id", "v", "right", F.lit(None).cast("double").alias("floor"))
-    asking = goes.join(F.broadcast(sizes), "left").withColumn("turn", own("turns")).select("left", each("parts").alias("part"), "turn", F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("int").alias("right"), "floor")
-    met = told.union(asking).repartition("left", "part", "turn").sortWithinPartitions("left", "part", "turn")
-    found = met.mapInPandas(_best(index, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    at = lambda values, k: F.element_at(F.lit(values), F.col(k) + 1)
+    # a fixed number of partitions: the planner would put the few bytes of all queries into one task
+    dealt = asked.dropDuplicates(["id", "v"]).repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    reached = dealt.select("id", "v", walk.asNondeterministic()("v").alias("w")).select("id", "v", "w.floor", "w.lists")
+    blocks = F.array_distinct(F.flatten(F.transform("lists", lambda x: F.sequence(F.element_at(F.lit(first), x + 1), F.element_at(F.lit(first), x + 1) + F.element_at(F.lit(many), x + 1) - 1))))
+    goes = cut(reached.select("id", "v", "floor", F.explode(blocks).alias("block")))
+    turns = goes.groupBy("block").agg(F.ceil(F.count("*") / ASKS).alias("turns"))
+    told = placed.withColumn("block", (at(first, "left") + F.pmod(F.xxhash64("id"), at(many, "left"))).cast("int")).join(turns, "block")
+    told = told.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("ask"), "id", "v", "left", "right", F.lit(None).cast("double").alias("floor"))
+    asking = goes.join(turns, "block").select("block", F.pmod(F.xxhash64("id"), "turns").alias("turn"), F.lit(True).alias("ask"), "id", "v", F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"), "floor")
+    met = told.union(asking).repartition("block", "turn").sortWithinPartitions("block", "turn")
+    return met.mapInPandas(_best(index, k), "query_id long, vec_id long, score double")

@@ -55,12 +55,42 @@ def test_walk_meets_cells_by_score():
         assert set(np.flatnonzero(met.any(axis=1))) <= set(lists)
 
 
+def test_blocks_hold_lists():
+    lists = np.array([3, 0, 5, 20, 4, 4, 9, 0])
+    first, many = ann._blocks(lists, 8)
+    held = {}
+    for n, f, m in zip(lists.tolist(), first, many):
+        assert m == max(1, -(-n // 8))
+        for b in range(f, f + m):
+            held.setdefault(b, []).append(n)
+    assert sorted(held) == list(range(max(held) + 1))
+    assert all(sum(v) <= 8 or len(v) == 1 for v in held.values())
+
+
+def test_recall_and_ties_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_FLOATS", 1)  # 256 rows a block
+    monkeypatch.setattr(ann, "ASKS", 16)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8))
+    rows = [(k, (base[k % 40] + 0.3 * rng.normal(size=8)).round(2)) for k in range(3000)]
+    rows += [(3000 + k, np.full(8, 9.0)) for k in range(700)]  # one vector, in several blocks
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>").repartition(5)
+    want, got = brute(rows, 20), {}
+    for r in ann.search(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hit = sum(len({i for i, _ in got[q].values()} & {i for i, _ in want[q]}) for q in want)
+    assert hit >= 0.9 * sum(map(len, want.values()))
+    for q in range(3000, 3700, 20):
+        assert [got[q][k][0] for k in sorted(got[q])] == [i for i, _ in want[q]]
+
+
 def test_awkward_vectors(spark):
-    bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (7, [])]
+    bad = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (7, []), (60, [1.0, 0.0, 0.0])]
     good = [(20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [2.0, 1.0]), (40, [0.5, 0.5]), (23, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, 0.0) for r in bad + good], "vec_id long, embedding array<double>, id int, score double")
     got = sorted(ann.search(df, df.filter("vec_id % 20 = 0"), k=3).collect(), key=lambda r: (r.query_id, r["rank"]))
-    assert {r.query_id for r in got} == {20, 40}
+    assert {r.query_id for r in got} == {20, 40, 60}
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 60] == [(6, 1.0)]
     assert [r.vec_id for r in got if r.query_id == 20] == [22, 21, 23]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
     assert ann.search(df.filter("vec_id < 6"), df).count() == 0
