@@ -16,9 +16,11 @@ the pages teach nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -55,7 +57,9 @@ MARKUP = np.isin(FEATURES, ("article", "nav", "footer", "header", "aside", "form
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # numbers of the elements that hold it
+    depth: int  # how many elements hold it
+    parent: int  # the number of the element around the innermost of them; 0: none
+    shared: int  # how many of them hold the block before, too
     features: list[float]
 
 
@@ -74,12 +78,116 @@ _ATTRS = _Attrs()
 _PLAIN = (False, False, False)
 
 
+class _Stack:
+    """The open elements, with counts and places that spare a walk through them."""
+
+    #: What an element may say, by its tag.
+    SAYS = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "footer": "footer", "header": "header", "aside": "aside", "dialog": "aside", "form": "form", "fieldset": "form", "a": "a"}
+
+    def __init__(self):
+        self.elements: list[tuple[str, int, list[str]]] = []  # tag, number, what it says
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.blocks: list[int] = []  # places of block elements
+        self.said = dict.fromkeys((*self.SAYS.values(), "away", "top", "towards"), 0)
+        self.number = self.low = 0  # low: least depth since the last block of text
+
+    def enter(self, tag: str, marks: tuple[bool, bool, bool]) -> None:
+        self.number += 1
+        says = [self.SAYS[tag]] if tag in self.SAYS else []
+        says += [k for k, m in zip(("away", "top", "towards"), marks) if m]
+        for k in says:
+            self.said[k] += 1
+        self.places.setdefault(tag, []).append(len(self.elements))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.elements))
+        self.elements.append((tag, self.number, says))
+
+    def leave(self, at: int) -> None:
+        """End the element at a place, and those in it."""
+        while len(self.elements) > at:
+            tag, _, says = self.elements.pop()
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            for k in says:
+                self.said[k] -= 1
+        self.low = min(self.low, at)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element with one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def block(self, text: str, links: float) -> Block:
+        depth, shared = len(self.elements), self.low
+        self.low = depth
+        inner = self.elements[self.blocks[-1]][0] if self.blocks else ""
+        return Block(text, depth, self.elements[-2][1] if depth > 1 else 0, shared, _features(text, links, inner, self.said))
+
+
+#: Elements that end an open one of their kind, and where the search for it stops.
+ITEMS = frozenset(("li", "dd", "dt", "option", "td", "th", "tr"))
+ITEM_BOUNDS = ("ul", "ol", "table", "dl", "menu", "article", "div", "section", "main", "body")
+TEXT_BOUNDS = ("article", "div", "section", "main", "body", "td", "th", "li")
+
+
+class _Stack:
+    """The open elements, with counts and places that spare a walk through them."""
+
+    #: What an element may say, by its tag.
+    SAYS = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "footer": "footer", "header": "header", "aside": "aside", "dialog": "aside", "form": "form", "fieldset": "form", "a": "a"}
+
+    def __init__(self):
+        self.elements: list[tuple[str, int, list[str]]] = []  # tag, number, what it says
+        self.places: dict[str, list[int]] = {}  # of each tag
+        self.blocks: list[int] = []  # places of block elements
+        self.said = dict.fromkeys((*self.SAYS.values(), "away", "top", "towards"), 0)
+        self.number = self.low = 0  # low: least depth since the last block of text
+
+    def enter(self, tag: str, marks: tuple[bool, bool, bool]) -> None:
+        self.number += 1
+        says = [self.SAYS[tag]] if tag in self.SAYS else []
+        says += [k for k, m in zip(("away", "top", "towards"), marks) if m]
+        for k in says:
+            self.said[k] += 1
+        self.places.setdefault(tag, []).append(len(self.elements))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.elements))
+        self.elements.append((tag, self.number, says))
+
+    def leave(self, at: int) -> None:
+        """End the element at a place, and those in it."""
+        while len(self.elements) > at:
+            tag, _, says = self.elements.pop()
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            for k in says:
+                self.said[k] -= 1
+        self.low = min(self.low, at)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element with one of the tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def block(self, text: str, links: float) -> Block:
+        depth, shared = len(self.elements), self.low
+        self.low = depth
+        inner = self.elements[self.blocks[-1]][0] if self.blocks else ""
+        return Block(text, depth, self.elements[-2][1] if depth > 1 else 0, shared, _features(text, links, inner, self.said))
+
+
+#: Elements that end an open one of their kind, and where the search for it stops.
+ITEMS = frozenset(("li", "dd", "dt", "option", "td", "th", "tr"))
+ITEM_BOUNDS = ("ul", "ol", "table", "dl", "menu", "article", "div", "section", "main", "body")
+TEXT_BOUNDS = ("article", "div", "section", "main", "body", "td", "th", "li")
+
+
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page that have text, in page order."""
+    """The blocks of a page that have text, in page order; the work is linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, away, top, towards
+    stack = _Stack()
     parts: list[str] = []
-    linked = depth_a = hidden = number = at = 0
+    linked = hidden = at = 0
     hidden_tag = ""
 
     def flush() -> None:
@@ -87,7 +195,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(e[1] for e in stack), _features(text, min(1.0, linked / len(text)), stack)))
+                out.append(stack.block(text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -96,14 +204,9 @@ def blocks(html: str) -> list[Block]:
         if raw and not hidden:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if depth_a:
+            if stack.said["a"]:
                 linked += len(text.strip())
 
-    def leave(k: int) -> None:
-        nonlocal depth_a
-        depth_a -= sum(e[0] == "a" for e in stack[k:])
-        del stack[k:]
-
     for m in TOKEN.finditer(html):
         if m.start() < at:  # inside a raw element that has been passed
             continue
@@ -121,10 +224,10 @@ def blocks(html: str) -> list[Block]:
         if close:
             if tag in BLOCK_TAGS:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = stack.last((tag,))
             # an inline end tag doesn't end the blocks around it
-            if k is not None and (tag in BLOCK_TAGS or not any(e[0] in BLOCK_TAGS for e in stack[k + 1 :])):
-                leave(k)
+            if k >= 0 and (tag in BLOCK_TAGS or not stack.blocks or stack.blocks[-1] < k):
+                stack.leave(k)
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
@@ -138,7 +241,7 @@ def blocks(html: str) -> list[Block]:
         if attrs.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
         if tag in RAW_TAGS:  # up to its own end tag, whatever is between; a slash ends it only if there is none
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = _raw_end(tag).search(html, at)
             at = end.end() if end else at if attrs.endswith("/") else len(html)
             continue
         if tag in HIDDEN_TAGS:
@@ -147,26 +250,22 @@ def blocks(html: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             # a block ends an open paragraph; items, cells and rows end those before them
-            ends = {"p"} | ({tag} if tag in ("li", "dd", "dt", "option", "td", "th", "tr") else set())
-            bounds = ("ul", "ol", "table", "dl", "menu", "article", "div", "section", "main", "body") if ends != {"p"} else ("article", "div", "section", "main", "body", "td", "th", "li")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    leave(k)
-                    break
-                if stack[k][0] in bounds:
-                    break
-        number += 1
-        depth_a += tag == "a"
-        stack.append((tag, number, *(_ATTRS[attrs] if attrs and tag not in ("html", "body") else _PLAIN)))
+            k = stack.last(("p", tag)) if tag in ITEMS else stack.last(("p",))
+            if k > stack.last(ITEM_BOUNDS if tag in ITEMS else TEXT_BOUNDS):
+                stack.leave(k)
+        stack.enter(tag, _ATTRS[attrs] if attrs and tag not in ("html", "body") else _PLAIN)
     say(html[at:])
     flush()
     return out
 
 
-def _features(text: str, links: float, stack: list) -> list[float]:
-    tags = [e[0] for e in stack]
-    inner = next((t for t in reversed(tags) if t in BLOCK_TAGS), "")
-    article = "article" in tags or "main" in tags
+@lru_cache(maxsize=len(RAW_TAGS))
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
+def _features(text: str, links: float, inner: str, said: dict[str, int]) -> list[float]:
+    """inner: the innermost block element's tag; said: what the elements around the text say."""
     return [
         1.0,
         float(np.log1p(len(text))) / 4 if len(text) > 256 else _LOG[len(text)],
@@ -175,14 +274,14 @@ def _features(text: str, links: float, stack: list) -> list[float]:
         float(inner in ("p", "pre", "blockquote")),
         float(inner in ("li", "dt", "td", "th")),
         min(3, sum(map(text.count, ".!?,"))) / 3,
-        float(article),
-        float("nav" in tags or "menu" in tags),
-        float("footer" in tags),
-        float(not article and ("header" in tags or any(e[3] for e in stack))),
-        float("aside" in tags or "dialog" in tags),
-        float("form" in tags or "fieldset" in tags),
-        float(any(e[2] for e in stack)),
-        float(any(e[4] for e in stack)),
+        float(said["article"] > 0),
+        float(said["nav"] > 0),
+        float(said["footer"] > 0),
+        float(not said["article"] and (said["header"] > 0 or said["top"] > 0)),
+        float(said["aside"] > 0),
+        float(said["form"] > 0),
+        float(said["away"] > 0),
+        float(said["towards"] > 0),
         float(links > 0.8),
     ]
 
@@ -271,18 +370,11 @@ def labels(found: list[Block], weights: np.ndarray, near: float = 1.0, kin: floa
     edges, last = [], {}
     for k, b in enumerate(found):
         if k:
-            a = found[k - 1].path
-            same = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                same += 1
-            apart = max(0, len(a) + len(b.path) - 2 * same - 2)
+            apart = max(0, found[k - 1].depth + b.depth - 2 * b.shared - 2)
             edges.append((k - 1, k, near * 0.5**apart))
-        up = b.path[:-1]
-        if (j := last.get(up)) is not None and j < k - 1:
+        if (j := last.get(b.parent)) is not None and j < k - 1:
             edges.append((j, k, kin))
-        last[up] = k
+        last[b.parent] = k
     return max_flow_side(len(found), content, other, edges)
 
 
@@ -296,14 +388,20 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
     """The classifier's weights, from a sample of pages.
 
     At most `sample` pages (the first in the order of a hash of the id) give the driver at
-    most `per_page` blocks each; only this training is bounded, never the extraction. Pages
-    without telling markup leave the prior weights.
+    most `per_page` blocks each, drawn by a hash of their text and place; only this training is
+    bounded, never the extraction. Pages without telling markup leave the prior weights.
     """
     bounded_batches(pages.sparkSession)
 
     def extract_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [b.features for h in pdf["html"] for b in blocks(h)[:per_page]]})
+            yield pd.DataFrame({"x": [b.features for h in pdf["html"] for b in some(blocks(h))]})
+
+    def some(found: list[Block]) -> list[Block]:
+        if len(found) <= per_page:
+            return found
+        hashes = [zlib.crc32(f"{k}:{b.text}".encode("utf-8", "surrogatepass")) for k, b in enumerate(found)]
+        return [found[k] for k in sorted(np.argsort(hashes, kind="stable")[:per_page].tolist())]
 
     rows = drawn(pages.select(F.col(id_col).alias("id"), text_of(html_col).alias("html")), "id", sample, "html")
     got = rows.select("html").mapInPandas(extract_features, "x array<double>").toPandas()
@@ -329,8 +427,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 def main_text(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text) of every page, from its whole html.
 
-    The text is empty if the page is null, empty or has no content. Repeated rows give repeated
-    rows; an empty table gives an empty result; other columns are ignored.
+    The text is empty if the page is null, empty or has no content. Pages are read whole, however
+    long or deep. Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
 

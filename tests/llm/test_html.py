@@ -1,4 +1,7 @@
+import html
 import random
+import re
+import time
 
 from ringside.llm import html_extract, queries
 
@@ -64,3 +67,30 @@ def test_pages_without_the_end_of_head(spark):
     docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
     got = {r.id: r.text for r in html_extract.main_text(docs, html_extract.PRIOR).collect()}
     assert got == {k: f"A title\nThe text of page {k}, which goes on at some length, as texts do." for k in range(3)}
+
+
+def plain_article(page):
+    """The article of a page of the table by plain patterns: the blocks between its p, h1, ... tags."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)
+    if not inside:
+        return None
+    text = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>|<div class=\"(?:ad|comments?|share|related)\".*?</div>", "", inside[1], flags=re.S)
+    parts = re.split(r"</?(?:p|h\d|ul|ol|li|div|blockquote|section|table|tr|td|pre|figure|figcaption)\b[^>]*>", text)
+    plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in parts]
+    return "\n".join(x for x in plain if x)
+
+
+def test_text_of_every_page_against_plain_patterns(spark, small):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    want = {i: plain_article(h) for i, h in pages.items()}
+    got = {r.page_id: r.text for r in queries.op8_html(spark, small).collect()}
+    assert sum(w is not None for w in want.values()) >= 0.9 * len(pages)
+    assert {i: got[i] for i, w in want.items() if w is not None} == {i: w for i, w in want.items() if w is not None}
+
+
+def test_deep_and_unclosed_pages_take_seconds():
+    began = time.time()
+    for page in ("<div>x " * 100_000, "<b>" + "<div>" * 50_000 + "</b>x" * 50_000, "<b>" * 50_000 + "<h1>y</h1>" * 50_000, "<article>" + "<p>Some text, of a paragraph. </p>" * 50_000):
+        found = html_extract.blocks(page)
+        assert len(html_extract.labels(found, html_extract.PRIOR)) == len(found) > 0
+    assert time.time() - began < 60
