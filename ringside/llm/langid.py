@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, cut, text_of
 from .letters import folded
 
 UNKNOWN = "und"
@@ -112,46 +112,49 @@ def document_counts(rows: DataFrame, dims: int) -> tuple[int, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 1 << 13) -> Centroids:
-    """Fit on a sample of about `per_language` labelled texts of each language.
+    """Fit on a sample of `per_language` labelled texts of each language.
 
-    The sample is drawn by a hash of key_col, so reruns agree. Beside counts of the places of
-    all labelled texts, it is the only data that the driver gets: per_language x languages sparse vectors of at most `dims` entries, with at
-    most MOST_LANGUAGES languages. Rows without a language, a text or a letter teach nothing;
-    without any row left, every text is UNKNOWN.
+    The sample is the first rows in the order of a hash of key_col and the text, so reruns
+    agree, whatever keys are null or repeated. Each language is clustered in a task of its own; the driver
+    gets the centroids, and counts of the places of all labelled texts. There are at most
+    MOST_LANGUAGES languages. Rows without a language, a text or a letter teach nothing;
+    repeated rows count each; without any row left, every text is UNKNOWN.
     """
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    rows = labelled.select(F.xxhash64(key, F.col(text_col), F.lit("langid")).alias("hash"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    bucket = F.shiftrightunsigned("hash", 50)  # 2^14 of them
+    line = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("lang", bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0)))
+    # the buckets of each language that hold its first rows
+    last = {r["lang"]: r["bucket"] for r in sizes.filter(F.col("before") < per_language).groupBy("lang").agg(F.max("bucket").alias("bucket")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(last) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    if not last:
         return Centroids(dims, np.ones(dims), np.zeros((dims, 0)), [], np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("langid")), F.lit(1 << 30)) / (1 << 30)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [ngram_counts(t, dims) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "places": [p for p, _ in got], "counts": [c for _, c in got]})
-
-    sample = rows.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")))
-    got = sample.select("lang", "draw", "text").mapInPandas(vectors, "lang string, draw double, places array<int>, counts array<double>").toPandas()
-    got = got[got["places"].map(len) > 0].sort_values(["lang", "draw"], kind="stable").groupby("lang").head(2 * per_language)
+    first = bucket <= F.element_at(F.create_map(*[F.lit(x) for pair in last.items() for x in pair]), F.col("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(bucket, "hash"))
+    # each task sorts its own share of those buckets, and hands on no more than the sample
+    sample = cut(rows.filter(first).withColumn("place", place).filter(F.col("place") <= per_language).drop("place"))
     n, df = document_counts(rows, dims)
     model = Centroids(dims, np.log((1 + n) / (1 + df)) + 1, np.zeros((dims, 0)), [], np.zeros(0))
-    found, reach = [], []
-    for lang, own in got.groupby("lang", sort=True):
-        x = np.zeros((len(own), dims))
-        for row, p, c in zip(x, own["places"], own["counts"]):
-            row[np.asarray(p)] = model.vector(np.asarray(p), np.asarray(c))
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts = pdf.sort_values(["hash", "text"], kind="stable")["text"]
+        vectors = [v for v in (ngram_counts(t, dims) for t in texts) if len(v[0])]
+        x = np.zeros((len(vectors), dims))
+        for row, (p, c) in zip(x, vectors):
+            row[p] = model.vector(p, c)
+        if not len(x):
+            return pd.DataFrame({"lang": [], "number": [], "reach": [], "centre": []})
         centres, near = _cluster(x, clusters)
         best = near.argmax(axis=1)
-        for j, c in enumerate(centres):
-            if (best == j).any():
-                found.append(c)
-                model.languages.append(str(lang))
-                reach.append(float((1 - near[best == j, j]).max()) + 0.1)
-    model.centroids, model.reach = np.array(found).reshape(-1, dims).T.copy(), np.array(reach)
+        own = [j for j in range(len(centres)) if (best == j).any()]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "number": own, "reach": [float((1 - near[best == j, j]).max()) + 0.1 for j in own], "centre": [centres[j] for j in own]})
+
+    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, number int, reach double, centre array<double>").toPandas().sort_values(["lang", "number"])
+    model.languages, model.reach = [str(x) for x in found["lang"]], found["reach"].to_numpy(float)
+    model.centroids = np.array(found["centre"].tolist(), float).reshape(-1, dims).T.copy()
     return model
 
 
@@ -160,7 +163,7 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
 
     lang_pred is the nearest learned language, or UNKNOWN if the text is null or has no
     letter; score is the cosine (0 for UNKNOWN); rejected says that the text is too far from
-    all centroids, or UNKNOWN. Ties go to the first language in order. Repeated rows give
+    all centroids, or UNKNOWN. Texts are read whole, however long. Ties go to the first language in order. Repeated rows give
     repeated rows, an empty table an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)

@@ -16,55 +16,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, whole_row
 
+STEP = 4096  # equal rows that are told apart at once
 
-def _starts(df: DataFrame, by: list[str], bin_col: str) -> DataFrame:
+
+def _starts(df: DataFrame, by: list[str], many: Column) -> DataFrame:
     """For every (by..., bin), the number of rows in the bins before it, and in all of them."""
-    counts = df.groupBy(*by, bin_col).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
-    before = F.sum("__n").over(group.orderBy(bin_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    return counts.select(*by, bin_col, before.alias("__before"), F.sum("__n").over(group).alias("__all"))
+    counts = df.groupBy(*by, "bin").agg(F.sum(many).alias("n"))
+    group = Window.partitionBy(*by)
+    before = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    return counts.select(*by, "bin", before.alias("before"), F.sum("n").over(group).alias("every"))
 
 
 def interleave(rows: DataFrame, shards: int, source_col: str = "source", order: Column | None = None, seed: int = 7, bins: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """`rows` with shard and slot (the place within the shard, gapless from 0).
 
-    rows: narrow rows (ids and figures, no texts); all columns are kept. order: more columns
-    that tell rows of one id apart. A null source is a source of its own. Repeated rows are
-    interchangeable: each gets a place. Fewer rows than shards leave shards empty; an empty
-    table gives an empty result.
+    rows: narrow rows (ids and figures, no texts); all columns are kept, whatever their names,
+    but for own ones named shard and slot. order: more columns that tell rows of one id apart.
+    A null source is a source of its own, a null id like an empty one. Rows that are equal in
+    all columns are interchangeable: they are counted first, take consecutive ranks, and each gets a place.
+    Fewer rows than shards leave shards empty; an empty table gives an empty result.
     """
     if shards < 1:
         raise ValueError("there must be at least one shard")
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), order if order is not None else F.lit("")))
-    mixed = rows.withColumns({"__source": source, "__digest": digest})
-    mixed = mixed.withColumn("__bin", F.floor(F.conv(F.substring("__digest", 1, 8), 16, 10).cast("long") * bins / (1 << 32)).cast("long"))
-    mixed = cut(mixed)
-    starts = _starts(mixed, ["__source"], "__bin")
-    in_bin = Window.partitionBy("__source", "__bin").orderBy("__digest", id_col)
-    ranked = mixed.join(starts, ["__source", "__bin"]).withColumn("__rank", F.col("__before") + F.row_number().over(in_bin))
-    ranked = ranked.withColumn("__share", (2 * F.col("__rank") - 1) / (2 * F.col("__all"))).drop("__before", "__all", "__bin")
-    ranked = cut(ranked.withColumn("__bin", F.least(F.floor(F.col("__share") * bins), F.lit(bins - 1)).cast("long")))
-    starts = _starts(ranked, [], "__bin")
-    in_bin = Window.partitionBy("__bin").orderBy("__share", "__source", "__rank")
-    placed = ranked.join(F.broadcast(starts), "__bin").withColumn("__at", F.col("__before") + F.row_number().over(in_bin) - 1)
-    shard = F.expr(f"(__at * {shards}) div __all")
-    return (
-        placed.withColumn("__shard", shard)
-        # the first place of shard k is ceil(k * all / shards)
-        .withColumn("slot", F.col("__at") - F.expr(f"(__shard * __all + {shards - 1}) div {shards}"))
-        .withColumn("shard", F.col("__shard").cast("int"))
-        .select(*[F.col(c) for c in rows.columns if c not in ("shard", "slot")], "shard", "slot")
-    )
+    mixed = rows.select(whole_row(rows), source.alias("source"), digest.alias("digest")).groupBy("row", "source", "digest").agg(F.count("*").alias("times"))
+    mixed = cut(mixed.withColumn("bin", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * bins / (1 << 32)).cast("long")))
+    starts = _starts(mixed, ["source"], F.col("times"))
+    in_bin = Window.partitionBy("source", "bin").orderBy("digest", f"row.`{id_col}`").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = mixed.join(starts, ["source", "bin"]).withColumn("rank", F.col("before") + F.sum("times").over(in_bin) - F.col("times"))
+    # one row a rank; very many equal rows in two steps, so that no array is long
+    ranked = ranked.select("row", "source", "every", "rank", "times", F.explode(F.expr(f"sequence(1L, times, {STEP}L)")).alias("k"))
+    ranked = ranked.withColumn("within", F.explode(F.expr(f"sequence(k, least(k + {STEP - 1}, times))"))).withColumn("rank", F.col("rank") + F.col("within"))
+    ranked = ranked.withColumn("share", (2 * F.col("rank") - 1) / (2 * F.col("every"))).select("row", "source", "rank", "share")
+    ranked = cut(ranked.withColumn("bin", F.least(F.floor(F.col("share") * bins), F.lit(bins - 1)).cast("long")).withColumn("all_bins", F.lit(0)))
+    starts = _starts(ranked, ["all_bins"], F.lit(1)).drop("all_bins")  # at most `bins` rows
+    in_bin = Window.partitionBy("bin").orderBy("share", "source", "rank")
+    placed = ranked.join(F.broadcast(starts), "bin").withColumn("at", F.col("before") + F.row_number().over(in_bin) - 1).withColumn("shard", F.expr(f"(at * {shards}) div every"))
+    # the first place of shard k is ceil(k * all / shards)
+    slot = F.col("at") - F.expr(f"(shard * every + {shards - 1}) div {shards}")
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns if c not in ("shard", "slot")], F.col("shard").cast("int").alias("shard"), slot.alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, text_crc32, source, shard, slot) of every document.
 
     size: UTF-8 bytes of the text plus 1 (a null text has none); text_crc32: of those bytes,
-    unsigned. Counts of shards differ by one row at most.
+    unsigned. Counts of shards differ by one row at most. Texts are read whole, however long; null
+    ids, repeated rows and empty tables are as in interleave(); other columns are ignored.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

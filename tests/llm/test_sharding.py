@@ -48,3 +48,18 @@ def test_awkward_rows(spark):
     assert [r.text_crc32 for r in rows if r.doc_id == 3] == [0]
     assert sharding.shard_documents(docs.limit(0)).count() == 0
     assert sorted((r.shard, r.slot) for r in sharding.shard_documents(docs.limit(2), shards=4).collect()) == [(0, 0), (2, 0)]
+
+
+def test_many_equal_rows_and_columns_of_any_name(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "STEP", 7)
+    hot = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(1).alias("__bin"), F.lit(2).alias("bin"), F.lit(3).alias("row"))
+    rows = hot.union(spark.range(100).select("id", F.lit("b"), F.lit(1), F.lit(2), F.lit(3)))
+    out = sharding.interleave(rows, 7)
+    assert out.columns == [*rows.columns, "shard", "slot"]
+    found = out.collect()
+    counts = Counter(r.shard for r in found)
+    assert len(found) == 600 and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in sorted(counts) for k in range(counts[s])]
+    assert all(abs(sum(r.source == "b" for r in found if r.shard == s) - 100 / 7) <= 2 for s in counts)

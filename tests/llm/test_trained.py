@@ -109,16 +109,18 @@ def test_quality_against_brute_force(spark, small):
 def test_ratio_is_that_of_two_multinomials(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "x x x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
-    raw, good = quality.corpus_counts(docs, labels.select(labels.doc_id.alias("__id")), "doc_id", "text", 12)
+    raw, good = quality.corpus_counts(docs, labels.select(labels.doc_id.alias("id")), "doc_id", "text", 12)
     assert raw.sum() == 3 * 5 and good.sum() == 2 * 5
     model = quality.fit(docs, labels, bits=12)
     reader = quality.Reader()
     at = reader.ngrams(reader.ids(b"a"), 12)
-    assert model.log_ratio[at[0]] == pytest.approx(math.log((2 + 1) / (10 + 4096)) - math.log((2 + 1) / (15 + 4096)))
+    fifth = {r.id for r in labels.selectExpr("doc_id as id", "pmod(xxhash64(cast(doc_id as string), 'threshold'), 5) = 0 as f").collect() if r.f}
+    n = 2 - len(fifth) or 2
+    assert model.log_ratio[at[0]] == pytest.approx(math.log((n + 1) / (5 * n + 4096)) - math.log((2 + 1) / (15 + 4096)), abs=1e-6)
 
 
 def test_quality_of_awkward_rows(spark):
-    docs = documents(spark)
+    docs = documents(spark).selectExpr("*", "1 as __id", "2 as __y", "3 as label", "4 as good", "5 as bucket")
     labels = spark.createDataFrame([(8, 1), (None, 0), (7, None), (9, 0)], "doc_id long, quality int")
     for own in (labels, labels.limit(0)):
         model = quality.fit(docs, own)
@@ -133,3 +135,62 @@ def test_document_frequencies_are_of_all_labelled_texts(spark):
     model = langid.fit(docs, per_language=5, dims=1 << 10)
     df = Counter(p for t in texts if t for p in langid.ngram_counts(t, 1 << 10)[0].tolist())
     assert np.allclose(model.idf, [math.log(61 / (1 + df[p])) + 1 for p in range(1 << 10)])
+
+
+def test_decision_against_plain_cosines(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    model = langid.fit(docs, per_language=20, clusters=2, dims=1 << 10)
+    cosines = model.centroids.T
+    for r in langid.identify(docs, model).join(docs.withColumnRenamed("doc_id", "id"), "id").collect():
+        places, counts = langid.ngram_counts(r.text or "", 1 << 10)
+        v = {int(p): (1 + math.log(c)) * model.idf[p] for p, c in zip(places, counts)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x / norm * c[p] for p, x in v.items()) for c in cosines] if v else []
+        want = (model.languages[int(np.argmax(near))], round(max(near), 6), 1 - max(near) > model.reach[int(np.argmax(near))]) if v else ("und", 0.0, True)
+        assert (r.lang_pred, r.rejected) == (want[0], want[2]) and abs(r.score - want[1]) < 2e-6
+
+
+def test_language_sample_of_repeated_rows_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text, many times").alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("hash"))
+    others = spark.range(300).select("id", F.concat(F.lit("el texto numero "), F.col("id").cast("string")), F.lit("es"), F.lit(1))
+    model = langid.fit(hot.union(others), per_language=10)
+    assert model.predict("the same text")[0] == "en" and model.predict("el texto")[0] == "es"
+
+
+def brute_features(text):
+    found = set()
+    for w in toxicity.words(text or ""):
+        for form in (f"w{w}", *(f"{n}{w[:n]}" for n in (4, 5) if len(w) >= n)):
+            found.add(zlib.crc32(form.encode()) & (1 << 20) - 1)
+    return found
+
+
+def test_chain_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["bad", "nice", "plain", "word", "thing", "awful"], 4)) for _ in range(80)]
+    y = np.array([["bad" in t, "awful" in t and "bad" in t] for t in texts]).astype(float)
+    rows = [toxicity.features(t) for t in texts]
+    assert all(set(r.tolist()) == brute_features(t) for r, t in zip(rows, texts))
+    x, before = toxicity.Present.of(rows), rng.random((80, 1))
+    m = toxicity._fit(x, before, y[:, 0], least_z=2.0)
+    # the statistic, and the gradient steps, by plain loops over dense rows
+    dense = np.array([[f in set(r.tolist()) for f in x.feats] for r in rows]).astype(float)
+    n1, n0 = y[:, 0].sum(), 80 - y[:, 0].sum()
+    g = lambda v: v * math.log(v) if v > 0 else 0.0
+    chosen = []
+    for j in range(len(x.feats)):
+        a, b = (dense[:, j] * y[:, 0]).sum(), (dense[:, j] * (1 - y[:, 0])).sum()
+        if math.sqrt(max(0, 2 * (g(a) + g(b) + g(n1 - a) + g(n0 - b) - g(a + b) - g(80 - a - b) - g(n1) - g(n0) + g(80)))) >= 2.0:
+            chosen.append(j)
+    assert sorted(m.weights) == [int(x.feats[j]) for j in chosen]
+    z = np.c_[dense[:, chosen], before]
+    w, bias, seen, seen_b = np.zeros(z.shape[1]), 0.0, np.full(z.shape[1], 1e-3), 1e-3
+    for _ in range(150):
+        r = 1 / (1 + np.exp(-(z @ w + bias))) - y[:, 0]
+        grad, gb = z.T @ r + w, r.sum()
+        seen, seen_b = seen + grad**2, seen_b + gb**2
+        w, bias = w - 0.5 * grad / np.sqrt(seen), bias - 0.5 * gb / math.sqrt(seen_b)
+    assert np.allclose([m.weights[k] for k in sorted(m.weights)], w[:-1]) and m.extra[0] == pytest.approx(w[-1]) and m.bias == pytest.approx(bias)
+    assert np.allclose(m.margins(x, before), [m.margin(set(r.tolist()), list(b)) for r, b in zip(rows, before)])
