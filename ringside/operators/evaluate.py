@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import keys
 
 #: Parts of [0, 1] in which ranks are counted apart, so that no task sorts a whole group.
 RANK_BINS = 1024
@@ -17,12 +18,16 @@ def evaluation_dataset(fights: DataFrame, ratings: DataFrame, history: DataFrame
     """(fight_id, date, fighter_1_id, fighter_2_id, y, p_win_rate, p_elo) of decided fights.
 
     ratings: two rows a fight with expected_score; history: with win_rate_before. Draws and
-    no contests are left out; a decided fight without a rating fails the job.
+    no contests are left out; a decided fight without a rating, or one with two rows of a
+    fighter, fails the job.
     """
     decided = fights.filter(~F.coalesce(F.col("fighter_1_result").isin("D", "NC"), F.lit(False)))
     elo = ratings.select("fight_id", F.col("fighter_id").alias("fighter_1_id"), F.col("expected_score").alias("p_elo"))
     rate = lambda n: history.select("fight_id", F.col("fighter_id").alias(f"fighter_{n}_id"), F.col("win_rate_before").alias(f"win_rate_{n}"))
-    met = decided.join(elo, ["fight_id", "fighter_1_id"], "left").join(rate(1), ["fight_id", "fighter_1_id"], "left").join(rate(2), ["fight_id", "fighter_2_id"], "left")
+    one = ["fight_id", "fighter_1_id"]
+    met = decided.join(keys.unique(elo, one, "ratings"), one, "left").join(keys.unique(rate(1), one, "history"), one, "left")
+    two = ["fight_id", "fighter_2_id"]
+    met = met.join(keys.unique(rate(2), two, "history"), two, "left")
     y = F.when(F.col("fighter_1_result") == "W", 1).when(F.col("fighter_1_result") == "L", 0)
     rated = F.when(F.col("p_elo").isNull(), F.raise_error(F.lit("a decided fight has no rating")).cast("double")).otherwise(F.col("p_elo"))
     return met.select("fight_id", "date", "fighter_1_id", "fighter_2_id", y.alias("y"), scores.win_rate_probability(F.col("win_rate_1"), F.col("win_rate_2")).alias("p_win_rate"), rated.alias("p_elo"))
@@ -75,15 +80,31 @@ def fold_start(day: Column, first: date, step_years: int) -> Column:
     return F.when(day >= F.lit(first), F.add_months(F.lit(first), fold * (12 * step_years)))
 
 
-def split_metrics(predictions: DataFrame, cutoff: date, by: list[str]) -> DataFrame:
+#: Bounds of probabilities in the log loss: of evaluated ratings, of the Glicko-2 and schedule
+#: experiments, and of the performance models (the least step of a double above 1).
+LEAST, LEAST_EXPERIMENT, LEAST_MODEL = 1e-6, 1e-15, 2.0**-52
+
+
+def split_metrics(predictions: DataFrame, cutoff: date, by: list[str], least: float = LEAST) -> DataFrame:
     """Metrics of everything from a date on."""
-    return metrics(predictions.filter(F.col("date") >= F.lit(cutoff)), by).withColumn("fold", F.lit("test"))
+    return metrics(predictions.filter(F.col("date") >= F.lit(cutoff)), by, least=least).withColumn("fold", F.lit("test"))
+
 
+def with_pooled(predictions: DataFrame, by: list[str], least: float = LEAST) -> DataFrame:
+    """Metrics of each fold, and of all predictions together (fold "pooled")."""
+    return metrics(predictions.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit("pooled")))), [*by, "fold"], least=least)
 
-def walk_forward(predictions: DataFrame, first: date, step_years: int, by: list[str]) -> DataFrame:
-    """Metrics of each fold that has rows, and pooled over all of them (fold "pooled")."""
-    dealt = predictions.withColumn("fold", fold_start(F.col("date"), first, step_years).cast("string")).filter("fold is not null")
-    return metrics(dealt.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit("pooled")))), [*by, "fold"])
+
+def walk_forward(predictions: DataFrame, first: date, step_years: int, by: list[str], cutoff: date | None = None, least: float = LEAST) -> DataFrame:
+    """Metrics of each fold that has rows, and pooled over all of them (fold "pooled").
+
+    cutoff: also of everything from that date on (fold "test").
+    """
+    fold = fold_start(F.col("date"), first, step_years).cast("string")
+    every = [fold, F.when(fold.isNotNull(), F.lit("pooled"))]
+    if cutoff is not None:
+        every.append(F.when(F.col("date") >= F.lit(cutoff), F.lit("test")))
+    return metrics(predictions.withColumn("fold", F.explode(F.array(*every))).filter("fold is not null"), [*by, "fold"], least=least)
 
 
 def pooled_by_size(fold_metrics: DataFrame, by: list[str], names: tuple[str, ...] = ("log_loss", "brier_score", "accuracy", "roc_auc")) -> DataFrame:

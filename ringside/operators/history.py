@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import scores
 from ..schemas import HISTORY, PERCENTAGES
 
 
@@ -39,9 +38,9 @@ def fight_history(long: DataFrame, sums: list[str] | None = None, means: list[st
 
 
 #: Running features of the performance models: name to the per-fight value that is averaged.
-STRIKING = ["significant_strikes_landed", "significant_strikes_attempted", "significant_strikes_pct", "total_strikes_landed", "knockdowns"]
+STRIKING = ["significant_strikes_landed", "significant_strikes_attempted", "significant_strikes_pct", "total_strikes_landed", "total_strikes_attempted"]
 GRAPPLING = ["takedowns_landed", "takedowns_attempted", "takedown_pct", "submission_attempts", "reversals"]
-DOMINANCE = ["control_time_seconds", "ground_strikes_landed"]
+DOMINANCE = ["knockdowns", "control_time_seconds"]
 
 
 def performance_running(long: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -75,7 +74,3 @@ def latest(ratings: DataFrame, top: int | None = None) -> DataFrame:
     last = F.row_number().over(Window.partitionBy(*keys, "fighter_id").orderBy(F.desc("date"), F.desc("fight_id")))
     out = ratings.withColumn("__last", last).filter("__last = 1").drop("__last")
     return out if top is None else out.orderBy(F.desc("rating_after"), "fighter_id").limit(top)
-
-
-def win_rates(a: str = "win_rate_1", b: str = "win_rate_2"):
-    return scores.win_rate_probability(F.col(a), F.col(b))

@@ -44,6 +44,18 @@ def assert_unique(df: DataFrame, keys: list[str], what: str = "key") -> DataFram
     return df
 
 
+def unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """`df`, whose job fails if a key occurs twice.
+
+    The check is part of the plan: an aggregation by the key, whose partitioning a join on it
+    uses again.
+    """
+    values = [c for c in df.columns if c not in keys]
+    twice = F.when(F.count("*") > 1, F.raise_error(F.lit(f"{what}: a key occurs twice: {', '.join(keys)}")))
+    once = lambda c: F.coalesce(twice.cast(df.schema[c].dataType), F.any_value(c)).alias(c)
+    return df.groupBy(*keys).agg(*map(once, values)).select(*df.columns)
+
+
 def lookup(df: DataFrame, dimension: DataFrame, on: list[str], unique: bool = True) -> DataFrame:
     """Left join that keeps the rows of `df` one to one.
 

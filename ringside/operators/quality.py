@@ -26,6 +26,11 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def offending(df: DataFrame, condition: Column, keys: list[str], show: list[str], top: int = 20) -> DataFrame:
+    """The first `top` rows, by their keys, that meet a condition: a sample for a report."""
+    return df.filter(F.coalesce(condition, F.lit(False))).select(*keys, *show).orderBy(*keys).limit(top)
+
+
 def failures(report: DataFrame) -> list[str]:
     """The checks with violations; at most one line a check."""
     return [f"{r['check']}: {r['violations']}" for r in report.filter("violations > 0").collect()]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scores import DAYS_PER_YEAR
-from ..functions.text import NON_STANDARD_DIVISIONS
+from ..functions.text import NON_STANDARD_DIVISIONS, standard_result
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,9 @@ class EloConfig:
 
     @property
     def label(self) -> str:
-        decays = "none" if self.half_life_years is None else f"{self.half_life_years:g}y"
-        return f"k={self.base_k:g}/{self.boosted_k:g} scale={self.scale:g} provisional={self.provisional_fights} half_life={decays}"
+        """The published form: whole numbers, and the half-life only where there is one."""
+        decays = "" if self.half_life_years is None else f"_half{self.half_life_years:.0f}y"
+        return f"init{self.initial_rating:.0f}_base{self.base_k:.0f}_boost{self.boosted_k:.0f}_scale{self.scale:.0f}_prov{self.provisional_fights}{decays}"
 
 
 @dataclass(frozen=True)
@@ -106,7 +107,9 @@ class EloWalk:
         k = [c.boosted_k if p else c.base_k for p in provisional]
         no_contest = "NC" in (result_1, result_2)
         if d.draws:
-            score = None if no_contest else {"W": 1.0, "L": 0.0, "D": 0.5}[result_1]
+            score = None if no_contest else {"W": 1.0, "L": 0.0, "D": 0.5}.get(result_1)
+            if score is None and not no_contest:
+                raise ValueError(f"unknown result {result_1!r} of {one!r} against {two!r} on day {day}")
         else:
             score = {("W", "L"): 1.0, ("L", "W"): 0.0}.get((result_1, result_2))
         after = [a, b] if score is None else [a + k[0] * (score - expected), b + k[1] * ((1.0 - score) - (1.0 - expected))]
@@ -137,9 +140,13 @@ ELO_FIELDS = (
 )
 
 
-def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]]) -> DataFrame:
-    """Walk the rows of each `by` value in order of (day, fight_id); make(key) gives the walk."""
-    keep = [*by, "fight_id", "date", "fighter_1_id", "fighter_2_id"]
+def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], walks: list[str] | None = None) -> DataFrame:
+    """Walk the rows of each `by` value in order of (day, fight_id); make(key) gives the walk.
+
+    walks: the values of the first `by` column, if they are known; each gets a task of its own,
+    where hashes would put several into one.
+    """
+    keep = [*by, "fight_id", "date", "fighter_1_id", "fighter_2_id", "fighter_1_result", "fighter_2_result"]
     schema = T.StructType([rows.schema[c] for c in keep])
     for name, kind in fields:
         schema = schema.add(name, kind)
@@ -156,13 +163,18 @@ def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]]) -
             got = pd.DataFrame(out, columns=[n for n, _ in fields])
             yield pd.concat([pdf[keep].reset_index(drop=True), got], axis=1)[names]
 
-    ordered = rows.repartition(*by).sortWithinPartitions(*by, "day", "fight_id")
+    if walks:
+        place = F.array_position(F.lit(walks), F.col(by[0])).cast("int") - 1
+        dealt = rows.repartitionById(len(walks), place)
+    else:
+        dealt = rows.repartition(*by)
+    ordered = dealt.sortWithinPartitions(*by, "day", "fight_id")
     return ordered.mapInPandas(run, schema)
 
 
 def _narrow(bouts: DataFrame, decided_only: bool) -> DataFrame:
     division = F.col("division") if "division" in bouts.columns else F.lit(None).cast("string")
-    r1, r2 = (F.upper(F.trim(f"fighter_{n}_result")) for n in (1, 2))
+    r1, r2 = (standard_result(F.col(f"fighter_{n}_result")) for n in (1, 2))
     rows = bouts.select("fight_id", "date", F.unix_date("date").alias("day"), "fighter_1_id", "fighter_2_id", r1.alias("fighter_1_result"), r2.alias("fighter_2_result"), division.alias("division"))
     return rows.filter("(fighter_1_result, fighter_2_result) in (('W', 'L'), ('L', 'W'))") if decided_only else rows
 
@@ -171,7 +183,7 @@ def elo(bouts: DataFrame, configs: dict[str, EloConfig], dialect: Dialect = PROD
     """One row for each bout and config: ratings before and after, both sides (see ELO_FIELDS)."""
     rows = _narrow(bouts, dialect.decided_only)
     rows = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in configs])))
-    return _fold(rows, ["config"], lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS)
+    return _fold(rows, ["config"], lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS, list(configs))
 
 
 def by_fighter(rated: DataFrame, bouts: DataFrame) -> DataFrame:
@@ -192,7 +204,7 @@ def by_fighter(rated: DataFrame, bouts: DataFrame) -> DataFrame:
         F.col(f"rating_{a}_before").alias("rating_before"),
         F.col(f"rating_{a}_after").alias("rating_after"),
     )
-    met = rated.join(bouts.select("fight_id", "fighter_1_result", "fighter_2_result", "division"), "fight_id")
+    met = rated.join(bouts.select("fight_id", "division"), "fight_id")
     return met.select("config", "fight_id", "date", "division", F.inline(F.array(view(1, 2), view(2, 1))))
 
 
@@ -248,18 +260,18 @@ GLICKO_FIELDS = [(f"{what}_{n}_{when}", "double") for when in ("before", "after"
 def glicko2(bouts: DataFrame, tau: float = 0.5) -> DataFrame:
     """One row for each bout with a winner: rating, deviation and volatility of both sides."""
     rows = _narrow(bouts, True).withColumn("config", F.lit("glicko2"))
-    return _fold(rows, ["config"], lambda key: GlickoWalk(tau=tau), GLICKO_FIELDS).drop("config")
+    return _fold(rows, ["config"], lambda key: GlickoWalk(tau=tau), GLICKO_FIELDS, ["glicko2"]).drop("config")
 
 
 def candidate_configs(base: EloConfig | None = None) -> dict[str, EloConfig]:
-    """One parameter changed at a time; fixed values of the sweep."""
+    """One parameter changed at a time; fixed values of the sweep, with their published names."""
     base = base or EloConfig()
     return {
-        "baseline": base,
-        "k_16_32": replace(base, base_k=16.0, boosted_k=32.0),
-        "k_24_48": replace(base, base_k=24.0, boosted_k=48.0),
-        "no_boost": replace(base, boosted_k=base.base_k),
-        "boost_96": replace(base, boosted_k=96.0),
+        "baseline_v0.1": base,
+        "k_menor_16_32": replace(base, base_k=16.0, boosted_k=32.0),
+        "k_menor_24_48": replace(base, base_k=24.0, boosted_k=48.0),
+        "sem_boost_k_igual_base": replace(base, boosted_k=base.base_k),
+        "boost_k_maior_96": replace(base, boosted_k=96.0),
         "scale_200": replace(base, scale=200.0),
         "scale_600": replace(base, scale=600.0),
         **{f"provisional_{n}": replace(base, provisional_fights=n) for n in (1, 3, 5, 7, 9)},
@@ -267,4 +279,4 @@ def candidate_configs(base: EloConfig | None = None) -> dict[str, EloConfig]:
 
 
 def half_life_configs(years: tuple[float | None, ...] = (None, 1.0, 2.0, 3.0, 4.0, 5.0), base: EloConfig | None = None) -> dict[str, EloConfig]:
-    return {"no_decay" if y is None else f"half_life_{y:g}y": replace(base or EloConfig(), half_life_years=y) for y in years}
+    return {"baseline" if y is None else f"half_life_{y:g}y": replace(base or EloConfig(), half_life_years=y) for y in years}

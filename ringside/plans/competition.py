@@ -41,7 +41,8 @@ def rounds(spark: SparkSession, sf_dir: str, fights: DataFrame | None = None) ->
     lines = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     both = fights.select("fight_id", F.explode(F.array("fighter_1_id", "fighter_2_id")).alias("fighter_id"))
-    rows = lines.withColumn("round", F.row_number().over(order)).join(both, (F.col("l_orderkey") == F.col("fight_id")) & (F.col("l_suppkey") == F.col("fighter_id")))
+    # the lines of both sides are all lines of their order and supplier, so they are numbered after the join
+    rows = lines.join(both, (F.col("l_orderkey") == F.col("fight_id")) & (F.col("l_suppkey") == F.col("fighter_id"))).withColumn("round", F.row_number().over(order))
     q, p = F.col("l_quantity").cast("long"), F.col("l_partkey")
     pair = lambda k: F.concat(((q + k) % 13).cast("string"), F.lit(" of "), ((q + k) % 13 + (p + k) % 9).cast("string"))
     count = lambda n, m: F.when(p % n != 0, F.col("l_linenumber") % m)

@@ -49,7 +49,7 @@ def write_if_valid(tables: dict[str, DataFrame], folder: str, checks: Callable[[
     try:
         report = checks(kept)
         failed = report.filter("violations > 0").limit(100).collect()
-        if failed:
+        if failed:  # a line for each check, some tens
             raise ValueError("; ".join(f"{r['check']}: {r['violations']}" for r in failed))
         for k, df in kept.items():
             write(df, f"{folder}/{k}.parquet")
@@ -61,12 +61,15 @@ def write_if_valid(tables: dict[str, DataFrame], folder: str, checks: Callable[[
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, into the checkpoint folder that driver and executors share; cut the lineage.
 
-    The folder is the one that spark.checkpoint.dir names; only where that is unset (tests,
-    one machine) a local one is made.
+    The folder is the one that spark.checkpoint.dir names. Where that is unset, one is made on
+    this machine if the master is local; on a cluster the job fails, as no executor would see it.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ringside-checkpoints"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "ringside-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -80,13 +83,16 @@ def null_report(df: DataFrame) -> DataFrame:
 def attach_dates(fights: DataFrame, events: DataFrame, missing: str = "warn", dedup: bool = True) -> DataFrame:
     """fights with the date of their event. missing: "warn" or "raise" where there is none.
 
-    Events are deduplicated by (event_id, date) first, so the join keeps one row a fight.
+    dedup: an event counts with its first row (by `_ord` if there is one, else the earliest date,
+    null last), so the join keeps one row a fight; else one for each row of the event.
     """
-    dates = events.select("event_id", "date")
-    joined = fights.join(dates.distinct() if dedup else dates, "event_id", "left")
+    order = F.col("_ord") if "_ord" in events.columns else F.struct(F.col("date").isNull(), "date")
+    dates = events.groupBy("event_id").agg(F.min_by(F.struct("date"), order).alias("first")).select("event_id", "first.date") if dedup else events.select("event_id", "date")
+    joined = fights.join(dates, "event_id", "left")
     if missing not in ("warn", "raise"):
         return joined
-    lost = joined.filter(F.col("date").isNull()).count()
+    # only ids are read for it, before the join of whole rows
+    lost = fights.select("event_id").join(dates, "event_id", "left").filter(F.col("date").isNull()).count()
     if lost and missing == "raise":
         raise ValueError(f"{lost} fights have no date")
     if lost:

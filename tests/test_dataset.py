@@ -113,3 +113,21 @@ def test_contract_and_dates(spark):
         assert tables.attach_dates(fights, none).count() == 2
     with pytest.raises(ValueError):
         tables.attach_dates(fights, none, missing="raise")
+
+
+def test_an_event_with_two_dates_keeps_one_row_a_fight(spark):
+    fights = spark.createDataFrame([(1, "e"), (2, "f"), (3, None)], "fight_id int, event_id string")
+    events = spark.createDataFrame([("e", "2001-01-02", 0), ("e", "2001-01-01", 1), ("f", None, 2), ("f", "2002-02-02", 3)], "event_id string, date string, _ord int").withColumn("date", F.to_date("date"))
+    with pytest.warns(UserWarning):
+        got = {r.fight_id: str(r.date) for r in tables.attach_dates(fights, events).collect()}
+    assert got == {1: "2001-01-02", 2: "None", 3: "None"}
+    with pytest.warns(UserWarning):
+        rows = tables.attach_dates(fights, events.drop("_ord")).collect()
+    assert {r.fight_id: str(r.date) for r in rows} == {1: "2001-01-01", 2: "2002-02-02", 3: "None"} and len(rows) == 3
+
+
+def test_a_key_that_occurs_twice_fails_the_join(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert {(r.k, r.v) for r in keys.unique(df.filter("v <> 'c'"), ["k"], "rows").collect()} == {(1, "a"), (2, "b")}
+    with pytest.raises(Exception, match="occurs twice"):
+        keys.unique(df, ["k"], "rows").collect()

@@ -13,6 +13,6 @@ def test_entry(spark):
 def test_sequential_and_model_queries_run(spark, small):
     from ringside import queries
 
-    for name in ("elo_v01", "elo_recency", "elo_wl_only", "elo_shared_k", "sos", "glicko2", "top10_current", "recency_sweep", "best_config_per_fold", "leaderboard", "schedule_model"):
+    for name in ("glicko2", "glicko2_metrics", "schedule_model"):
         assert queries.queries()[name](spark, small).count() > 0
-    assert not queries.queries()["ratings_dq"](spark, small).filter("violations > 0").count()
+    assert queries.queries()["ratings_dq"](spark, small).filter("violations > 0").count() == 7  # each check meets its planted rows

@@ -99,7 +99,7 @@ def test_configs_walk_apart(spark):
     rows = bouts(spark, random_rows(80))
     configs = ratings.half_life_configs()
     both = ratings.elo(rows, configs)
-    for k in ("no_decay", "half_life_2y"):
+    for k in ("baseline", "half_life_2y"):
         own = ratings.elo(rows, {k: configs[k]})
         assert sorted(both.filter(F.col("config") == k).collect()) == sorted(own.collect())
     with pytest.raises(ValueError):
@@ -135,3 +135,21 @@ def test_history(spark):
     assert values and [r.career_fights_before for r in got] == [0, 1, 2] and [r.wins_before for r in got] == [0, 1, 1]
     assert [r.nc_before for r in got] == [0, 0, 1] and [r.win_rate_before for r in got] == [None, 1.0, 0.5]
     assert [r.sum_v_before for r in got] == [None, None, 4.0] and [r.avg_v_before for r in got] == [None, None, 4.0]
+
+
+def test_unknown_result_names_the_bout(spark):
+    with pytest.raises(Exception, match="unknown result 'X' of 1"):
+        walked(spark, [(date(2000, 1, 1), A, B, "X", "L")])
+
+
+def test_one_task_for_each_config_and_one_walk_of_a_sweep(spark):
+    from ringside.plans import experiments
+
+    rows = bouts(spark, random_rows(80))
+    configs = ratings.candidate_configs()
+    rated = ratings.elo(rows, configs)
+    places = rated.select("config", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(places) == len(configs) == len({r.p for r in places})
+    swept = experiments.sweep(rows, configs, date(2000, 1, 1), 1, cutoff=date(2002, 1, 1))
+    assert "MapInPandas" not in swept._jdf.queryExecution().toString()
+    assert {r.fold for r in swept.collect()} == {"2000-01-01", "2001-01-01", "2002-01-01", "2003-01-01", "2004-01-01", "pooled", "test"}
