@@ -58,18 +58,24 @@ def write_if_valid(tables: dict[str, DataFrame], folder: str, checks: Callable[[
             df.unpersist()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once, into the checkpoint folder that driver and executors share; cut the lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, which the driver and all executors share.
 
-    The folder is the one that spark.checkpoint.dir names. Where that is unset, one is made on
-    this machine if the master is local; on a cluster the job fails, as no executor would see it.
+    It is the one that spark.checkpoint.dir names. Where that is unset, one is made on this
+    machine if the master is local; on a cluster the job fails, as no executor would see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "ringside-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once, into the shared folder, and cut the lineage: a lost executor costs no more than what came since."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
