@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java/RE2 class.
-WORD_REGEX = r"[^\x20\x09-\x0D]+"
+from ..sources.tables import cut, shared_folder, table
 
+__all__ = ["WORD_REGEX", "bounded_batches", "columns_of_row", "cut", "drawn", "shared_folder", "table", "text_of", "whole_row"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; read by Spark, so any store that Spark reads will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java/RE2 class.
+WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
 def text_of(col: str | Column) -> Column:
@@ -56,22 +52,3 @@ def drawn(rows: DataFrame, key: str | Column, size: int, salt: str) -> DataFrame
         if few.limit(size).count() >= size:
             rows = few
     return rows.orderBy(place, at.cast("string")).limit(size)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application, which the driver and all executors share.
-
-    It is the one that spark.checkpoint.dir names; only where that is unset (tests, one
-    machine) a local one is made.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "ringside-checkpoints"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
