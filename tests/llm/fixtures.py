@@ -1,6 +1,6 @@
 """Awkward documents that every operator on texts must take."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, size long, key string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, size long, key string, n string, row string, first int, class string, __id int, __text string, __copy int, `a.b` int"
 
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog", "en", "a"),
@@ -21,4 +21,4 @@ ROWS = [
 
 def documents(spark, rows=ROWS):
     """The rows with extra columns whose names clash with those that operators make."""
-    return spark.createDataFrame([(*r, len(r[1] or ""), 0, "fp", 0, "key", "n") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 0, "fp", 0, "key", "n", "row", 1, "class", 2, "text", 3, 4) for r in rows], SCHEMA)
