@@ -12,6 +12,7 @@ differ by more than chance (a likelihood-ratio test).
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -251,7 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     sample has at most `per_class` labels for each category, and twice as many of rows without
     any, the first in the order of a hash of the id. Labels of unknown documents are ignored; of
     several labels of a document the largest count. Which features tell anything is found by
-    Spark; the driver gets those of the sampled texts only, and of at most `most` features for each category.
+    Spark, at most `most` of each category; the chain is fitted on those of the sampled texts
+    in one task, and the driver gets its weights only. Texts are read whole, however long; a null
+    text has no features; rows without an id teach nothing; without labels every probability is
+    near 0.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -275,9 +279,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         return Chain(names, [_fit(Present.of([]), np.zeros((0, j)), np.zeros(0)) for j in range(len(names))], [0.5] * len(names))
     telling = cut(_telling(each, names, folds, least_z, most))
     met = each.select("__id", F.explode("features").alias("feature")).join(F.broadcast(telling), "feature").groupBy("__id").agg(F.array_sort(F.collect_list("feature")).alias("features"))
-    got = each.drop("features").join(met, "__id", "left").toPandas().sort_values("__id", kind="stable")
-    none = np.zeros(0, np.int32)
-    return fit_chain([none if f is None else np.asarray(f, np.int32) for f in got["features"]], got[names].to_numpy(), names, got["fold"].to_numpy(), least_z, most)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(batches), ignore_index=True).sort_values("__id", kind="stable")
+        none = np.zeros(0, np.int32)
+        rows = (none if f is None else np.asarray(f, np.int32) for f in got["features"])
+        yield pd.DataFrame({"chain": [pickle.dumps(fit_chain(rows, got[names].to_numpy(), names, got["fold"].to_numpy(), least_z, most))]})
+
+    # one task: the sample has a fixed size, and a task's worker has more room than the driver
+    sample = each.drop("features").join(met, "__id", "left").repartition(1)
+    return pickle.loads(sample.mapInPandas(train, "chain binary").first()["chain"])
 
 
 def scorer(spark, chain: Chain):
