@@ -140,15 +140,16 @@ ELO_FIELDS = (
 )
 
 
-def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], walks: list[str] | None = None) -> DataFrame:
+def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], walks: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """Walk the rows of each `by` value in order of (day, fight_id); make(key) gives the walk.
 
     walks: the values of the first `by` column, if they are known; each gets a task of its own,
-    where hashes would put several into one.
+    where hashes would put several into one. only: the fields that are wanted.
     """
+    wanted = [(k, *f) for k, f in enumerate(fields) if only is None or f[0] in only]
     keep = [*by, "fight_id", "date", "fighter_1_id", "fighter_2_id", "fighter_1_result", "fighter_2_result"]
     schema = T.StructType([rows.schema[c] for c in keep])
-    for name, kind in fields:
+    for _, name, kind in wanted:
         schema = schema.add(name, kind)
     names = schema.names
 
@@ -160,8 +161,7 @@ def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], w
                 if walk is None or own != key:
                     key, walk = own, make(own)
                 out.append(walk.step(day, one, two, r1, r2, division))
-            got = pd.DataFrame(out, columns=[n for n, _ in fields])
-            yield pd.concat([pdf[keep].reset_index(drop=True), got], axis=1)[names]
+            yield pdf[keep].reset_index(drop=True).assign(**{n: [row[k] for row in out] for k, n, _ in wanted})[names]
 
     if walks:
         place = F.array_position(F.lit(walks), F.col(by[0])).cast("int") - 1
@@ -179,11 +179,14 @@ def _narrow(bouts: DataFrame, decided_only: bool) -> DataFrame:
     return rows.filter("(fighter_1_result, fighter_2_result) in (('W', 'L'), ('L', 'W'))") if decided_only else rows
 
 
-def elo(bouts: DataFrame, configs: dict[str, EloConfig], dialect: Dialect = PRODUCTION) -> DataFrame:
-    """One row for each bout and config: ratings before and after, both sides (see ELO_FIELDS)."""
+def elo(bouts: DataFrame, configs: dict[str, EloConfig], dialect: Dialect = PRODUCTION, only: list[str] | None = None) -> DataFrame:
+    """One row for each bout and config: ratings before and after, both sides (see ELO_FIELDS).
+
+    only: the fields that are wanted; the others don't leave the walk.
+    """
     rows = _narrow(bouts, dialect.decided_only)
     rows = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in configs])))
-    return _fold(rows, ["config"], lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS, list(configs))
+    return _fold(rows, ["config"], lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS, list(configs), only)
 
 
 def by_fighter(rated: DataFrame, bouts: DataFrame) -> DataFrame:
