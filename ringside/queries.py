@@ -184,6 +184,14 @@ def numeric_rounds(spark, sf):
     return features.numeric_rounds(competition.rounds(spark, sf)).drop("fighter_name")
 
 
+@query(BASE + f"SELECT fight_id, fighter_id, CAST(round AS INT) AS round, CASE WHEN fight_id % 5 <> 0 THEN knockdowns END AS knockdowns, CASE WHEN fight_id % 7 <> 0 THEN CAST(takedowns_landed AS DOUBLE) END AS takedowns_landed, CASE WHEN fight_id % 7 <> 0 THEN CAST(takedowns_attempted AS DOUBLE) END AS takedowns_attempted, CAST({CONTROL} AS DOUBLE) AS {CONTROL} FROM stat")
+def numeric_rounds_lenient(spark, sf):
+    """Junk, which would fail the strict parsers, becomes null."""
+    junk = {"knockdowns": F.expr("CASE WHEN fight_id % 5 = 0 THEN 'junk' ELSE cast(knockdowns AS string) END"), "takedowns": F.expr("CASE WHEN fight_id % 7 = 0 THEN 'x of y' ELSE takedowns END")}
+    rows = features.numeric_rounds(competition.rounds(spark, sf).withColumns(junk), strict=False)
+    return rows.select("fight_id", "fighter_id", "round", "knockdowns", "takedowns_landed", "takedowns_attempted", F.col(CONTROL).cast("double").alias(CONTROL))
+
+
 @query(BASE + "SELECT fight_id, weight_class, division FROM bout")
 def division(spark, sf):
     return competition.bouts(spark, sf).select("fight_id", "weight_class", "division")

@@ -153,3 +153,14 @@ def test_one_task_for_each_config_and_one_walk_of_a_sweep(spark):
     swept = experiments.sweep(rows, configs, date(2000, 1, 1), 1, cutoff=date(2002, 1, 1))
     assert "MapInPandas" not in swept._jdf.queryExecution().toString()
     assert {r.fold for r in swept.collect()} == {"2000-01-01", "2001-01-01", "2002-01-01", "2003-01-01", "2004-01-01", "pooled", "test"}
+
+
+def test_one_folder_for_each_config(spark, tmp_path):
+    from ringside.plans import experiments
+
+    configs = ratings.half_life_configs((None, 2.0))
+    rated = ratings.elo(bouts(spark, random_rows(30)), configs, only=["expected_1"])
+    experiments.write_by_config(rated, str(tmp_path / "rated"))
+    assert {p.name for p in (tmp_path / "rated").iterdir() if p.is_dir()} == {f"config={k}" for k in configs}
+    back = spark.read.parquet(str(tmp_path / "rated"))
+    assert back.filter("config = 'baseline'").count() == 30 and back.count() == 60
