@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut, shared_folder, table
 
-__all__ = ["WORD_REGEX", "bounded_batches", "columns_of_row", "cut", "drawn", "shared_folder", "table", "text_of", "whole_row"]
+__all__ = ["WORD_REGEX", "bounded_batches", "columns_of_row", "cut", "drawn", "looked_up", "repeated", "shared_folder", "table", "text_of", "whole_row"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java/RE2 class.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -52,3 +52,22 @@ def drawn(rows: DataFrame, key: str | Column, size: int, salt: str) -> DataFrame
         if few.limit(size).count() >= size:
             rows = few
     return rows.orderBy(place, at.cast("string")).limit(size)
+
+
+def looked_up(rows: DataFrame, names: DataFrame, key: list[str], every: int, most: int = 1000) -> DataFrame:
+    """`rows` with the columns of `names` (one row a key), joined on a non-null `key`.
+
+    names has a column __n, how many of the `every` rows of `rows` have its key. A key of more than
+    an `most`-th of them would fill a task; such keys, which are `most` at most, are broadcast, and
+    only the others are joined by a shuffle. Rows of keys that `names` lacks are left out.
+    """
+    bound = max(1, every // most)
+    hot, own = names.filter(F.col("__n") > bound).drop("__n"), names.filter(F.col("__n") <= bound).drop("__n")
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(own, key))
+
+
+def repeated(rows: DataFrame, times: str, out: str, step: int = 4096) -> DataFrame:
+    """Each row `times` times, numbered from 1 in `out`; in two steps, so that no array is long."""
+    first = rows.withColumn("__first", F.explode(F.expr(f"sequence(1L, cast({times} as long), {step}L)")))
+    return first.withColumn(out, F.explode(F.expr(f"sequence(__first, least(__first + {step - 1}, cast({times} as long)))"))).drop("__first")

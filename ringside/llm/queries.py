@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_extract, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, exact_dedup, html_extract, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -102,10 +102,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal documents stays, for every document."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Of repeated rows of the largest id, one is kept.
+OP12_SQL = """
+WITH told AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS k FROM documents),
+met AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM told GROUP BY text)
+SELECT t.doc_id, m.keep_id, m.group_size, t.k = 1 AS kept, sha256(t.text) AS text_sha256 FROM told t JOIN met m ON m.text = t.text
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash, op12_exact_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_exact_dedup": OP12_SQL}
