@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, exact_dedup, html_extract, importance, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -107,6 +107,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents against the benchmark's texts, and the twentieth that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 #: Of repeated rows of the largest id, one is kept.
 OP12_SQL = """
 WITH told AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS k FROM documents),
@@ -116,7 +121,7 @@ SELECT t.doc_id, m.keep_id, m.group_size, t.k = 1 AS kept, sha256(t.text) AS tex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash, op12_exact_dedup]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash, op12_exact_dedup, op13_importance]
     return {f.__name__: f for f in own}
 
 
