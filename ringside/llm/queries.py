@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, html_extract, importance, langid, mixing, quality, secret_scan, sharding, simhash, toxicity
+from . import ann, bpe, exact_dedup, html_extract, importance, langid, mixing, prefix_trie, quality, secret_scan, sharding, simhash, toxicity
 from .common import table
 
 
@@ -102,6 +102,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def prefix_trie_of(conversations: DataFrame) -> DataFrame:
+    """The trie of conversations that start with turns of the first of their hundred."""
+    rows = prefix_trie.turns(conversations)
+    first = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(prefix_trie.with_heads_of(rows, F.col("conv") - F.col("conv") % 100, first), prefix_trie.members(rows))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations."""
+    return prefix_trie_of(table(spark, sf_dir, "conversations"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal documents stays, for every document."""
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
@@ -121,7 +133,7 @@ SELECT t.doc_id, m.keep_id, m.group_size, t.k = 1 AS kept, sha256(t.text) AS tex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash, op12_exact_dedup, op13_importance]
+    own = [op1_sharding, op2_mixing, op3_language_id, op4_toxicity, op5_byte_bpe, op6_secrets, op7_quality, op8_html, op9_neighbours, op10_simhash, op11_prefix_trie, op12_exact_dedup, op13_importance]
     return {f.__name__: f for f in own}
 
 
