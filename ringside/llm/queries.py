@@ -124,6 +124,22 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length({0})), lambda i: ascii({0}[i + 1])::BIGINT)), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+OP11_SQL = f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 100 AS b, {_CRC.format("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+line AS (SELECT i.c, o.pos, o.r, o.t FROM ids i JOIN own o ON o.c = i.b AND o.pos <= i.h UNION ALL SELECT i.c, o.pos, o.r, o.t FROM ids i JOIN own o ON o.c = i.c AND o.pos > i.h),
+placed AS (SELECT c, r, t, row_number() OVER (PARTITION BY c ORDER BY pos) AS d FROM line),
+path AS (SELECT c, d, sha256(string_agg(concat(length(r), ':', length(t), ':', r, t), '') OVER (PARTITION BY c ORDER BY d)) AS node, length(t) AS size FROM placed UNION ALL SELECT c, 0, 'root', 0 FROM ids),
+long AS (SELECT c, max(d) AS n FROM path GROUP BY c),
+nodes AS (SELECT p.node, p.d, min(p.c) AS conv_id, count(*) AS n_convs, max(p.size) AS size, sha256(coalesce(string_agg(CASE WHEN p.d = l.n THEN CAST(p.c AS VARCHAR) END, ',' ORDER BY p.c), '')) AS ends_sha256 FROM path p JOIN long l ON l.c = p.c GROUP BY p.node, p.d),
+up AS (SELECT n.node, n.d, n.n_convs, n.size, q.node AS a, q.d AS ad FROM nodes n JOIN path q ON q.c = n.conv_id AND q.d <= n.d),
+kids AS (SELECT a, count(*) AS n_children FROM up WHERE ad = d - 1 GROUP BY a),
+sums AS (SELECT u.a, sum((u.n_convs - 1) * u.size) AS saved_tokens, count(*) - count(k.a) AS n_leaves FROM up u LEFT JOIN kids k ON k.a = u.node GROUP BY u.a)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.a = n.node LEFT JOIN kids k ON k.a = n.node LEFT JOIN up u ON u.node = n.node AND u.ad = n.d - 1 LEFT JOIN nodes p ON p.node = u.a
+"""
+
 #: Of repeated rows of the largest id, one is kept.
 OP12_SQL = """
 WITH told AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS k FROM documents),
@@ -138,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_exact_dedup": OP12_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op12_exact_dedup": OP12_SQL}
