@@ -15,7 +15,9 @@ iterations run on their token sums.
 
 Rates become whole copies by systematic rounding along the documents of a source in the order
 of size, with exact integer running sums: the copies of every stretch stay within one of its
-rates. What is still off the target is made up by single copies of single documents, more or less.
+rates. Repeated rows are one document with as many rates; its copies are shared out among them, so
+theirs differ by one at most. What is still off the target is made up by single copies of single
+documents, more or less.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, columns_of_row, cut, text_of, whole_row
+from .common import WORD_REGEX, columns_of_row, cut, repeated, text_of, whole_row
 
 GRID = 1 << 20  # rates are whole multiples of 1 / GRID
 SALTS = 64
-CLASSES = 1024  # values of keep_col share so many classes at most (by a hash)
+CLASSES = 1024  # values of keep_col at most
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -100,7 +102,9 @@ def tilts(cells: DataFrame, targets: DataFrame, cap: float, keep_weight: float,
     how far the last one went. (The sources' constraints hold in any case.)
     """
     cells = cut(cells.join(targets, "source"))
-    shares = {r["class"]: float(r["share"] or 0) for r in cells.groupBy("class").agg(F.sum("tokens").alias("share")).collect()}
+    shares = {r["class"]: float(r["share"] or 0) for r in cells.groupBy("class").agg(F.sum("tokens").alias("share")).limit(CLASSES + 1).collect()}
+    if len(shares) > CLASSES:
+        raise ValueError(f"there are more than {CLASSES} classes")
     mu = dict.fromkeys(shares, 0.0)
 
     def rates(pdf: pd.DataFrame, mu: dict[str, float]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -177,22 +181,19 @@ def _key(c: Column) -> Column:
 
 def _keys(id_col: str, text_col: str, source_col: str, keep_col: str | None) -> list[Column]:
     """What tells documents apart: (id, text_hash, source, class)."""
-    group = F.pmod(F.xxhash64(_key(F.col(keep_col))), F.lit(CLASSES)).cast("string") if keep_col else F.lit("n")
-    return [F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), _key(F.col(source_col)).alias("source"), group.alias("class")]
+    return [F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), _key(F.col(source_col)).alias("source"), (_key(F.col(keep_col)) if keep_col else F.lit("n")).alias("class")]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, keep_col: str | None = "lang", keep_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, text_hash, size, source, class, source_size, target, rate, copies, taken) of every document.
+KEYS = ["id", "text_hash", "source", "class"]
 
-    taken = copies * size, with at most `cap` copies. Nulls: a null text has no words; a null
-    source or class is one of its own; a null id is an id. Repeated rows (equal id, text and
-    source) get equal copies. A source without words has target 0, and its documents one
-    copy each. An empty table gives an empty result; other columns are ignored.
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], cap: int, keep_col: str | None, keep_weight: float, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """A row for all rows of an id, text, source and class, `times` of them: (KEYS, size, times, source_size, target, rate, total).
+
+    total: the copies of all of them together, `cap` for each at most.
     """
-    key = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
-    group = F.pmod(F.xxhash64(key(F.col(keep_col))), F.lit(CLASSES)).cast("string") if keep_col else F.lit("n")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text_hash"), key(F.col(source_col)).alias("source"), group.alias("class"), word_count(text_col).alias("size"))
-    units = cut(rows.groupBy("id", "text_hash", "source", "class", "size").agg(F.count("*").alias("times")))
+    rows = docs.select(*_keys(id_col, text_col, source_col, keep_col), word_count(text_col).alias("size"))
+    units = cut(rows.groupBy(*KEYS, "size").agg(F.count("*").alias("times")))
     mass = F.col("size") * F.col("times")
     cells = units.groupBy("source", "class").agg(F.sum(mass).alias("tokens"))
     sizes = units.groupBy("source").agg(F.sum(mass).alias("source_size"))
@@ -204,7 +205,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     digest = F.xxhash64(F.col("id").cast("string"), F.col("text_hash"))
     band = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8)).otherwise(-1).cast("int")
     own = units.join(rates, ["source", "class"])
-    own = own.withColumns({"digest": digest, "band": band}).withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int"))
+    own = own.withColumns({"digest": digest, "band": band, "grid": F.col("grid") * F.col("times")}).withColumn("salt", F.pmod("digest", F.lit(SALTS)).cast("int"))
     own = cut(own)
     # running sums of rates: of whole (band, salt) groups first, then within one
     sums = own.groupBy("source", "band", "salt").agg(F.sum("grid").alias("in_group"))
@@ -214,29 +215,69 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, k
     upto = F.col("before") + F.sum("grid").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + GRID // 2
     placed = own.join(starts, ["source", "band", "salt"]).withColumns({"upto": upto, "place": F.row_number().over(line)})
     copies = F.shiftright("upto", 20) - F.shiftright(F.col("upto") - F.col("grid"), 20)
-    placed = cut(placed.withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(cap))).otherwise(1).cast("int")).drop("upto", "before", "grid"))
+    most = F.col("times") * cap
+    placed = cut(placed.withColumn("total", F.when(F.col("size") > 0, F.least(copies, most)).otherwise(F.col("times"))).drop("upto", "before", "grid"))
 
-    left = targets.join(placed.groupBy("source").agg(F.sum(F.col("copies") * mass).alias("got")), "source").select("source", (F.col("target") - F.col("got")).alias("left"))
-    one = F.struct("digest", "place", mass.alias("size"))
-    ready = placed.filter("size > 0").groupBy("source", "band", "salt").agg(F.min(F.when(F.col("copies") < cap, one)).alias("add"), F.min(F.when(F.col("copies") > 0, one)).alias("sub"))
+    left = targets.join(placed.groupBy("source").agg(F.sum(F.col("total") * F.col("size")).alias("got")), "source").select("source", (F.col("target") - F.col("got")).alias("left"))
+    one = F.struct("digest", "place", "size")
+    ready = placed.filter("size > 0").groupBy("source", "band", "salt").agg(F.min(F.when(F.col("total") < most, one)).alias("add"), F.min(F.when(F.col("total") > 0, one)).alias("sub"))
     single = ready.select("source", "band", "salt", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("add").alias("d")), F.struct(F.lit(-1).alias("sign"), F.col("sub").alias("d")))).alias("c"))
     single = single.filter("c.d is not null").select("source", "band", "salt", "c.sign", "c.d.digest", "c.d.place", "c.d.size").join(left, "source")
     # at most bands x SALTS x 2 rows of a source, whatever its size
     made_up = single.groupBy("source").applyInPandas(_make_up, "source string, band int, salt int, place int, more int")
-    done = placed.join(made_up, ["source", "band", "salt", "place"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+    done = placed.join(made_up, ["source", "band", "salt", "place"], "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0)))
     out = done.join(targets, "source").join(rates.withColumn("rate", F.col("grid") / GRID), ["source", "class"])
-    return out.select("id", "text_hash", "size", F.explode(F.expr("sequence(1L, times)")).alias("__t"), "source", "class", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")).drop("__t")
+    return out.select(*KEYS, "size", "times", "source_size", "target", "rate", "total")
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_col: str | None = "lang", **how) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, keep_col: str | None = "lang", keep_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, text_hash, size, source, class, source_size, target, rate, copies, taken) of every document.
+
+    taken = copies * size, with at most `cap` copies. Nulls: a null text has no words; a null
+    source or class is one of its own; a null id is an id. Copies of repeated rows (equal id, text,
+    source and class) differ by one at most. A source without words has target 0, and its
+    documents one copy each. Texts are counted whole, however long. An empty table gives an empty
+    result; other columns are ignored. More than CLASSES values of keep_col are an error.
+    """
+    rows = repeated(_plan(docs, weights, cap, keep_col, keep_weight, id_col, text_col, source_col), "times", "copy")
+    copies = F.expr("total div times") + (F.col("copy") <= F.col("total") % F.col("times")).cast("long")
+    rows = rows.withColumn("copies", copies.cast("int"))
+    return rows.select("id", "text_hash", "size", "source", "class", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5, 2, 1),
+    cap: int = 3,
+    keep_col: str | None = "lang",
+    keep_weight: float = 1.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """`docs` as the mix takes them: every row as often as it has copies, some not at all.
 
     Rows are those of mix(): told apart by id, text, source and class, so one id may stand for
-    several texts or sources; repeated rows are taken equally often. Nulls are as in mix(); texts
-    without words stay once; an empty table gives an empty result; all columns stay, whatever their names.
+    several texts or sources. Of rows that are alike in these, the first in the order of all columns
+    are taken once more where copies differ. Nulls are as in mix(); texts without words stay
+    once; an empty table gives an empty result; all columns stay, whatever their names.
     """
-    keys = ["id", "text_hash", "source", "class"]
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep_col=keep_col, **how).select(*keys, "copies").distinct().filter("copies > 0")
+    plan = cut(_plan(docs, weights, cap, keep_col, keep_weight, id_col, text_col, source_col).select(*KEYS, F.expr("total div times").alias("each"), F.expr("total % times").alias("more")))
     own = docs.select(whole_row(docs), *_keys(id_col, text_col, source_col, keep_col)).alias("own")
-    met = own.join(plan.alias("plan"), [F.col(f"own.{k}").eqNullSafe(F.col(f"plan.{k}")) for k in keys])
-    return met.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*columns_of_row(docs))
+    like = lambda part: own.join(part.alias("plan"), [F.col(f"own.{k}").eqNullSafe(F.col(f"plan.{k}")) for k in KEYS])
+    even = like(plan.filter("more = 0 and each > 0"))
+    taken = even.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "each")).alias("copy")).select(*columns_of_row(docs))
+    uneven = plan.filter("more > 0")
+    if uneven.isEmpty():
+        return taken
+    # equal rows are counted; different ones of a key are dealt over salts, and get their part of `more` by running sums
+    rows = like(uneven).select(*[F.col(f"own.{k}").alias(k) for k in KEYS], "row", "each", "more", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    rows = cut(rows.groupBy(*KEYS, "salt", "row", "each", "more").agg(F.count("*").alias("n")))
+    sums = rows.groupBy(*KEYS, "salt").agg(F.sum("n").alias("in_salt"))
+    running = lambda by, order, c: F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(c)
+    starts = sums.withColumn("before", running(KEYS, "salt", "in_salt")).alias("starts")
+    met = rows.withColumn("within", running([*KEYS, "salt"], "row", "n")).alias("rows")
+    met = met.join(starts, [F.col(f"rows.{k}").eqNullSafe(F.col(f"starts.{k}")) for k in [*KEYS, "salt"]])
+    extra = F.least(F.greatest(F.col("more") - F.col("before") - F.col("within"), F.lit(0)), F.col("n"))
+    met = met.select("row", (F.col("n") * F.col("each") + extra).alias("total")).filter("total > 0")
+    return taken.unionByName(repeated(met, "total", "copy").select(*columns_of_row(docs)))

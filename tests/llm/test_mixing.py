@@ -95,3 +95,42 @@ def test_targets_of_many_sources(spark):
     got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
     assert got == pytest.approx(brute_targets(sizes))
     assert sum(got.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_repeated_rows_meet_the_target(spark):
+    """200 equal rows of one source: their copies differ by one at most, and the targets are met."""
+    rows = [(1, "ten words " * 5, "a", "en", k // 100) for k in range(200)]
+    rows += [(1000 + k, f"w{k} " * (1 + k % 19), "b", "en", 0) for k in range(200)] + [(2000 + k, f"v{k} " * (1 + k % 23), "c", "de", 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, more int")
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == 600
+    for s in "abc":
+        own = [r for r in plan if r.source == f"s{s}"]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+        assert all(r.taken == r.copies * r["size"] <= 3 * r["size"] for r in own)
+    same = [r.copies for r in plan if r.id == 1]
+    assert len(same) == 200 and max(same) - min(same) <= 1
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted((r.id, r.copies) for r in again) == sorted((r.id, r.copies) for r in plan)
+    kept = mixing.take(docs).collect()
+    taken = {}
+    for r in kept:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+    assert taken == {i: n for i in {r.id for r in plan} if (n := sum(r.copies for r in plan if r.id == i))}
+    # rows alike in id and text, but not in another column, are taken equally often but for one copy each
+    halves = [sum(r.doc_id == 1 and r.more == k for r in kept) for k in (0, 1)]
+    assert sum(halves) == sum(same) and all(min(same) * 100 <= h <= max(same) * 100 for h in halves)
+
+
+def test_many_repeats_of_one_row(spark):
+    """More repeats than one array of numbers holds."""
+    docs = spark.range(30_000).selectExpr("7 as doc_id", "'one two three' as text", "'a' as source", "'en' as lang").union(spark.range(50).selectExpr("id", "'some other words here'", "'b'", "'en'"))
+    plan = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    assert {r["source"]: r["count(1)"] for r in plan} == {"sa": 30_000, "sb": 50}
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 4 for r in plan)
+
+
+def test_too_many_classes_fail(spark):
+    docs = spark.range(mixing.CLASSES + 1).selectExpr("id as doc_id", "'one two' as text", "'a' as source", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="classes"):
+        mixing.mix(docs).count()
