@@ -80,6 +80,30 @@ def fold_start(day: Column, first: date, step_years: int) -> Column:
     return F.when(day >= F.lit(first), F.add_months(F.lit(first), fold * (12 * step_years)))
 
 
+MOST_FOLDS = 10_000
+
+
+def in_folds(rows: DataFrame, folds: DataFrame, day: str = "date") -> DataFrame:
+    """`rows` with fold and start of the named fold that their date is in; null where there is none.
+
+    folds: (fold, start, end), the end excluded; lengths and gaps as one likes. They are checked first: names
+    are unique, a fold ends after it starts, and none meets another. MOST_FOLDS at most. Rows meet
+    the folds of their year by an equal join, so no row is compared with all folds.
+    """
+    known = [r.asDict() for r in folds.select("fold", "start", "end").orderBy("start").limit(MOST_FOLDS + 1).collect()]
+    if len(known) > MOST_FOLDS:
+        raise ValueError(f"there are more than {MOST_FOLDS} folds")
+    if any(None in r.values() for r in known) or len({r["fold"] for r in known}) < len(known):
+        raise ValueError("folds need names of their own, a start and an end")
+    if wrong := [r["fold"] for r in known if r["start"] >= r["end"]] + [b["fold"] for a, b in zip(known, known[1:]) if b["start"] < a["end"]]:
+        raise ValueError(f"folds are empty or meet others: {wrong}")
+    years = F.explode(F.sequence(F.year("start"), F.year(F.date_sub("end", 1)))).alias("__year")
+    own = folds.select("fold", "start", "end", years)
+    dated = rows.withColumn("__year", F.year(day)).alias("x")
+    met = dated.join(F.broadcast(own).alias("y"), (F.col("x.__year") == F.col("y.__year")) & (F.col(f"x.{day}") >= F.col("start")) & (F.col(f"x.{day}") < F.col("end")), "left")
+    return met.select(*[F.col(f"x.`{c}`").alias(c) for c in rows.columns], "fold", "start")
+
+
 #: Bounds of probabilities in the log loss: of evaluated ratings, of the Glicko-2 and schedule
 #: experiments, and of the performance models (the least step of a double above 1).
 LEAST, LEAST_EXPERIMENT, LEAST_MODEL = 1e-6, 1e-15, 2.0**-52
@@ -95,6 +119,12 @@ def with_pooled(predictions: DataFrame, by: list[str], least: float = LEAST) ->
     return metrics(predictions.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit("pooled")))), [*by, "fold"], least=least)
 
 
+def by_named_fold(predictions: DataFrame, folds: DataFrame, by: list[str], least: float = LEAST) -> DataFrame:
+    """Metrics of each named fold (in_folds) that has rows, and pooled over all of them (fold "pooled")."""
+    dealt = in_folds(predictions, folds).filter("fold is not null")
+    return with_pooled(dealt.drop("start"), by, least)
+
+
 def walk_forward(predictions: DataFrame, first: date, step_years: int, by: list[str], cutoff: date | None = None, least: float = LEAST) -> DataFrame:
     """Metrics of each fold that has rows, and pooled over all of them (fold "pooled").
 

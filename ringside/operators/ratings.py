@@ -216,7 +216,7 @@ class GlickoWalk:
 
     UNIT = 173.7178
 
-    def __init__(self, rating: float = 1500.0, rd: float = 350.0, volatility: float = 0.06, tau: float = 0.5, tolerance: float = 1e-6):
+    def __init__(self, rating: float = 1500.0, rd: float = 350.0, volatility: float = 0.06, tau: float = 0.5, tolerance: float = 1e-12):
         self.start, self.tau, self.tolerance, self.states = (rating, rd, volatility), tau, tolerance, {}
 
     def update(self, state: tuple[float, float, float], games: list[tuple[float, float, float]]) -> tuple[float, float, float]:

@@ -92,9 +92,9 @@ told AS (SELECT fight_id, date, y, 'elo' AS model, p_elo AS p FROM pred UNION AL
 """
 
 
-def _metric_sql(rows: str, by: str) -> str:
+def _metric_sql(rows: str, by: str, least: float = 1e-6) -> str:
     """SQL of the metrics of (by, y, p) rows."""
-    return f"""ranked AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2 AS r, least(greatest(p, 1e-6), 1 - 1e-6) AS q FROM ({rows}))
+    return f"""ranked AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY p) + (count(*) OVER (PARTITION BY {by}, p) - 1) / 2 AS r, least(greatest(p, {least!r}::DOUBLE), 1 - {least!r}::DOUBLE) AS q FROM ({rows}))
 SELECT {by}, count(*) AS n, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss, round(avg(pow(p - y, 2)), 6) AS brier_score, round(avg(CAST((p >= 0.5) = (y = 1) AS INT)), 6) AS accuracy,
   round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS roc_auc
 FROM ranked GROUP BY {by}"""
@@ -412,15 +412,21 @@ def sos(spark, sf):
     return history.strength_of_schedule(rated).select("fight_id", r6("sos_1_before"), r6("sos_2_before"), r6("elo_difference"), r6("sos_difference"))
 
 
-@query()
+_GLICKO = BASE + ", " + rating_sql.glicko2("bout", 0.5)
+_P_GLICKO = "1 / (1 + exp(-(ln(10) / 400) / sqrt(1 + 3 * pow(ln(10) / 400, 2) * pow(rd_2_before, 2) / pow(pi(), 2)) * (rating_1_before - rating_2_before)))"
+
+
+@query(_GLICKO + f" SELECT fight_id, CAST(date AS VARCHAR) AS date, {', '.join(s6(n) for n, _ in ratings.GLICKO_FIELDS)}, {s6(_P_GLICKO, 'p_1')} FROM played")
 def glicko2(spark, sf):
-    """The root finding of each update is beyond SQL; tests hold it against a published example."""
     rated = ratings.glicko2(competition.bouts(spark, sf))
     p = scores.glicko_expected(F.col("rating_1_before"), F.col("rating_2_before"), F.col("rd_2_before"))
-    return rated.select("fight_id", "date", *[r6(n) for n, _ in ratings.GLICKO_FIELDS], r6(p, "p_1"))
+    return _days(rated.select("fight_id", "date", *[r6(n) for n, _ in ratings.GLICKO_FIELDS], r6(p, "p_1")))
 
 
-@query()
+_GLICKO_FOLDS = f"SELECT CAST(make_date(CAST(year(date) AS INT), 1, 1) AS VARCHAR) AS fold, CAST(r1 = 'W' AS INT) AS y, {_P_GLICKO} AS p FROM played WHERE date >= DATE '1997-01-01'"
+
+
+@query(_GLICKO + ", " + _metric_sql(f"{_GLICKO_FOLDS} UNION ALL SELECT 'pooled', y, p FROM ({_GLICKO_FOLDS})", "fold", evaluate.LEAST_EXPERIMENT))
 def glicko2_metrics(spark, sf):
     return _rounded(experiments.glicko_experiment(competition.bouts(spark, sf), FIRST, STEP), _METRICS)
 
@@ -541,6 +547,17 @@ def metrics_walk_forward(spark, sf):
     return _rounded(evaluate.walk_forward(_told(spark, sf), FIRST, STEP, ["model"]), _METRICS)
 
 
+#: Folds of unequal lengths, with a gap: name, start, and the end, which is excluded.
+_NAMED = [("opening", date(1995, 3, 15), date(1996, 1, 10)), ("long", date(1996, 1, 10), date(1999, 6, 1)), ("one day", date(1999, 7, 4), date(1999, 7, 5)), ("late", date(2000, 2, 29), date(2003, 1, 1))]
+_IN_NAMED = "SELECT t.*, n.fold FROM told t JOIN (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _NAMED) + ") n(fold, start, stop) ON t.date >= n.start AND t.date < n.stop"
+
+
+@query(BASE + ", " + _metric_sql(f"{_IN_NAMED} UNION ALL SELECT * REPLACE ('pooled' AS fold) FROM ({_IN_NAMED})", "model, fold"))
+def metrics_named_folds(spark, sf):
+    folds = spark.createDataFrame(_NAMED, "fold string, start date, end date")
+    return _rounded(evaluate.by_named_fold(_told(spark, sf), folds, ["model"]), _METRICS)
+
+
 @query(BASE + f", m AS (WITH {_metric_sql(_FOLDS, 'model, fold').replace('round(', '(').replace(', 6)', ')')}) SELECT model, CAST(sum(n) AS BIGINT) AS n, {', '.join(f'round(sum({c} * n) / sum(n), 6) AS {c}' for c in _METRICS)} FROM m GROUP BY model")
 def metrics_pooled_weighted(spark, sf):
     return _rounded(evaluate.pooled_by_size(evaluate.walk_forward(_told(spark, sf), FIRST, STEP, ["model"]), ["model"]), _METRICS)
@@ -573,6 +590,27 @@ def impute_scale(spark, sf):
     return ready.select("fight_id", "fighter_id", r6("__f_knockdowns", "knockdowns"), r6(f"__f_{CONTROL}", CONTROL), r6(f"__f_{CONTROL}__missing", "missing"))
 
 
+_DIFFERENT = ["takedowns_landed", "takedown_pct", "control_time_seconds"]
+_TURNED = f""", own AS (SELECT fight_id, side, fighter_id, {', '.join(f'avg({c}) OVER (PARTITION BY fighter_id ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}' for c in _DIFFERENT)} FROM sides LEFT JOIN nulls USING (fight_id, fighter_id)),
+turned AS (SELECT x.fight_id, {', '.join(f'x.{c} - y.{c} AS {c}' for c in _DIFFERENT)} FROM own x JOIN own y ON x.fight_id = y.fight_id AND x.fighter_id < y.fighter_id)"""
+
+
+@query(BASE + _TURNED + f""", mid AS (SELECT {', '.join(f'median({c}) AS {c}' for c in _DIFFERENT)} FROM turned),
+filled AS (SELECT t.fight_id, {', '.join(f'coalesce(t.{c}, m.{c}) AS {c}, CAST(t.{c} IS NULL AS INT) AS lost_{c}' for c in _DIFFERENT)} FROM turned t, mid m),
+figures AS (SELECT {', '.join(f'avg({c}) AS a_{c}, stddev_pop({c}) AS d_{c}, avg(lost_{c}) AS i_{c}, stddev_pop(lost_{c}) AS k_{c}' for c in _DIFFERENT)} FROM filled)
+SELECT fight_id, {', '.join(f'round(({c} - a_{c}) / d_{c}, 6) AS {c}, round((lost_{c} - i_{c}) / k_{c}, 6) AS lost_{c}' for c in _DIFFERENT)} FROM filled, figures""")
+def impute_scale_differences(spark, sf):
+    """Features of the models have about as many distinct values as rows, so their medians are sought by rounds."""
+    fights = features.canonical(competition.bouts(spark, sf))
+    totals = features.fighter_totals(features.numeric_rounds(competition.rounds(spark, sf, fights)), null_as_zero=False)
+    long = history.performance_running(features.bout_long(fights, totals, ["fight_id", "date"]), _DIFFERENT)
+    side = lambda n, s: [F.max(F.when(F.col("side") == n, F.col(f"avg_{c}"))).alias(f"{c}_{s}") for c in _DIFFERENT]
+    turned = long.groupBy("fight_id").agg(*side(1, "a"), *side(2, "b"))
+    rows = tables.cut(turned.select("fight_id", *[(F.col(f"{c}_a") - F.col(f"{c}_b")).alias(c) for c in _DIFFERENT]))
+    ready = models.prepare(rows, _DIFFERENT).apply(rows)
+    return ready.select("fight_id", *[r6(f"__f_{c}", c) for c in _DIFFERENT], *[r6(f"__f_{c}__missing", f"lost_{c}") for c in _DIFFERENT])
+
+
 def _historical(spark, sf):
     fights = competition.bouts(spark, sf)
     return experiments.historical(fights, features.numeric_rounds(competition.rounds(spark, sf, fights)))

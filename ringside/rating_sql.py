@@ -71,3 +71,33 @@ def by_fighter(cte: str = "rated") -> str:
     """CTE `sided`: two rows a bout, as operators.ratings.by_fighter gives them."""
     view = lambda a, b: f"SELECT config, fight_id, date, division, f{a} AS fighter_id, f{b} AS opponent_id, r{a} AS result, career_{a} AS career_fights_before, career_{a} = 0 AS is_debut, switch_{a} AS is_division_change, k_{a} AS k_factor, updated AS rating_updated, days_{a} AS days_since_last_fight, factor_{a} AS recency_factor, expected_{a} AS expected_score, historical_{a} AS rating_historical_before, before_{a} AS rating_before, after_{a} AS rating_after FROM {cte}"
     return f"sided AS MATERIALIZED ({view(1, 2)} UNION ALL {view(2, 1)})"
+
+
+def glicko2(bouts: str, tau: float, steps: int = 8, unit: float = 173.7178) -> str:
+    """CTE `played`: bouts with a winner, with ratings, deviations and volatilities of both sides before and after.
+
+    The root that an update seeks lies so near its start that a fixed number of Newton steps reaches it to
+    the last digits.
+    """
+    e, free, over = "exp(x)", "(delta * delta - w - exp(x))", "(w + exp(x))"
+    value = f"({e} * {free} / (2 * {over} * {over}) - (x - a) / {tau * tau!r})"
+    slope = f"(({e} * ({free} - {e}) * {over} - 2 * {e} * {e} * {free}) / (2 * {over} * {over} * {over}) - 1 / {tau * tau!r})"
+    fields = ", ".join(f"max(CASE WHEN o.side = {n} THEN o.w[{k}] END) AS {what}_{n}_{when}" for when, at in (("before", 1), ("after", 4)) for n in (1, 2) for k, what in enumerate(("rating", "rd", "vol"), at))
+    return f"""{levels(bouts, True)},
+walk AS (
+  SELECT 0 AS level, f AS id, {{'r': 1500.0::DOUBLE, 'd': 350.0::DOUBLE, 'v': 0.06::DOUBLE}} AS s, CAST(NULL AS STRUCT(fight_id BIGINT, side BIGINT, w DOUBLE[])) AS o FROM (SELECT DISTINCT f FROM line)
+  UNION ALL
+  SELECT * FROM (
+    WITH st AS (SELECT * FROM walk WHERE o IS NULL),
+    m AS (SELECT b.level, b.fight_id, b.f1, b.f2, b.r1, x.s AS p, y.s AS q FROM b JOIN st x ON x.id = b.f1 AND x.level + 1 = b.level JOIN st y ON y.id = b.f2),
+    two AS (SELECT level, fight_id, 1 AS side, f1 AS id, p, q, CASE WHEN r1 = 'W' THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM m UNION ALL SELECT level, fight_id, 2, f2, q, p, CASE WHEN r1 = 'W' THEN 0.0::DOUBLE ELSE 1.0 END FROM m),
+    t1 AS (SELECT *, (p.r - 1500) / {unit} AS mu, p.d / {unit} AS phi, (q.r - 1500) / {unit} AS other, 1 / sqrt(1 + 3 * pow(q.d / {unit}, 2) / pow(pi(), 2)) AS g FROM two),
+    t2 AS (SELECT *, 1 / (1 + exp(-g * (mu - other))) AS hope FROM t1),
+    t3 AS (SELECT *, g * g * hope * (1 - hope) AS inverse, g * (score - hope) AS gain, ln(p.v * p.v) AS a FROM t2),
+    t4 AS (SELECT *, gain / inverse AS delta, phi * phi + 1 / inverse AS w FROM t3),
+    t5 AS (SELECT *, exp(list_reduce([a{", 0.0" * steps}]::DOUBLE[], lambda x, _: x - {value} / {slope}) / 2) AS vol FROM t4),
+    t6 AS (SELECT *, 1 / sqrt(1 / (phi * phi + vol * vol) + inverse) AS spread FROM t5),
+    t7 AS (SELECT level, fight_id, side, id, p, {{'r': (mu + spread * spread * gain) * {unit} + 1500, 'd': spread * {unit}, 'v': vol}} AS s FROM t6)
+    SELECT st.level + 1, st.id, coalesce(u.s, st.s), st.o FROM st LEFT JOIN t7 u ON u.id = st.id WHERE st.level < (SELECT max(level) FROM b)
+    UNION ALL SELECT level, NULL, NULL, {{'fight_id': fight_id, 'side': side, 'w': [p.r, p.d, p.v, s.r, s.d, s.v]}} FROM t7)),
+played AS MATERIALIZED (SELECT b.fight_id, b.date, b.r1, {fields} FROM walk w JOIN b ON b.fight_id = w.o.fight_id WHERE w.o IS NOT NULL GROUP BY b.fight_id, b.date, b.r1)"""

@@ -64,7 +64,7 @@ def test_preparation_and_logit(spark):
     for _ in range(20000):
         p = 1 / (1 + np.exp(-(X @ w + b)))
         w, b = w - 0.01 * (X.T @ (p - y) + w), b - 0.01 * (p - y).sum()
-    assert list(fitted.model.coefficients) == pytest.approx(list(w), abs=1e-4) and fitted.model.intercept == pytest.approx(b, abs=1e-4)
+    assert fitted.coefficients == pytest.approx(list(w), abs=1e-4) and fitted.intercept == pytest.approx(b, abs=1e-4)
     with pytest.raises(ValueError):
         models.fit_logit(df.filter("target = 1"), ["x"])
 
