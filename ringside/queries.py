@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rating_sql
+from . import model_sql, rating_sql
 from .functions import scores, text
 from .operators import evaluate, features, history, keys, models, quality, ratings
 from .plans import competition, experiments
@@ -403,7 +403,7 @@ def elo_shared_k(spark, sf):
     return _days(ratings.elo(competition.bouts(spark, sf), {"own": _OWN}, ratings.SHARED_K).select("fight_id", "date", "k_1", r6("rating_1_before"), r6("rating_2_before"), r6("expected_1")))
 
 
-@query(BASE + _elo_sql({"own": _OWN}, ratings.SHARED_K) + """, met_before AS (SELECT fight_id, side, coalesce(avg(opponent) OVER (PARTITION BY f ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1500) AS sos
+@query(BASE + _elo_sql({"own": _OWN}, ratings.SHARED_K) + """, met_before AS MATERIALIZED (SELECT fight_id, side, coalesce(avg(opponent) OVER (PARTITION BY f ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1500) AS sos
   FROM (SELECT fight_id, date, 1 AS side, f1 AS f, before_2 AS opponent FROM rated UNION ALL SELECT fight_id, date, 2, f2, before_1 FROM rated))
 SELECT r.fight_id, round(x.sos, 6) AS sos_1_before, round(y.sos, 6) AS sos_2_before, round(before_1 - before_2, 6) AS elo_difference, round(x.sos - y.sos, 6) AS sos_difference
 FROM rated r JOIN met_before x ON x.fight_id = r.fight_id AND x.side = 1 JOIN met_before y ON y.fight_id = r.fight_id AND y.side = 2""")
@@ -416,11 +416,12 @@ _GLICKO = BASE + ", " + rating_sql.glicko2("bout", 0.5)
 _P_GLICKO = "1 / (1 + exp(-(ln(10) / 400) / sqrt(1 + 3 * pow(ln(10) / 400, 2) * pow(rd_2_before, 2) / pow(pi(), 2)) * (rating_1_before - rating_2_before)))"
 
 
-@query(_GLICKO + f" SELECT fight_id, CAST(date AS VARCHAR) AS date, {', '.join(s6(n) for n, _ in ratings.GLICKO_FIELDS)}, {s6(_P_GLICKO, 'p_1')} FROM played")
+@query(_GLICKO + f" SELECT fight_id, CAST(date AS VARCHAR) AS date, {', '.join(f'round({n}, 4) AS {n}' for n, _ in ratings.GLICKO_FIELDS)}, {s6(_P_GLICKO, 'p_1')} FROM played")
 def glicko2(spark, sf):
+    """To 4 digits: numbers in the thousands, after hundreds of root searches by different methods."""
     rated = ratings.glicko2(competition.bouts(spark, sf))
     p = scores.glicko_expected(F.col("rating_1_before"), F.col("rating_2_before"), F.col("rd_2_before"))
-    return _days(rated.select("fight_id", "date", *[r6(n) for n, _ in ratings.GLICKO_FIELDS], r6(p, "p_1")))
+    return _days(rated.select("fight_id", "date", *[F.round(n, 4).alias(n) for n, _ in ratings.GLICKO_FIELDS], r6(p, "p_1")))
 
 
 _GLICKO_FOLDS = f"SELECT CAST(make_date(CAST(year(date) AS INT), 1, 1) AS VARCHAR) AS fold, CAST(r1 = 'W' AS INT) AS y, {_P_GLICKO} AS p FROM played WHERE date >= DATE '1997-01-01'"
@@ -591,8 +592,8 @@ def impute_scale(spark, sf):
 
 
 _DIFFERENT = ["takedowns_landed", "takedown_pct", "control_time_seconds"]
-_TURNED = f""", own AS (SELECT fight_id, side, fighter_id, {', '.join(f'avg({c}) OVER (PARTITION BY fighter_id ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}' for c in _DIFFERENT)} FROM sides LEFT JOIN nulls USING (fight_id, fighter_id)),
-turned AS (SELECT x.fight_id, {', '.join(f'x.{c} - y.{c} AS {c}' for c in _DIFFERENT)} FROM own x JOIN own y ON x.fight_id = y.fight_id AND x.fighter_id < y.fighter_id)"""
+_TURNED = f""", running AS (SELECT fight_id, side, fighter_id, {', '.join(f'avg({c}) OVER (PARTITION BY fighter_id ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}' for c in _DIFFERENT)} FROM sides LEFT JOIN nulls USING (fight_id, fighter_id)),
+turned AS (SELECT x.fight_id, {', '.join(f'x.{c} - y.{c} AS {c}' for c in _DIFFERENT)} FROM running x JOIN running y ON x.fight_id = y.fight_id AND x.fighter_id < y.fighter_id)"""
 
 
 @query(BASE + _TURNED + f""", mid AS (SELECT {', '.join(f'median({c}) AS {c}' for c in _DIFFERENT)} FROM turned),
@@ -616,25 +617,80 @@ def _historical(spark, sf):
     return experiments.historical(fights, features.numeric_rounds(competition.rounds(spark, sf, fights)))
 
 
-@query()
+_TWELVE_TURNED = f""", running AS (SELECT fight_id, side, fighter_id, {', '.join(f'avg({c}) OVER (PARTITION BY fighter_id ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {c}' for c in _TWELVE)} FROM sides LEFT JOIN nulls USING (fight_id, fighter_id)),
+turned AS MATERIALIZED (SELECT x.fight_id, {', '.join(f'x.{c} - y.{c} AS {c}_difference' for c in _TWELVE)} FROM running x JOIN running y ON x.fight_id = y.fight_id AND x.fighter_id < y.fighter_id)"""
+_FOLD_STARTS = ["1997-01-01", "1999-01-01", "2001-01-01"]
+
+
+def _past_sql(configs: dict[str, ratings.EloConfig]) -> str:
+    """CTE `past_<config>`: (fight_id, date, y, elo_probability, differences) of bouts turned so that id 1 < id 2."""
+    y = "CASE WHEN r.r1 = 'W' AND r.r2 = 'L' THEN 1 WHEN r.r1 = 'L' AND r.r2 = 'W' THEN 0 END"
+    views = ", ".join(f"past_{k} AS MATERIALIZED (SELECT r.fight_id, r.date, {y} AS y, r.expected_1 AS elo_probability, r.before_1 - r.before_2 AS elo_difference, t.* EXCLUDE (fight_id) FROM rated r JOIN turned t ON t.fight_id = r.fight_id WHERE r.config = '{k}')" for k in configs)
+    return BASE + _CANON + _TWELVE_TURNED + _elo_sql(configs, ratings.WIN_LOSS, "canon") + ", " + views + ", " + model_sql.folds(_FOLD_STARTS)
+
+
+def _plain_sql(rows: str, model: str) -> str:
+    return f"SELECT '{model}' AS model, f.fold, r.y, r.elo_probability AS p FROM {rows} r JOIN fold f ON r.date >= f.start AND r.date < f.stop WHERE r.y IS NOT NULL"
+
+
+def _models_sql(sets: dict[str, tuple[str, list[str]]]) -> tuple[str, str]:
+    """CTEs of the fitted models (name: rows and features), and the rows (model, fold, y, p) of all."""
+    parts, told = [], []
+    for k, (name, (rows, own)) in enumerate(sets.items()):
+        if own:
+            parts.append(model_sql.logit(f"m{k}", rows, own))
+        told.append(f"SELECT '{name}' AS model, fold, y, p FROM m{k}_told" if own else _plain_sql(rows, name))
+    return "".join(f", {p}" for p in parts), " UNION ALL ".join(told)
+
+
+def _pooled(rows: str) -> str:
+    return f"{rows} UNION ALL SELECT model, 'pooled', y, p FROM ({rows})"
+
+
+_FITTED, _FITTED_ROWS = _models_sql({k: ("past_own", own) for k, own in models.FEATURE_SETS.items()})
+
+
+@query(_past_sql({"own": _OWN}) + _FITTED + ", " + _metric_sql(_pooled(_FITTED_ROWS), "model, fold", evaluate.LEAST_MODEL))
 def logit_models(spark, sf):
     told, _ = models.temporal_experiment(_historical(spark, sf), FIRST, 2)
     return _rounded(evaluate.with_pooled(tables.cut(told), ["model"], evaluate.LEAST_MODEL), _METRICS)
 
 
-@query()
+_WEIGHED = ["M3_elo_dominance", "M4_elo_all"]
+
+
+@query(
+    _past_sql({"own": _OWN})
+    + "".join(", " + model_sql.logit(k, "past_own", models.FEATURE_SETS[k]) for k in _WEIGHED)
+    + " "
+    + " UNION ALL ".join(f"SELECT '{k}' AS model, fold, feature, {s6('coefficient')}, {s6('abs(coefficient)', 'abs_coefficient')} FROM {k}_weight" for k in _WEIGHED)
+)
 def logit_coefficients(spark, sf):
-    _, weights = models.temporal_experiment(_historical(spark, sf), FIRST, 2, {k: models.FEATURE_SETS[k] for k in ("M3_elo_dominance", "M4_elo_all")})
+    _, weights = models.temporal_experiment(_historical(spark, sf), FIRST, 2, {k: models.FEATURE_SETS[k] for k in _WEIGHED})
     return _rounded(weights, ["coefficient", "abs_coefficient"])
 
 
-@query()
+_ALL = models.FEATURE_SETS["M4_elo_all"]
+_COMBINED, _COMBINED_ROWS = _models_sql({"M0": ("past_own", []), "M4": ("past_own", _ALL), "M0_recency_2y": ("past_2y", []), "M4_recency_2y": ("past_2y", _ALL)})
+
+
+@query(
+    _past_sql({"own": _OWN, "2y": _TWO})
+    + _COMBINED
+    + f", f AS (WITH {_metric_sql(_COMBINED_ROWS, 'model, fold', evaluate.LEAST_MODEL).replace('round(', '(').replace(', 6)', ')')}) SELECT model, fold, n, {', '.join(s6(c) for c in _METRICS)} FROM f UNION ALL SELECT model, 'pooled', CAST(sum(n) AS BIGINT), {', '.join(f'round(sum({c} * n) / sum(n), 6)' for c in _METRICS)} FROM f GROUP BY model"
+)
 def combined_recency(spark, sf):
     fights = competition.bouts(spark, sf)
     return _rounded(experiments.combined(fights, features.numeric_rounds(competition.rounds(spark, sf, fights)), FIRST, 2, (2.0,)), _METRICS)
 
 
-@query()
+_SCHEDULED = BASE + _elo_sql({"own": _OWN}, ratings.SHARED_K) + f""", faced AS (SELECT fight_id, side, coalesce(avg(opponent) OVER (PARTITION BY f ORDER BY date, fight_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1500) AS sos
+  FROM (SELECT fight_id, date, 1 AS side, f1 AS f, before_2 AS opponent FROM rated UNION ALL SELECT fight_id, date, 2, f2, before_1 FROM rated)),
+past_own AS MATERIALIZED (SELECT r.fight_id, r.date, CAST(r.r1 = 'W' AS INT) AS y, r.expected_1 AS elo_probability, r.before_1 - r.before_2 AS elo_difference, x.sos - z.sos AS sos_difference FROM rated r JOIN faced x ON x.fight_id = r.fight_id AND x.side = 1 JOIN faced z ON z.fight_id = r.fight_id AND z.side = 2),
+{model_sql.folds(_FOLD_STARTS)}, {model_sql.logit("m1", "past_own", ["elo_difference", "sos_difference"], scale=False)}"""
+
+
+@query(_SCHEDULED + ", " + _metric_sql(_pooled(_plain_sql("past_own", "elo") + " UNION ALL SELECT 'elo_sos' AS model, fold, y, p FROM m1_told"), "model, fold", evaluate.LEAST_EXPERIMENT))
 def schedule_model(spark, sf):
     told, _ = experiments.schedule_experiment(competition.bouts(spark, sf), FIRST, 2)
     return _rounded(evaluate.with_pooled(tables.cut(told), ["model"], evaluate.LEAST_EXPERIMENT), _METRICS)
