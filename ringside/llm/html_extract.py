@@ -130,65 +130,14 @@ ITEM_BOUNDS = ("ul", "ol", "table", "dl", "menu", "article", "div", "section", "
 TEXT_BOUNDS = ("article", "div", "section", "main", "body", "td", "th", "li")
 
 
-class _Stack:
-    """The open elements, with counts and places that spare a walk through them."""
-
-    #: What an element may say, by its tag.
-    SAYS = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "footer": "footer", "header": "header", "aside": "aside", "dialog": "aside", "form": "form", "fieldset": "form", "a": "a"}
-
-    def __init__(self):
-        self.elements: list[tuple[str, int, list[str]]] = []  # tag, number, what it says
-        self.places: dict[str, list[int]] = {}  # of each tag
-        self.blocks: list[int] = []  # places of block elements
-        self.said = dict.fromkeys((*self.SAYS.values(), "away", "top", "towards"), 0)
-        self.number = self.low = 0  # low: least depth since the last block of text
-
-    def enter(self, tag: str, marks: tuple[bool, bool, bool]) -> None:
-        self.number += 1
-        says = [self.SAYS[tag]] if tag in self.SAYS else []
-        says += [k for k, m in zip(("away", "top", "towards"), marks) if m]
-        for k in says:
-            self.said[k] += 1
-        self.places.setdefault(tag, []).append(len(self.elements))
-        if tag in BLOCK_TAGS:
-            self.blocks.append(len(self.elements))
-        self.elements.append((tag, self.number, says))
-
-    def leave(self, at: int) -> None:
-        """End the element at a place, and those in it."""
-        while len(self.elements) > at:
-            tag, _, says = self.elements.pop()
-            self.places[tag].pop()
-            if tag in BLOCK_TAGS:
-                self.blocks.pop()
-            for k in says:
-                self.said[k] -= 1
-        self.low = min(self.low, at)
-
-    def last(self, tags: Iterable[str]) -> int:
-        """The place of the innermost element with one of the tags, or -1."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
-
-    def block(self, text: str, links: float) -> Block:
-        depth, shared = len(self.elements), self.low
-        self.low = depth
-        inner = self.elements[self.blocks[-1]][0] if self.blocks else ""
-        return Block(text, depth, self.elements[-2][1] if depth > 1 else 0, shared, _features(text, links, inner, self.said))
-
-
-#: Elements that end an open one of their kind, and where the search for it stops.
-ITEMS = frozenset(("li", "dd", "dt", "option", "td", "th", "tr"))
-ITEM_BOUNDS = ("ul", "ol", "table", "dl", "menu", "article", "div", "section", "main", "body")
-TEXT_BOUNDS = ("article", "div", "section", "main", "body", "td", "th", "li")
-
-
 def blocks(html: str) -> list[Block]:
     """The blocks of a page that have text, in page order; the work is linear in the page."""
     out: list[Block] = []
     stack = _Stack()
     parts: list[str] = []
     linked = hidden = at = 0
-    hidden_tag = ""
+    hidden_tag, inner = "", {}  # inner: open elements within the hidden one, by tag
+    endless: set[str] = set()  # raw elements of which no end tag follows
 
     def flush() -> None:
         nonlocal linked
@@ -217,10 +166,22 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, close = tag.lower(), m["close"] or m["close2"]
         attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in RAW_TAGS and not close:  # up to its own end tag, whatever is between; a slash ends it only if there is none
+            end = None if tag in endless else _raw_end(tag).search(html, at)
+            if not end:
+                endless.add(tag)
+            at = end.end() if end else at if attrs.endswith("/") else len(html)
+            continue
         if hidden:
             if tag == hidden_tag and (close or not attrs.endswith("/")):
                 hidden += -1 if close else 1
-            continue
+                continue
+            if tag in VOID_TAGS or attrs.endswith("/"):
+                continue
+            if not close or inner.get(tag) or not stack.places.get(tag):
+                inner[tag] = max(0, inner.get(tag, 0) + (-1 if close else 1))
+                continue
+            hidden = 0  # what holds the hidden element ends, and so does it
         if close:
             if tag in BLOCK_TAGS:
                 flush()
@@ -240,12 +201,8 @@ def blocks(html: str) -> list[Block]:
             continue
         if attrs.endswith("/") and tag not in BLOCK_TAGS and tag not in RAW_TAGS:
             continue
-        if tag in RAW_TAGS:  # up to its own end tag, whatever is between; a slash ends it only if there is none
-            end = _raw_end(tag).search(html, at)
-            at = end.end() if end else at if attrs.endswith("/") else len(html)
-            continue
         if tag in HIDDEN_TAGS:
-            hidden, hidden_tag = 1, tag
+            hidden, hidden_tag, inner = 1, tag, {}
             continue
         if tag in BLOCK_TAGS:
             flush()

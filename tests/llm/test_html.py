@@ -3,6 +3,8 @@ import random
 import re
 import time
 
+import pytest
+
 from ringside.llm import html_extract, queries
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -94,3 +96,24 @@ def test_deep_and_unclosed_pages_take_seconds():
         found = html_extract.blocks(page)
         assert len(html_extract.labels(found, html_extract.PRIOR)) == len(found) > 0
     assert time.time() - began < 60
+
+
+def test_self_closed_raw_elements_are_linear():
+    """Each element once searched the rest of the page for its end tag."""
+    took = []
+    for n in (20_000, 160_000):
+        page = "<p>first</p>" + "<script/>x" * n
+        began = time.perf_counter()
+        found = html_extract.blocks(page)
+        took.append(time.perf_counter() - began)
+        assert found[0].text == "first" and found[1].text == "x" * n
+    assert took[1] < 30 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "noscript", "template"])
+def test_unclosed_hidden_elements_end_with_their_parent(tag):
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts(f"<div><p>one</p><section><{tag}>hidden <b>too</b></section><p>two</p></div>") == ["one", "two"]
+    assert texts(f"<div><{tag}>hidden<div>deeper</div></{tag}> shown</div><p>two</p>") == ["shown", "two"]
+    assert texts(f"<div><{tag}><{tag}>hidden</{tag}></div><p>two</p>") == ["two"]
+    assert texts(f"<div><{tag}><script>'</div>'</script>hidden</{tag}>shown</div>") == ["shown"]
