@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of_row, text_of, whole_row
+from .common import columns_of_row, cut, text_of, whole_row
 
 #: Fixed patterns of the base kinds, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,11 +96,24 @@ class Markov:
     threshold: float
 
 
-def _pair_counts(samples: DataFrame) -> DataFrame:
-    """(label, pair, n): pairs of neighbouring ALPHABET characters in (label, text)."""
-    at = F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    pairs = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.when((a > 0) & (b > 0), (a - 1) * len(ALPHABET) + b - 1))
-    return samples.select("label", F.explode(pairs).alias("pair")).filter("pair is not null").groupBy("label", "pair").agg(F.count("*").alias("n"))
+def _pair_counts(samples: DataFrame) -> dict[tuple[int, str], int]:
+    """Pairs of neighbouring ALPHABET characters in (label, text): (label, pair) to count, (number of characters)^2 of each label at most."""
+    pairs = samples.select("label", F.explode(F.regexp_extract_all("text", F.lit(r"(?=([A-Za-z0-9+/_=-]{2}))"), F.lit(1))).alias("pair"))
+    return {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+
+
+def rule_counts(words: int, rules: int) -> dict[str, int]:
+    """Pairs in rules, which nobody needs to write out: of each two of five marks in turn, and of each other character alone.
+
+    There are `rules` of each kind, with as many repeats as `words` in all.
+    """
+    marks, out = "+/_-=", {}
+    for a in marks:
+        for b in marks:
+            # a rule of n times ab has n pairs ab, and n - 1 pairs ba between them
+            out[a + b] = out.get(a + b, 0) + words
+            out[b + a] = out.get(b + a, 0) + words - rules
+    return out | {c + c: words - rules for c in ALPHABET if c not in marks}
 
 
 def random_samples(spark: SparkSession, n: int) -> DataFrame:
@@ -113,14 +126,14 @@ def random_samples(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.lit(1).alias("label"), text.alias("text"))
 
 
-def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int, per_document: int = 200) -> DataFrame:
-    """Ordinary runs of about n documents labelled 0.
+def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int, per_document: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Ordinary runs of about n documents labelled 0; and (words), how many of each are used.
 
     The documents are drawn by a hash of the key. Each gives its own runs of ALPHABET, without
     what the fixed patterns match; its words, joined as identifiers are; and for as many words,
-    numbers and dates, alone and in names, and rules of each separator and each two, and of
-    each other character. Of a document with more runs or words, about `per_document` of each are drawn by
-    a hash.
+    numbers and dates, alone and in names. Of a document with more runs or words, about
+    `per_document` of each are drawn by a hash. Rules, as long as there are words, are counted by
+    rule_counts().
     """
     total = F.lit(max(1, docs.count()))
     draw = F.pmod(F.xxhash64(F.col(key_col).cast("string"), F.lit("secrets")), F.lit(1 << 30)) / (1 << 30)
@@ -147,9 +160,8 @@ def ordinary_samples(docs: DataFrame, text_col: str, key_col: str, n: int, per_d
         *[F.array_join(F.transform("w", date(m)), m) for m in "-/_"],
         *[F.array_join(F.transform("w", dated(m)), m) for m in "-/_"],
     )
-    marks = "+/_-="
-    rules = F.array(*[F.repeat(F.lit(a + b), F.size("w")) for a in marks for b in marks], *[F.repeat(F.lit(c), F.size("w")) for c in ALPHABET if c not in marks])
-    return rows.select(F.lit(0).alias("label"), F.explode(F.concat("own", joined, rules)).alias("text"))
+    rows = cut(rows)  # some hundreds
+    return rows.select(F.lit(0).alias("label"), F.explode(F.concat("own", joined)).alias("text")), rows.select(F.size("w").alias("words"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", n: int = 300, threshold: float = 0.6) -> Markov:
@@ -163,11 +175,13 @@ def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", n: int
     """
     import math
 
-    samples = random_samples(docs.sparkSession, 20 * n).union(ordinary_samples(docs, text_col, key_col, n))
+    ordinary, words = ordinary_samples(docs, text_col, key_col, n)
     size = len(ALPHABET)
     counts = [[0] * (size * size) for _ in range(2)]
-    for r in _pair_counts(samples).collect():
-        counts[r["label"]][r["pair"]] += r["n"]
+    told = words.filter("words > 0").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("n")).first()
+    for own in (_pair_counts(random_samples(docs.sparkSession, 20 * n).union(ordinary)), {(0, pair): n for pair, n in rule_counts(told["words"], told["n"]).items()}):
+        for (label, pair), n in own.items():
+            counts[label][ALPHABET.index(pair[0]) * size + ALPHABET.index(pair[1])] += n
     kinds = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else c for c in ALPHABET]
     few, ratio = [{}, {}], []  # pairs of kinds of characters
     for own, c in zip(few, counts):

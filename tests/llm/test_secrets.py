@@ -140,3 +140,15 @@ def test_redaction_across_blocks(spark):
             out += t[at:a] + "[SECRET]"
             at = b
         assert got[k] == out + t[at:]
+
+
+def test_rules_are_counted_as_if_written_out():
+    from collections import Counter
+
+    marks, sizes = "+/_-=", [1, 2, 7, 200]
+    want = Counter()
+    for n in sizes:
+        for rule in [(a + b) * n for a in marks for b in marks] + [c * n for c in secret_scan.ALPHABET if c not in marks]:
+            want.update(rule[k : k + 2] for k in range(len(rule) - 1))
+    got = secret_scan.rule_counts(sum(sizes), len(sizes))
+    assert {k: n for k, n in got.items() if n} == dict(want)
