@@ -3,9 +3,9 @@
 A rating needs the opponent's current rating, so bouts have to be walked through in order; no
 window can do that. The walk is a fold over narrow rows, sorted within a partition: rows
 stream through in Arrow batches, and only the state of each competitor is held, never the
-bouts. Each configuration is a walk of its own, and so is each value of further `by` columns
-(say, leagues whose competitors never meet); those run in parallel. What doesn't depend on
-ratings is left to window functions.
+bouts. Each configuration is a walk of its own, and so is each league of competitors who are not
+connected with others, if these are sought (apart); those run in parallel. What doesn't depend
+on ratings is left to window functions.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.scores import DAYS_PER_YEAR
 from ..functions.text import NON_STANDARD_DIVISIONS, standard_result
+from ..sources.tables import cut
+from .components import connected
 
 
 @dataclass(frozen=True)
@@ -140,11 +142,12 @@ ELO_FIELDS = (
 )
 
 
-def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], walks: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], walks: list[str] | None = None, only: list[str] | None = None, slots: int = 1) -> DataFrame:
     """Walk the rows of each `by` value in order of (day, fight_id); make(key) gives the walk.
 
-    walks: the values of the first `by` column, if they are known; each gets a task of its own,
-    where hashes would put several into one. only: the fields that are wanted.
+    walks: the values of the first `by` column, if they are known; each gets a task of its own, or
+    `slots` tasks for the values of the others, where hashes would put several into one. only: the
+    fields that are wanted.
     """
     wanted = [(k, *f) for k, f in enumerate(fields) if only is None or f[0] in only]
     keep = [*by, "fight_id", "date", "fighter_1_id", "fighter_2_id", "fighter_1_result", "fighter_2_result"]
@@ -165,7 +168,9 @@ def _fold(rows: DataFrame, by: list[str], make, fields: list[tuple[str, str]], w
 
     if walks:
         place = F.array_position(F.lit(walks), F.col(by[0])).cast("int") - 1
-        dealt = rows.repartitionById(len(walks), place)
+        if len(by) > 1:
+            place = place + len(walks) * F.pmod(F.xxhash64(*by[1:]), F.lit(slots)).cast("int")
+        dealt = rows.repartitionById(len(walks) * slots, place)
     else:
         dealt = rows.repartition(*by)
     ordered = dealt.sortWithinPartitions(*by, "day", "fight_id")
@@ -179,14 +184,31 @@ def _narrow(bouts: DataFrame, decided_only: bool) -> DataFrame:
     return rows.filter("(fighter_1_result, fighter_2_result) in (('W', 'L'), ('L', 'W'))") if decided_only else rows
 
 
-def elo(bouts: DataFrame, configs: dict[str, EloConfig], dialect: Dialect = PRODUCTION, only: list[str] | None = None) -> DataFrame:
+MOST_SLOTS = 1000
+
+
+def _leagues(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`rows` with `league`, the same for competitors who are connected by bouts, and into how many tasks leagues go."""
+    rows = cut(rows)
+    found = cut(connected(rows, "fighter_1_id", "fighter_2_id"))
+    slots = found.select("component").distinct().limit(MOST_SLOTS).count()
+    # both sides are of one league; a bout without a first side is of a league of its own
+    return rows.join(found.withColumnsRenamed({"id": "fighter_1_id", "component": "league"}), "fighter_1_id", "left"), max(1, slots)
+
+
+def elo(bouts: DataFrame, configs: dict[str, EloConfig], dialect: Dialect = PRODUCTION, only: list[str] | None = None, apart: bool = False) -> DataFrame:
     """One row for each bout and config: ratings before and after, both sides (see ELO_FIELDS).
 
-    only: the fields that are wanted; the others don't leave the walk.
+    only: the fields that are wanted; the others don't leave the walk. apart: competitors who are not
+    connected by any bouts are walked in tasks of their own, which gives the same ratings; to find
+    them takes some rounds over the pairs that met.
     """
-    rows = _narrow(bouts, dialect.decided_only)
+    rows, by, slots = _narrow(bouts, dialect.decided_only), ["config"], 1
+    if apart:
+        rows, slots = _leagues(rows)
+        by = ["config", "league"]
     rows = rows.withColumn("config", F.explode(F.array(*[F.lit(k) for k in configs])))
-    return _fold(rows, ["config"], lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS, list(configs), only)
+    return _fold(rows, by, lambda key: EloWalk(configs[key[0]], dialect), ELO_FIELDS, list(configs), only, slots).drop("league")
 
 
 def by_fighter(rated: DataFrame, bouts: DataFrame) -> DataFrame:
@@ -260,10 +282,14 @@ class GlickoWalk:
 GLICKO_FIELDS = [(f"{what}_{n}_{when}", "double") for when in ("before", "after") for n in (1, 2) for what in ("rating", "rd", "vol")]
 
 
-def glicko2(bouts: DataFrame, tau: float = 0.5) -> DataFrame:
-    """One row for each bout with a winner: rating, deviation and volatility of both sides."""
-    rows = _narrow(bouts, True).withColumn("config", F.lit("glicko2"))
-    return _fold(rows, ["config"], lambda key: GlickoWalk(tau=tau), GLICKO_FIELDS, ["glicko2"]).drop("config")
+def glicko2(bouts: DataFrame, tau: float = 0.5, apart: bool = False) -> DataFrame:
+    """One row for each bout with a winner: rating, deviation and volatility of both sides. apart: as in elo()."""
+    rows, by, slots = _narrow(bouts, True), ["config"], 1
+    if apart:
+        rows, slots = _leagues(rows)
+        by = ["config", "league"]
+    rows = rows.withColumn("config", F.lit("glicko2"))
+    return _fold(rows, by, lambda key: GlickoWalk(tau=tau), GLICKO_FIELDS, ["glicko2"], slots=slots).drop("config", "league")
 
 
 def candidate_configs(base: EloConfig | None = None) -> dict[str, EloConfig]:

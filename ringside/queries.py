@@ -398,6 +398,23 @@ def elo_wl_only(spark, sf):
     return _days(ratings.elo(features.canonical(competition.bouts(spark, sf)), {"own": _OWN, "2y": _TWO}, ratings.WIN_LOSS).select("config", "fight_id", "date", "fighter_1_id", "fighter_2_id", r6("rating_1_before"), r6("rating_2_before"), r6("expected_1")))
 
 
+_BY_LEAGUE = ", apart AS (SELECT * REPLACE (concat(coalesce(division, 'none'), ':', f1) AS f1, concat(coalesce(division, 'none'), ':', f2) AS f2) FROM bout)"
+_LEAGUE_SQL = rating_sql.elo("apart", {"own": _OWN, "2y": _TWO}, ratings.PRODUCTION)
+
+
+def by_league(spark, sf):
+    """Bouts of competitors who start anew in each division, so that those of different divisions never meet."""
+    own = lambda n: F.concat_ws(":", F.coalesce("division", F.lit("none")), F.col(f"fighter_{n}_id").cast("string"))
+    return competition.bouts(spark, sf).withColumns({f"fighter_{n}_id": own(n) for n in (1, 2)})
+
+
+@query(BASE + _BY_LEAGUE + ", " + _LEAGUE_SQL + f" SELECT config, fight_id, f1 AS fighter_1_id, f2 AS fighter_2_id, {s6('before_1', 'rating_1_before')}, {s6('before_2', 'rating_2_before')}, {s6('expected_1')} FROM rated")
+def elo_leagues(spark, sf):
+    """Each division is walked in a task of its own."""
+    rated = ratings.elo(by_league(spark, sf), {"own": _OWN, "2y": _TWO}, apart=True)
+    return rated.select("config", "fight_id", "fighter_1_id", "fighter_2_id", r6("rating_1_before"), r6("rating_2_before"), r6("expected_1"))
+
+
 @query(BASE + _elo_sql({"own": _OWN}, ratings.SHARED_K) + f" SELECT fight_id, CAST(date AS VARCHAR) AS date, k_1, {s6('before_1', 'rating_1_before')}, {s6('before_2', 'rating_2_before')}, {s6('expected_1')} FROM rated")
 def elo_shared_k(spark, sf):
     return _days(ratings.elo(competition.bouts(spark, sf), {"own": _OWN}, ratings.SHARED_K).select("fight_id", "date", "k_1", r6("rating_1_before"), r6("rating_2_before"), r6("expected_1")))
