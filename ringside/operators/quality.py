@@ -22,6 +22,17 @@ def _size(df: DataFrame, check: str) -> DataFrame:
     return df.agg(F.count("*").alias("violations")).select(F.lit(check).alias("check"), "violations")
 
 
+def _counts_with_keys(df: DataFrame, checks: dict[str, Column], keys: list[str], extra: dict[str, Column]) -> DataFrame:
+    """_counts(), and figures of whole keys, from one pass and one shuffle: the conditions are counted by key first.
+
+    extra: a check to its violations in one key, an expression over aggregates such as F.count("*").
+    """
+    names = {k: f"__{n}" for n, k in enumerate([*checks, *extra])}
+    by = df.groupBy(*keys).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(names[k]) for k, c in checks.items()], *[c.cast("long").alias(names[k]) for k, c in extra.items()])
+    got = by.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names.values()])
+    return got.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(c).alias("violations")) for k, c in names.items()])))
+
+
 def _together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -59,25 +70,48 @@ def duplicate_keys(df: DataFrame, keys: list[str], name: str | None = None) -> D
 
 
 def etl_integrity(events: DataFrame, fighters: DataFrame, fights: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Unresolved and duplicate ids, foreign keys and impossible pairs of results."""
+    """Unresolved and duplicate ids, foreign keys and impossible pairs of results.
+
+    Every table is scanned once: each row gives its keys, tagged with what they are there, and all keys
+    of all tables meet in one aggregation.
+    """
+    key = lambda kind, tag, c: F.struct(F.lit(kind).alias("kind"), F.lit(tag).alias("tag"), c.cast("string").alias("key"))
     pair = F.concat_ws("/", F.coalesce("fighter_1_result", F.lit("?")), F.coalesce("fighter_2_result", F.lit("?")))
-    nulls = {f"fights without {c}": F.col(c).isNull() for c in ("fight_id", "event_id", "fighter_1_id", "fighter_2_id")}
-    fk = lambda name, df, col, dim, key: _size(missing_from(df.select(F.col(col).alias(key)).filter(F.col(key).isNotNull()), dim, [key]), name)
-    return _together(
-        [
-            _counts(fights, nulls | {"impossible results": ~pair.isin("W/L", "L/W", "D/D", "NC/NC")}),
-            _counts(rounds, {f"rounds without {c}": F.col(c).isNull() for c in ("fight_id", "fighter_id", "round")}),
-            duplicate_keys(events, ["event_id"]),
-            duplicate_keys(fighters, ["fighter_id"]),
-            duplicate_keys(fights, ["fight_id"]),
-            duplicate_keys(rounds, ["fight_id", "fighter_id", "round"]),
-            fk("fights of unknown events", fights, "event_id", events, "event_id"),
-            fk("fights of unknown fighters (1)", fights, "fighter_1_id", fighters, "fighter_id"),
-            fk("fights of unknown fighters (2)", fights, "fighter_2_id", fighters, "fighter_id"),
-            fk("rounds of unknown fights", rounds, "fight_id", fights, "fight_id"),
-            fk("rounds of unknown fighters", rounds, "fighter_id", fighters, "fighter_id"),
-        ]
-    )
+    parts = [
+        (events, [key("event", "events", F.col("event_id"))]),
+        (fighters, [key("fighter", "fighters", F.col("fighter_id"))]),
+        (fights, [key("fight", "fights", F.col("fight_id")), key("event", "fights", F.col("event_id")), key("fighter", "fights 1", F.col("fighter_1_id")), key("fighter", "fights 2", F.col("fighter_2_id")), key("pair", "fights", pair.isin("W/L", "L/W", "D/D", "NC/NC"))]),
+        (rounds, [key("fight", "rounds", F.col("fight_id")), key("fighter", "rounds", F.col("fighter_id")), key("round", "rounds", F.col("round")), key("line", "rounds", F.to_json(F.struct("fight_id", "fighter_id", "round")))]),
+    ]
+    told = _together([df.select(F.inline(F.array(*keys))) for df, keys in parts])
+    tags = ["events", "fighters", "fights", "fights 1", "fights 2", "rounds"]
+    met = told.groupBy("kind", "key").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in tags])
+    own = {"event": "events", "fighter": "fighters", "fight": "fights"}
+    kind = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0)).cast("long")
+    lost = lambda k, tag: kind(k, F.when(F.col("key").isNull(), F.col(f"`{tag}`")))
+    unknown = lambda k, tag: kind(k, F.when(F.col("key").isNotNull() & (F.col(own[k]) == 0), F.col(f"`{tag}`")))
+    twice = lambda k, tag: kind(k, F.greatest(F.col(tag) - 1, F.lit(0)))
+    checks = {
+        "fights without fight_id": lost("fight", "fights"),
+        "fights without event_id": lost("event", "fights"),
+        "fights without fighter_1_id": lost("fighter", "fights 1"),
+        "fights without fighter_2_id": lost("fighter", "fights 2"),
+        "impossible results": kind("pair", F.when(F.col("key") == "false", F.col("fights"))),
+        "rounds without fight_id": lost("fight", "rounds"),
+        "rounds without fighter_id": lost("fighter", "rounds"),
+        "rounds without round": lost("round", "rounds"),
+        "duplicate event_id": twice("event", "events"),
+        "duplicate fighter_id": twice("fighter", "fighters"),
+        "duplicate fight_id": twice("fight", "fights"),
+        "duplicate fight_id, fighter_id, round": twice("line", "rounds"),
+        "fights of unknown events": unknown("event", "fights"),
+        "fights of unknown fighters (1)": unknown("fighter", "fights 1"),
+        "fights of unknown fighters (2)": unknown("fighter", "fights 2"),
+        "rounds of unknown fights": unknown("fight", "rounds"),
+        "rounds of unknown fighters": unknown("fighter", "rounds"),
+    }
+    sums = met.agg(*[c.alias(f"__{n}") for n, c in enumerate(checks.values())])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"__{n}").alias("violations")) for n, k in enumerate(checks)])))
 
 
 def numeric_rounds(rounds: DataFrame) -> DataFrame:
@@ -89,22 +123,27 @@ def numeric_rounds(rounds: DataFrame) -> DataFrame:
     checks |= {f"{p}: out of range": ~F.col(p).between(0, 100) for p in PERCENTAGES}
     checks |= {f"{c}: negative": F.col(c) < 0 for c in (*COUNTS, CONTROL)}
     checks["round below 1"] = F.coalesce(F.col("round") < 1, F.lit(True))
-    return _together([_counts(rounds, checks), duplicate_keys(rounds, ["fight_id", "fighter_id", "round"])])
+    return _counts_with_keys(rounds, checks, ["fight_id", "fighter_id", "round"], {"duplicate fight_id, fighter_id, round": F.count("*") - 1})
 
 
 def same_rows(original: DataFrame, result: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one of two tables has, and the difference of their row counts."""
-    a, b = original.select(*keys), result.select(*keys)
-    n = lambda df: df.agg(F.count("*").alias("n"))
-    rows = n(a).select(F.col("n").alias("x")).join(n(b).select(F.col("n").alias("y")), F.lit(True))
-    return _together([_size(missing_from(a.distinct(), b, keys), "keys lost"), _size(missing_from(b.distinct(), a, keys), "keys added"), rows.select(F.lit("row count differs").alias("check"), F.abs(F.col("x") - F.col("y")).alias("violations"))])
+    side = lambda df, one: df.select(*keys, F.lit(one).alias("__one"))
+    met = side(original, 1).unionByName(side(result, 0)).groupBy(*keys).agg(F.sum("__one").alias("__a"), F.sum(1 - F.col("__one")).alias("__b"))
+    null = F.lit(False)  # a null key has no partner
+    for k in keys:
+        null = null | F.col(k).isNull()
+    lost, added = (F.count_if((F.col(x) > 0) & ((F.col(y) == 0) | null)) for x, y in (("__a", "__b"), ("__b", "__a")))
+    rows = F.coalesce(F.abs(F.sum(F.col("__a") - F.col("__b"))), F.lit(0)).cast("long")
+    told = met.agg(lost.alias("keys lost"), added.alias("keys added"), rows.alias("row count differs"))
+    return told.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("violations")) for c in told.columns])))
 
 
 def fighter_totals(totals: DataFrame) -> DataFrame:
     checks = {f"{p}: landed over attempted": F.col(f"{p}_landed") > F.col(f"{p}_attempted") for p in PAIRS}
     checks |= {f"{p}: out of range": ~F.col(p).between(0, 100) for p in PERCENTAGES}
     checks["no rounds"] = F.col("rounds_with_stats") < 1
-    return _together([_counts(totals, checks), duplicate_keys(totals, ["fight_id", "fighter_id"])])
+    return _counts_with_keys(totals, checks, ["fight_id", "fighter_id"], {"duplicate fight_id, fighter_id": F.count("*") - 1})
 
 
 def bout_features(fights: DataFrame, wide: DataFrame, with_stats: int | None = None) -> DataFrame:
@@ -126,8 +165,8 @@ def long_table(long: DataFrame) -> DataFrame:
     }
     if "fight_duration_seconds" in long.columns:
         checks["negative duration"] = F.col("fight_duration_seconds") < 0
-    pairs = long.groupBy("fight_id").agg(F.countDistinct("fighter_id").alias("k"), F.count("*").alias("n")).filter("k <> 2 or n <> 2")
-    return _together([_counts(long, checks), _size(pairs, "fights without two rows")])
+    two = (F.count("*") == 2) & F.coalesce(F.min("fighter_id") != F.max("fighter_id"), F.lit(False))
+    return _counts_with_keys(long, checks, ["fight_id"], {"fights without two rows": (~two).cast("int")})
 
 
 def history(rows: DataFrame) -> DataFrame:

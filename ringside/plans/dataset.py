@@ -103,4 +103,4 @@ def build(spark: SparkSession, raw_folder: str) -> dict[str, DataFrame]:
 def run(spark: SparkSession, raw_folder: str, out_folder: str) -> None:
     """Build, check and write; nothing is written if a check fails."""
     built = build(spark, raw_folder)
-    tables.write_if_valid(built, out_folder, lambda t: quality.etl_integrity(t["events"], t["fighters"], t["fights"], t["round_stats"]))
+    tables.write_if_valid(spark, built, out_folder, lambda t: quality.etl_integrity(t["events"], t["fighters"], t["fights"], t["round_stats"]))
