@@ -66,13 +66,12 @@ class Index:
         h = self.left.shape[1]
         a, b = self.left @ q[:h], self.right @ q[h:]
         i, j = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        many = entries[np.ix_(i, j)].tolist()
-        sa, sb = a[i].tolist(), b[j].tolist()
+        sa, sb, i, j = a[i].tolist(), b[j].tolist(), i.tolist(), j.tolist()
         heap, reached, got, last = [(-(sa[0] + sb[0]), 0, 0)], [0] * len(sa), 0, 0.0
         while heap and got < effort:
             score, x, y = heapq.heappop(heap)
             last = -score
-            got += many[x][y]
+            got += int(entries[i[x], j[y]])
             reached[x] = y + 1
             # a pair is pushed once its two neighbours with better scores have been met
             if x + 1 < len(sa) and reached[x + 1] == y:
@@ -112,7 +111,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _share(index: Index, x: np.ndarray, k: int, recall: float) -> float:
-    """The share of the entries x that walks have to meet to find `recall` of the k nearest."""
+    """The share of the entries x that walks have to meet to find `recall` of the k nearest; all for a recall of 1."""
+    if recall >= 1:
+        return 1.0
     h = index.left.shape[1]
     left, right = index.places(x)
     needs = []
@@ -219,8 +220,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, centroids: int |
 
     queries: (id_col, vector_col), with ids of their own or of `vectors`; a candidate is every
     row of `vectors` with another id. Ties go to the smaller id. recall is the share of true
-    neighbours that the index is fitted for (see fit); all entries of the cells that a walk
-    meets are scored. Rows without a usable vector (see usable) take no part. Vectors are
+    neighbours that the index is fitted for (see fit), 1 being exact; all entries of the cells that a
+    walk meets are scored. Rows without a usable vector (see usable) take no part. Vectors are
     compared with those of their own length; a table has MOST_LENGTHS of them at most, or the job
     fails. A repeated query is answered once; repeated entries are candidates each; an empty
     table gives an empty result; other columns are ignored. Ids are integers.
