@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from datetime import date
+from math import inf, isfinite
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..sources.tables import cut
 from . import keys
 
-#: Parts of [0, 1] in which ranks are counted apart, so that no task sorts a whole group.
+#: Ranges of probabilities in which ranks are counted apart, so that no task sorts a whole group.
 RANK_BINS = 1024
 
 
+def _ranges(each: DataFrame, p: str, out: str, bins: int = RANK_BINS) -> DataFrame:
+    """`each` with the number of the range that its value is in; the ranges hold about as many rows each.
+
+    Their borders are quantiles, so values that lie close together are told apart as well as any.
+    """
+    share = [k / bins for k in range(1, bins)]
+    borders = sorted({b for b in each.approxQuantile(p, share, 0.5 / bins) if isfinite(b)})
+    if not borders:
+        return each.withColumn(out, F.lit(0))
+    dealt = Bucketizer(splits=[-inf, *borders, inf], inputCol=p, outputCol=out, handleInvalid="keep").transform(each)
+    return dealt.withColumn(out, F.col(out).cast("int"))
+
+
 def evaluation_dataset(fights: DataFrame, ratings: DataFrame, history: DataFrame) -> DataFrame:
     """(fight_id, date, fighter_1_id, fighter_2_id, y, p_win_rate, p_elo) of decided fights.
 
@@ -43,13 +59,13 @@ def metrics(predictions: DataFrame, by: list[str], y: str = "y", p: str = "p", l
 
     Rows without a label or a probability are left out. p >= 0.5 predicts side 1. The AUC is
     exact, ties counted half, and null where there is one class only: it is summed over
-    distinct probabilities in RANK_BINS bins, whose totals are small.
+    distinct probabilities in RANK_BINS ranges, whose totals are small.
     """
     rows = predictions.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*by, F.col(y).cast("double").alias("__y"), F.col(p).alias("__p"))
     q = scores.clip(F.col("__p"), least)
     loss = -(F.col("__y") * F.log(q) + (1 - F.col("__y")) * F.log(1 - q))
     each = rows.groupBy(*by, "__p").agg(F.sum("__y").alias("__pos"), F.sum(1 - F.col("__y")).alias("__neg"), F.sum(loss).alias("__loss"), F.sum(F.pow(F.col("__p") - F.col("__y"), 2)).alias("__brier"), F.sum(((F.col("__p") >= 0.5) == (F.col("__y") == 1)).cast("int")).alias("__hits"))
-    each = each.withColumn("__bin", F.floor(F.greatest(F.lit(0.0), F.least(F.col("__p"), F.lit(1.0))) * RANK_BINS).cast("int"))
+    each = _ranges(cut(each), "__p", "__bin")  # a row for each distinct probability
     bins = each.groupBy(*by, "__bin").agg(F.sum("__neg").alias("__in"))
     below = F.coalesce(F.sum("__in").over(Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     lower = F.coalesce(F.sum("__neg").over(Window.partitionBy(*by, "__bin").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

@@ -332,6 +332,13 @@ def history_avgs(spark, sf):
     return _history(spark, sf).select("fight_id", "fighter_id", *[r6(f"avg_{c}_before") for c in [*HISTORY, *PERCENTAGES]])
 
 
+@query(BASE + f"SELECT fight_id, fighter_id, CAST(career AS INT) AS career_fights_before, wins AS wins_before, nc AS nc_before, {', '.join(f'CAST(sum({c}) {_PRIOR} AS {_TYPE[c]}) AS sum_{c}_before, round(avg({c}) {_PRIOR}, 6) AS avg_{c}_before' for c in HISTORY[:4])} FROM hist")
+def history_by_stretch(spark, sf):
+    """As history_sums and history_avgs, with fighters of many fights dealt over tasks by month."""
+    rows = history.fight_history(competition.long(spark, sf), HISTORY[:4], [], block="month")
+    return rows.select("fight_id", "fighter_id", "career_fights_before", "wins_before", "nc_before", *[x for c in HISTORY[:4] for x in (F.col(f"sum_{c}_before"), r6(f"avg_{c}_before"))])
+
+
 _RUN = [*history.STRIKING, *history.GRAPPLING, *history.DOMINANCE]
 #: The twelve features by hand, so that a wrong list above shows.
 _TWELVE = """significant_strikes_landed significant_strikes_attempted significant_strikes_pct total_strikes_landed total_strikes_attempted

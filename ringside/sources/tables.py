@@ -25,7 +25,8 @@ def _store(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark can see a path, in whatever store it is."""
     store, at = _store(spark, path)
     return store.exists(at)
 
@@ -47,7 +48,7 @@ def _move(spark: SparkSession, path: str, to: str) -> None:
 def must_exist(spark: SparkSession, *paths: str) -> None:
     """Raise unless Spark can see every path, in whatever store it is."""
     for p in paths:
-        if not _exists(spark, p):
+        if not exists(spark, p):
             raise FileNotFoundError(p)
 
 
@@ -113,8 +114,8 @@ def _apply(spark: SparkSession, staged: str, folder: str) -> None:
     """Move what a manifest names to its place; done again, it goes on where it stopped."""
     for (k,) in spark.read.parquet(f"{staged}/_manifest").collect():
         new, place = f"{staged}/{k}.parquet", f"{folder}/{k}.parquet"
-        if _exists(spark, new):
-            if _exists(spark, place):
+        if exists(spark, new):
+            if exists(spark, place):
                 _move(spark, place, f"{staged}/_old/{k}.parquet")
             _move(spark, new, place)
     _remove(spark, staged)
@@ -125,7 +126,7 @@ def settle(spark: SparkSession, folder: str) -> None:
     store, pattern = _store(spark, f"{folder.rstrip('/')}.next-*")
     for found in store.globStatus(pattern) or []:
         staged = found.getPath().toString()
-        if _exists(spark, f"{staged}/_manifest"):
+        if exists(spark, f"{staged}/_manifest"):
             _apply(spark, staged, folder)
         else:
             _remove(spark, staged)
