@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
@@ -86,3 +86,8 @@ def canonical(fights: DataFrame) -> DataFrame:
     swapped = {f"fighter_{a}_{p}": F.when(turn, F.col(f"fighter_{b}_{p}")).otherwise(F.col(f"fighter_{a}_{p}")) for p in parts for a, b in ((1, 2), (2, 1))}
     same = F.when(F.col("fighter_1_id") == F.col("fighter_2_id"), F.raise_error(F.lit("a fighter meets themselves")))
     return fights.withColumns(swapped).withColumn("fighter_1_id", F.coalesce(same.cast(fights.schema["fighter_1_id"].dataType), F.col("fighter_1_id")))
+
+
+def any_present(rows: DataFrame, by: list[str], columns: list[str], *more: Column) -> DataFrame:
+    """(by..., has_<column>...): whether any row of a group has a value there; and `more` aggregates."""
+    return rows.groupBy(*by).agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in columns], *more)

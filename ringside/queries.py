@@ -12,11 +12,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import model_sql, rating_sql
 from .functions import scores, text
 from .operators import evaluate, features, history, keys, models, quality, ratings
-from .plans import competition, experiments
+from .plans import competition, dataset, experiments, raw
 from .schemas import CONTROL, COUNTS, DIFFERENCES, HISTORY, PAIRS, PERCENTAGES, SUMS
 from .sources import tables
 
@@ -269,6 +270,82 @@ def null_report(spark, sf):
     return tables.null_report(competition.bouts(spark, sf).select("fight_id", "division", text.ending_seconds(F.col("ending_time")).alias("seconds")))
 
 
+# The dataset job, on raw tables that are views over the order tables
+
+_HEX = "substr(md5(concat('{0}', CAST({1} AS VARCHAR))), 1, 16)"
+_HERE = "fight_id % 11 <> 0 AND fight_id % 500 <> 0"
+_SYNTHETIC = "concat('synthetic_', substr(sha256(lower({0})), 1, 16))"
+_NIGHT = "CASE WHEN fight_id % 500 = 0 THEN 'UFC - Road to UFC 4.6' ELSE concat('Night ', CAST(fight_id AS VARCHAR)) END"
+_EVENT_ID = f"CASE WHEN {_HERE} THEN {_HEX.format('e', 'fight_id')} ELSE {_SYNTHETIC.format(_NIGHT)} END"
+
+
+@query(BASE + f"""SELECT DISTINCT {_EVENT_ID} AS event_id, {_NIGHT} AS event_name, CAST(CASE WHEN {_HERE} THEN date WHEN fight_id % 500 = 0 THEN DATE '2025-08-22' END AS VARCHAR) AS date, CASE WHEN {_HERE} THEN 'Here' WHEN fight_id % 500 = 0 THEN 'Shanghai, Hebei, China' END AS location FROM bout""")
+def dataset_events(spark, sf):
+    """Nights with two ids keep the first; those that only the details name get one made up, and known dates."""
+    bouts = competition.bouts(spark, sf)
+    return _days(dataset.build_events(raw.events(bouts), raw.details(bouts)))
+
+
+def _built_fights(spark, sf, bouts):
+    names = keys.name_map(dataset.all_names(raw.fighters(spark, sf)), dataset.FIGHTER_ALIASES)
+    events = dataset.build_events(raw.events(bouts), raw.details(bouts))
+    return dataset.build_fights(raw.details(bouts), raw.results(bouts), events, names), names
+
+
+@query(BASE + f"""SELECT {_HEX.format('b', 'fight_id')} AS fight_id, {_EVENT_ID} AS event_id, {_HEX.format('f', 'f1')} AS fighter_1_id, {_HEX.format('f', 'f2')} AS fighter_2_id, concat('Fighter ', CAST(f1 AS VARCHAR)) AS fighter_1_name, CASE WHEN fight_id % 17 <> 0 THEN r1 ELSE '' END AS fighter_1_result, CASE WHEN fight_id % 17 <> 0 THEN r2 END AS fighter_2_result, CASE WHEN fight_id % 17 <> 0 THEN weight_class END AS weight_class, CASE WHEN fight_id % 17 <> 0 THEN CAST(fight_id % 5 + 1 AS INT) END AS ending_round FROM bout""")
+def dataset_fights(spark, sf):
+    """Details meet results, nights and names; of repeated rows the first counts."""
+    fights, _ = _built_fights(spark, sf, competition.bouts(spark, sf))
+    return fights.select("fight_id", "event_id", "fighter_1_id", "fighter_2_id", "fighter_1_name", "fighter_1_result", "fighter_2_result", "weight_class", "ending_round")
+
+
+@query(BASE + f"SELECT {_HEX.format('b', 'fight_id')} AS fight_id, {_HEX.format('f', 'fighter_id')} AS fighter_id, CAST(round AS INT) AS round, CAST(CAST(knockdowns AS BIGINT) AS VARCHAR) AS knockdowns, CASE WHEN takedowns_landed IS NOT NULL THEN concat(CAST(takedowns_landed AS VARCHAR), ' of ', CAST(takedowns_attempted AS VARCHAR)) END AS takedowns FROM stat")
+def dataset_rounds(spark, sf):
+    """Rounds find their fight by night and bout, and their fighter by name; placeholders and repeats go."""
+    bouts = competition.bouts(spark, sf)
+    fights, names = _built_fights(spark, sf, bouts)
+    rounds = dataset.build_round_stats(raw.stats(bouts, competition.rounds(spark, sf, bouts)), fights, names)
+    return rounds.select("fight_id", "fighter_id", "round", "knockdowns", "takedowns")
+
+
+@query("SELECT (SELECT count(*) = 0 FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AND (SELECT count(*) = 0 FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS customers, (SELECT count(*) = 0 FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AND (SELECT count(*) = 0 FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS orders")
+def key_sets(spark, sf):
+    """Whether two tables have the same keys."""
+    orders, lines = tables.table(spark, sf, "orders"), tables.table(spark, sf, "lineitem")
+    customers = keys.same_keys(tables.table(spark, sf, "customer").select("c_custkey"), orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    same = keys.same_keys(orders.select("o_orderkey"), lines.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+    return spark.range(1).select(F.lit(customers).alias("customers"), F.lit(same).alias("orders"))
+
+
+_LINES = "concat(c_name, CASE WHEN c_custkey % 3 = 0 THEN concat(chr(10), '\"second\" line, ') ELSE '' END)"
+
+
+@query(f"SELECT c_custkey, {_LINES} AS text, CASE WHEN c_custkey % 5 <> 2 THEN CAST(c_nationkey AS INT) END AS number, c_custkey % 5 = 2 AS is_corrupt, row_number() OVER (ORDER BY c_custkey) - 1 AS _ord FROM customer")
+def csv_scan(spark, sf):
+    """Written as CSV files with quoted line breaks and words where numbers belong, and read again with gapless numbers."""
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.expr(_LINES).alias("text"), F.expr("CASE WHEN c_custkey % 5 = 2 THEN 'many' ELSE cast(c_nationkey AS string) END").alias("number"))
+    folder = tables.new_folder(spark, "csv")
+    rows.repartitionByRange(4, "key").sortWithinPartitions("key").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    read = tables.read_csv(spark, folder, T.StructType([T.StructField("number", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("text", T.StringType())]), corrupt="line")
+    return read.select(F.col("key").alias("c_custkey"), "text", "number", F.col("line").isNotNull().alias("is_corrupt"), "_ord")
+
+
+@query(BASE + "SELECT 'bouts' AS name, count(*) AS n, sum(fight_id) AS keys FROM bout UNION ALL SELECT 'sides', count(*), sum(fight_id) FROM sides")
+def gated_write(spark, sf):
+    """Two tables are written through the gate; a second write, which a check refuses, leaves them as they are."""
+    fights, folder = competition.bouts(spark, sf), tables.new_folder(spark, "gate")
+    built = {"bouts": fights.select("fight_id", "fighter_1_id", "fighter_2_id"), "sides": features.sides(fights, ["fight_id", "date"])}
+    checks = lambda t: quality.long_table(t["sides"]).unionByName(quality.duplicate_keys(t["bouts"], ["fight_id"]))
+    tables.write_if_valid(spark, built, folder, checks)
+    try:
+        tables.write_if_valid(spark, {"bouts": built["bouts"].union(built["bouts"]), "sides": built["sides"].limit(0)}, folder, checks)
+        raise AssertionError("repeated keys were written")
+    except ValueError:
+        pass
+    each = [tables.table(spark, folder, k).agg(F.lit(k).alias("name"), F.count("*").alias("n"), F.sum("fight_id").alias("keys")) for k in built]
+    return each[0].unionByName(each[1])
+
+
 # Features and history
 
 _OUT_STATS = [*SUMS, "rounds_with_stats"]
@@ -305,6 +382,16 @@ def canonical_pairs(spark, sf):
     return features.canonical(competition.bouts(spark, sf)).select("fight_id", "fighter_1_id", "fighter_2_id", "fighter_1_result", "fighter_2_result")
 
 
+_ANY = ["knockdowns", "significant_strikes_landed", CONTROL]
+
+
+@query(BASE + f"SELECT fight_id, {', '.join(f'coalesce(bool_or({c} IS NOT NULL), false) AS has_{c}' for c in _ANY)}, count(DISTINCT fighter_id) AS sides FROM stat GROUP BY fight_id")
+def availability(spark, sf):
+    """Which statistics any round of a bout has."""
+    numbers = features.numeric_rounds(competition.rounds(spark, sf))
+    return features.any_present(numbers, ["fight_id"], _ANY, F.countDistinct("fighter_id").alias("sides"))
+
+
 def _history(spark, sf):
     return history.fight_history(competition.long(spark, sf))
 
@@ -494,6 +581,20 @@ def recency_sweep(spark, sf):
     return _rounded(_recency(spark, sf), _METRICS)
 
 
+_THREE = {k: _SWEEP[k] for k in ("baseline_v0.1", "scale_200", "provisional_5")}
+
+
+@query(BASE + _sweep_sql(_THREE) + " SELECT * FROM swept")
+def sweep_resumed(spark, sf):
+    """One config is written first; a second run adds the others, and a third has nothing to do."""
+    fights, folder = tables.cut(competition.bouts(spark, sf)), tables.new_folder(spark, "sweep")
+    first = dict([next(iter(_THREE.items()))])
+    runs = [experiments.resume_sweep(fights, configs, folder) for configs in (first, _THREE, _THREE)]
+    if runs != [list(first), [k for k in _THREE if k not in first], []]:
+        raise AssertionError(f"walked {runs}")
+    return _rounded(experiments.written_sweep(spark, folder, FIRST, STEP), _METRICS)
+
+
 @query(BASE + _sweep_sql(_YEARS) + " SELECT * FROM swept WHERE fold = 'pooled' ORDER BY log_loss, config")
 def leaderboard(spark, sf):
     return _rounded(experiments.leaderboard(_recency(spark, sf)), _METRICS)

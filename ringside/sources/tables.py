@@ -147,6 +147,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; nothing is there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, into the shared folder, and cut the lineage: a lost executor costs no more than what came since."""
     shared_folder(df.sparkSession)
