@@ -230,16 +230,20 @@ def coefficients(fitted: Fit, model: str, fold: str) -> list[tuple[str, str, str
     return [(model, fold, n, c, abs(c)) for n, c in zip(fitted.preparation.names, fitted.coefficients)]
 
 
-def temporal_experiment(historical: DataFrame, first: date, step_years: int, models: dict[str, list[str]] | None = None, scale: bool = True, folds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def temporal_experiment(historical: DataFrame, first: date, step_years: int, models: dict[str, list[str] | str] | None = None, scale: bool = True, folds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, coefficients): each fold is predicted by models fitted on what was before it.
 
     historical: date, target, elo_probability and the features; rows without a target are left
-    out. folds: named ones (evaluate.in_folds), else steps of years. A model without features is the Elo
-    probability. A fold without both classes before it has no fitted models.
+    out. models: features, or the column of a probability that is there; no features stand for
+    elo_probability. folds: named ones (evaluate.in_folds), else steps of years. A fold without both classes
+    before it has no fitted models.
     """
     models = FEATURE_SETS if models is None else models
     spark = historical.sparkSession
-    needed = sorted({c for f in models.values() for c in f} | ({"elo_probability"} if any(not f for f in models.values()) else set()))
+    ready = {name: own or "elo_probability" for name, own in models.items() if not own or isinstance(own, str)}
+    models = {name: own for name, own in models.items() if name not in ready}
+    features = sorted({c for own in models.values() for c in own})
+    needed = sorted({*features, *ready.values()})
     rows = historical.filter("target is not null and date is not null").select("fight_id", "date", "target", *needed)
     if folds is None:
         rows = rows.withColumn("start", fold_start(F.col("date"), first, step_years)).withColumn("fold", F.col("start").cast("string"))
@@ -252,20 +256,19 @@ def temporal_experiment(historical: DataFrame, first: date, step_years: int, mod
     member = F.filter(F.array(*[F.when(F.col("date") < F.lit(s), F.lit(k)) for k, s in enumerate(starts)]), lambda k: k.isNotNull()) if starts else F.array().cast("array<int>")
     rows = rows.withColumn("member", member)
     classes = {(r["set"], r["target"]) for r in rows.select(F.explode("member").alias("set"), "target").distinct().collect()}
-    fitted = {name: own for name, own in models.items() if own}
-    wanted = {k: fitted for k in range(len(starts)) if fitted and {(k, 0), (k, 1)} <= classes}
+    wanted = {k: models for k in range(len(starts)) if models and {(k, 0), (k, 1)} <= classes}
     fits = fit_all(rows, wanted, scale=scale) if wanted else {}
     weights = [w for (k, name), fit in fits.items() for w in coefficients(fit, name, told[k]["fold"])]
     # a row for each fold and model; a fold's rows meet those of their own fold
-    lines = [(told[k]["fold"], name, *fit.line(needed)) for (k, name), fit in fits.items()]
-    lines += [(r["fold"], name, None, None, None, None) for r in told for name, own in models.items() if not own]
+    lines = [(told[k]["fold"], name, *fit.line(features)) for (k, name), fit in fits.items()]
+    lines += [(r["fold"], name, None, None, None, None) for r in told for name in ready]
     table = spark.createDataFrame(lines, "fold string, model string, base double, slope array<double>, jump array<double>, fill array<double>")
     z = F.col("base")
-    for j, c in enumerate(needed):
+    for j, c in enumerate(features):
         x = F.col(c).cast("double")
         z = z + F.col("slope")[j] * F.coalesce(x, F.col("fill")[j]) + F.col("jump")[j] * x.isNull().cast("double")
     p = 1 / (1 + F.exp(-z))
-    if any(not own for own in models.values()):
-        p = F.when(F.col("base").isNull(), F.col("elo_probability").cast("double")).otherwise(p)
+    for name, c in ready.items():
+        p = F.when(F.col("model") == name, F.col(c).cast("double")).otherwise(p)
     predicted = rows.join(F.broadcast(table), "fold")
     return predicted.select("model", "fold", "fight_id", "date", F.col("target").alias("y"), p.alias("p")), spark.createDataFrame(weights, "model string, fold string, feature string, coefficient double, abs_coefficient double")
