@@ -191,9 +191,8 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
 def gains(spark: SparkSession, raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, gain) of every bucket: floor(1000 ln) of the ratio of smoothed shares in target and raw counts."""
     told = spark.range(buckets).withColumnRenamed("id", "bucket").join(raw.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    told = told.crossJoin(F.broadcast(raw.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_s")))).crossJoin(F.broadcast(target.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_t"))))
-    double = lambda c, more: (F.col(c) + more).cast("double")
-    share = double("t", 1) * double("all_s", buckets) / (double("s", 1) * double("all_t", buckets))
+    all_s, all_t = (float((counts.agg(F.sum("n")).first()[0] or 0) + buckets) for counts in (raw, target))
+    share = (F.col("t") + 1).cast("double") * all_s / ((F.col("s") + 1).cast("double") * all_t)
     return told.select("bucket", F.floor(1000 * F.log(share)).cast("long").alias("gain"))
 
 
