@@ -44,7 +44,7 @@ def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     said = F.unhex(F.sha2(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text), 256))
     rows = conversations.filter(F.col(conv_col).isNotNull()).select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), said.alias("said"), F.char_length(text).cast("long").alias("size"))
     at = F.row_number().over(Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "said")).cast("long")
-    return rows.select("conv", at.alias("at"), "said", "size")
+    return cut(rows.select("conv", at.alias("at"), "said", "size"))  # narrow; texts are read once
 
 
 def members(rows: DataFrame) -> DataFrame:
