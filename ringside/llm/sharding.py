@@ -6,9 +6,9 @@ source in proportion, so equal cuts give shards that match the mixture, with row
 most one apart.
 
 Neither ranking sorts a source, or the table, in one task: the shuffled order is dealt into
-`bins` ranges of the hash, counts per (source, bin) give each bin's first rank, and rows are
-ranked within a bin only. The fractional order is cut into `bins` equal ranges in the same
-way. What crosses the network is a narrow row per document, never its text.
+ranges of the hash, counts per (source, range) give each range's first rank, and rows are
+ranked within a range only. The fractional order is cut into equal ranges in the same way. There are as many
+ranges as keep a range at BIN_ROWS rows or so. What crosses the network is a narrow row per document, never its text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, whole_row
 
 STEP = 4096  # equal rows that are told apart at once
+LEAST_BINS, BIN_ROWS = 1024, 1 << 20
 
 
 def _starts(df: DataFrame, by: list[str], many: Column) -> DataFrame:
@@ -29,21 +30,25 @@ def _starts(df: DataFrame, by: list[str], many: Column) -> DataFrame:
     return counts.select(*by, "bin", before.alias("before"), F.sum("n").over(group).alias("every"))
 
 
-def interleave(rows: DataFrame, shards: int, source_col: str = "source", order: Column | None = None, seed: int = 7, bins: int = 1024, id_col: str = "doc_id") -> DataFrame:
+def interleave(rows: DataFrame, shards: int, source_col: str = "source", order: Column | None = None, seed: int = 7, bins: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """`rows` with shard and slot (the place within the shard, gapless from 0).
 
     rows: narrow rows (ids and figures, no texts); all columns are kept, whatever their names,
     but for own ones named shard and slot. order: more columns that tell rows of one id apart.
     A null source is a source of its own, a null id like an empty one. Rows that are equal in
     all columns are interchangeable: they are counted first, take consecutive ranks, and each gets a place.
-    Fewer rows than shards leave shards empty; an empty table gives an empty result.
+    Fewer rows than shards leave shards empty; an empty table gives an empty result. bins: the number
+    of ranges, else it follows from the number of rows.
     """
     if shards < 1:
         raise ValueError("there must be at least one shard")
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), order if order is not None else F.lit("")))
     mixed = rows.select(whole_row(rows), source.alias("source"), digest.alias("digest")).groupBy("row", "source", "digest").agg(F.count("*").alias("times"))
-    mixed = cut(mixed.withColumn("bin", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * bins / (1 << 32)).cast("long")))
+    mixed = cut(mixed)
+    if bins is None:
+        bins = max(LEAST_BINS, (mixed.agg(F.sum("times")).first()[0] or 0) // BIN_ROWS)
+    mixed = mixed.withColumn("bin", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * bins / (1 << 32)).cast("long"))
     starts = _starts(mixed, ["source"], F.col("times"))
     in_bin = Window.partitionBy("source", "bin").orderBy("digest", f"row.`{id_col}`").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = mixed.join(starts, ["source", "bin"]).withColumn("rank", F.col("before") + F.sum("times").over(in_bin) - F.col("times"))

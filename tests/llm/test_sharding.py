@@ -63,3 +63,13 @@ def test_many_equal_rows_and_columns_of_any_name(spark, monkeypatch):
     assert len(found) == 600 and max(counts.values()) - min(counts.values()) <= 1
     assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in sorted(counts) for k in range(counts[s])]
     assert all(abs(sum(r.source == "b" for r in found if r.shard == s) - 100 / 7) <= 2 for s in counts)
+
+
+def test_the_number_of_ranges_changes_nothing(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    placed = lambda: sorted(tuple(r) for r in sharding.shard_documents(docs).select("doc_id", "shard", "slot").collect())
+    want = placed()
+    monkeypatch.setattr(sharding, "LEAST_BINS", 3)
+    assert placed() == want
+    monkeypatch.setattr(sharding, "BIN_ROWS", 2)
+    assert placed() == want
