@@ -194,3 +194,36 @@ def test_chain_against_plain_loops(spark):
         w, bias = w - 0.5 * grad / np.sqrt(seen), bias - 0.5 * gb / math.sqrt(seen_b)
     assert np.allclose([m.weights[k] for k in sorted(m.weights)], w[:-1]) and m.extra[0] == pytest.approx(w[-1]) and m.bias == pytest.approx(bias)
     assert np.allclose(m.margins(x, before), [m.margin(set(r.tolist()), list(b)) for r, b in zip(rows, before)])
+
+
+def halves(spark):
+    """Documents, and two halves of their labels."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    return docs, labels.filter(half == 0), labels.filter(half == 1)
+
+
+def test_quality_of_documents_whose_labels_were_not_trained_on(spark):
+    docs, train, test = halves(spark)
+    found = quality.assess(docs, quality.fit(docs, train)).filter("not base_failed").join(test.withColumnRenamed("doc_id", "id"), "id")
+    got = {(r.quality, r.kept): r["count"] for r in found.groupBy("quality", "kept").count().collect()}
+    good, bad = sum(n for (q, _), n in got.items() if q == 1), sum(n for (q, _), n in got.items() if q == 0)
+    # two hundred labels teach little: with ten thousand, all of 8,399 good documents are kept (README)
+    assert good >= 100 and got.get((1, True), 0) >= 0.8 * good
+    assert bad >= 5 and got.get((0, True), 0) <= 0.25 * bad
+
+
+def test_toxicity_of_documents_whose_labels_were_not_trained_on(spark):
+    from pyspark.sql import functions as F
+
+    docs, train, test = halves(spark)
+    chain = toxicity.fit(docs, train, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    found = toxicity.classify(docs, chain).select("id", F.col("toxic").alias("found")).join(test.withColumnRenamed("doc_id", "id"), "id")
+    got = {(r.toxic, r.found): r["count"] for r in found.groupBy("toxic", "found").count().collect()}
+    toxic, clean = sum(n for (t, _), n in got.items() if t == 1), sum(n for (t, _), n in got.items() if t == 0)
+    # trained on 25 toxic labels
+    assert toxic >= 5 and got.get((1, True), 0) >= 0.6 * toxic
+    assert clean >= 100 and got.get((0, True), 0) <= 0.05 * clean
