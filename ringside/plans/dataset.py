@@ -78,13 +78,13 @@ def build_round_stats(stats: DataFrame, fights: DataFrame, names: DataFrame) ->
     )
     owners = fights.select("event_name", text.normalize_text(F.col("bout")).alias("bout_key"), "fight_id", "_ord")
     dealt = keys.assign_blocks(rows, owners, ["event_name", "bout_key"], "fight_id")
-    dealt = keys.resolve(dealt, names, "fighter_name", "fighter_id")
+    dealt = tables.cut(keys.resolve(dealt, names, "fighter_name", "fighter_id"))  # the checks read it, and the result
     key, values = ["fight_id", "fighter_id", "round"], [*COUNTS, *PAIRS, *PERCENTAGES, "control_time"]
     bad = {"unresolved fight": "fight_id", "unresolved fighter": "fighter_id", "bad round": "round"}
-    lost = {k: dealt.filter(F.col(c).isNull()).limit(1).count() for k, c in bad.items()}
-    lost["conflicting duplicates"] = keys.conflicting_duplicates(dealt, key, values).limit(1).count()
+    lost = dealt.agg(*[F.coalesce(F.max(F.col(c).isNull()), F.lit(False)).alias(k) for k, c in bad.items()]).first().asDict()
+    lost["conflicting duplicates"] = not keys.conflicting_duplicates(dealt, key, values).isEmpty()
     if any(lost.values()):
-        raise ValueError("round statistics: " + ", ".join(k for k, n in lost.items() if n))
+        raise ValueError("round statistics: " + ", ".join(k for k, is_there in lost.items() if is_there))
     return keys.first_wins(dealt, key).select(*key[:2], "fighter_name", "round", *values)
 
 

@@ -282,7 +282,7 @@ _EVENT_ID = f"CASE WHEN {_HERE} THEN {_HEX.format('e', 'fight_id')} ELSE {_SYNTH
 @query(BASE + f"""SELECT DISTINCT {_EVENT_ID} AS event_id, {_NIGHT} AS event_name, CAST(CASE WHEN {_HERE} THEN date WHEN fight_id % 500 = 0 THEN DATE '2025-08-22' END AS VARCHAR) AS date, CASE WHEN {_HERE} THEN 'Here' WHEN fight_id % 500 = 0 THEN 'Shanghai, Hebei, China' END AS location FROM bout""")
 def dataset_events(spark, sf):
     """Nights with two ids keep the first; those that only the details name get one made up, and known dates."""
-    bouts = competition.bouts(spark, sf)
+    bouts = tables.cut(competition.bouts(spark, sf))
     return _days(dataset.build_events(raw.events(bouts), raw.details(bouts)))
 
 
@@ -295,14 +295,14 @@ def _built_fights(spark, sf, bouts):
 @query(BASE + f"""SELECT {_HEX.format('b', 'fight_id')} AS fight_id, {_EVENT_ID} AS event_id, {_HEX.format('f', 'f1')} AS fighter_1_id, {_HEX.format('f', 'f2')} AS fighter_2_id, concat('Fighter ', CAST(f1 AS VARCHAR)) AS fighter_1_name, CASE WHEN fight_id % 17 <> 0 THEN r1 ELSE '' END AS fighter_1_result, CASE WHEN fight_id % 17 <> 0 THEN r2 END AS fighter_2_result, CASE WHEN fight_id % 17 <> 0 THEN weight_class END AS weight_class, CASE WHEN fight_id % 17 <> 0 THEN CAST(fight_id % 5 + 1 AS INT) END AS ending_round FROM bout""")
 def dataset_fights(spark, sf):
     """Details meet results, nights and names; of repeated rows the first counts."""
-    fights, _ = _built_fights(spark, sf, competition.bouts(spark, sf))
+    fights, _ = _built_fights(spark, sf, tables.cut(competition.bouts(spark, sf)))
     return fights.select("fight_id", "event_id", "fighter_1_id", "fighter_2_id", "fighter_1_name", "fighter_1_result", "fighter_2_result", "weight_class", "ending_round")
 
 
 @query(BASE + f"SELECT {_HEX.format('b', 'fight_id')} AS fight_id, {_HEX.format('f', 'fighter_id')} AS fighter_id, CAST(round AS INT) AS round, CAST(CAST(knockdowns AS BIGINT) AS VARCHAR) AS knockdowns, CASE WHEN takedowns_landed IS NOT NULL THEN concat(CAST(takedowns_landed AS VARCHAR), ' of ', CAST(takedowns_attempted AS VARCHAR)) END AS takedowns FROM stat")
 def dataset_rounds(spark, sf):
     """Rounds find their fight by night and bout, and their fighter by name; placeholders and repeats go."""
-    bouts = competition.bouts(spark, sf)
+    bouts = tables.cut(competition.bouts(spark, sf))  # all raw tables are views of it
     fights, names = _built_fights(spark, sf, bouts)
     rounds = dataset.build_round_stats(raw.stats(bouts, competition.rounds(spark, sf, bouts)), fights, names)
     return rounds.select("fight_id", "fighter_id", "round", "knockdowns", "takedowns")
