@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HISTORY, PERCENTAGES
+from ..sources.tables import cut
 
 
 ORDER = ("date", "fight_id", "fighter_id")
@@ -94,6 +95,7 @@ def strength_of_schedule(bouts: DataFrame, initial: float = 1500.0, block: str |
     Only bouts with a winner may be given; without an earlier one the mean is `initial`. block: see
     prior().
     """
+    bouts = cut(bouts)  # read for both sides, and for the result: ratings are walked once
     view = lambda a, b: F.struct(F.lit(a).alias("side"), F.col(f"fighter_{a}_id").alias("fighter_id"), F.col(f"rating_{b}_before").alias("opponent_rating"))
     long = bouts.select("fight_id", "date", F.inline(F.array(view(1, 2), view(2, 1))))
     met = prior(long, {"met": F.col("opponent_rating")}, ("date", "fight_id"), block)

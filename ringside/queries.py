@@ -519,7 +519,7 @@ def elo_shared_k(spark, sf):
 SELECT r.fight_id, round(x.sos, 6) AS sos_1_before, round(y.sos, 6) AS sos_2_before, round(before_1 - before_2, 6) AS elo_difference, round(x.sos - y.sos, 6) AS sos_difference
 FROM rated r JOIN met_before x ON x.fight_id = r.fight_id AND x.side = 1 JOIN met_before y ON y.fight_id = r.fight_id AND y.side = 2""")
 def sos(spark, sf):
-    rated = ratings.elo(competition.bouts(spark, sf), {"own": _OWN}, ratings.SHARED_K)
+    rated = ratings.elo(competition.bouts(spark, sf), {"own": _OWN}, ratings.SHARED_K, only=["rating_1_before", "rating_2_before"])
     return history.strength_of_schedule(rated).select("fight_id", r6("sos_1_before"), r6("sos_2_before"), r6("elo_difference"), r6("sos_difference"))
 
 
@@ -738,7 +738,7 @@ def impute_scale_differences(spark, sf):
 
 
 def _historical(spark, sf):
-    fights = competition.bouts(spark, sf)
+    fights = tables.cut(competition.bouts(spark, sf))
     return experiments.historical(fights, features.numeric_rounds(competition.rounds(spark, sf, fights)))
 
 
@@ -805,7 +805,7 @@ _COMBINED, _COMBINED_ROWS = _models_sql({"M0": ("past_own", []), "M4": ("past_ow
     + f", f AS (WITH {_metric_sql(_COMBINED_ROWS, 'model, fold', evaluate.LEAST_MODEL).replace('round(', '(').replace(', 6)', ')')}) SELECT model, fold, n, {', '.join(s6(c) for c in _METRICS)} FROM f UNION ALL SELECT model, 'pooled', CAST(sum(n) AS BIGINT), {', '.join(f'round(sum({c} * n) / sum(n), 6)' for c in _METRICS)} FROM f GROUP BY model"
 )
 def combined_recency(spark, sf):
-    fights = competition.bouts(spark, sf)
+    fights = tables.cut(competition.bouts(spark, sf))
     return _rounded(experiments.combined(fights, features.numeric_rounds(competition.rounds(spark, sf, fights)), FIRST, 2, (2.0,)), _METRICS)
 
 
