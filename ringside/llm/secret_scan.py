@@ -4,6 +4,9 @@ Three patterns give the base spans (see KINDS). Beside them, every run of 20 or
 characters of the kind that keys are written in is scored with two character Markov models:
 the log-likelihood of its character pairs under a model of random strings, less that under a
 model of ordinary identifiers, per pair. Runs above the threshold are spans of kind `random`.
+A unit that repeats at once counts once, and a run that has fewer than 20 characters then, or
+fewer different ones than a key would, is ordinary: pairs alone don't tell a periodic run, or one
+of few letters, from a random one.
 
 Both models are counts of character pairs in labelled samples: random strings are digests
 written in the usual alphabets, ordinary ones are runs of the corpus
@@ -32,7 +35,12 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: What a key may be written in; runs of it are candidates. Others than these end a run.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+#: A unit of up to 16 characters, repeated at once so often that chance doesn't explain it in any alphabet of keys.
+REPEATED = r"(.)\1{7,}|(..)\2{3,}|(.{3,16}?)\3{2,}"
+#: Different characters that a key has at least: of 20 hexadecimal digits, one run in some 50,000 has fewer.
+LEAST_MARKS = 7
 
 SMOOTH = 20.0  # pairs that a prior distribution counts as
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -217,9 +225,19 @@ def log_ratio(run: Column, model: Markov) -> Column:
     return total / F.greatest(F.char_length(run) - 1, F.lit(1))
 
 
+def is_random(run: Column, model: Markov) -> Column:
+    """Whether a run, its repeated units written once, is long and varied enough for a key, and random to the models."""
+
+    def told(once: Column) -> Column:
+        varied = F.size(F.array_distinct(F.split(once, ""))) >= LEAST_MARKS
+        return (F.char_length(once) >= LEAST_RUN) & varied & (log_ratio(once, model) >= model.threshold)
+
+    return _let(F.regexp_replace(run, REPEATED, "$1$2$3"), told)
+
+
 def random_spans(text: Column, model: Markov) -> Column:
     """Spans of runs that the models find random."""
-    return spans(text, RUN, 3, keep=lambda run: log_ratio(run, model) >= model.threshold)
+    return spans(text, RUN, 3, keep=lambda run: is_random(run, model))
 
 
 def scan(docs: DataFrame, model: Markov, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

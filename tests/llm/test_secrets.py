@@ -78,6 +78,7 @@ def test_many_matches_in_one_text(spark):
 ORDINARY = [
     "-" * 20, "_" * 40, "=" * 24, "/" * 30, "+" + "-----+" * 5, "-=" * 15, "12345678901234567890", "3141592653589793238462643383279",
     "2024-01-15-2024-01-15", "2024/01/15/2023/12/31/", "img-20240115-123456-001", "report_2023-11-30_final_v2", "backup/2024/01/15/daily-0001", "this_is_an_ordinary_name",
+    "x1y2z3x1y2z3x1y2z3x1y2z3", "ATGCGATCGATCGGCTAGCTAGCTAGCTAGGAT", "Zq7" * 9, "kX9wQ2" * 40, "GATTACA" * 5,
 ]
 RANDOM = ["x7Gq2LpZ9vT4mKc8RwY1bN5sHd3FjQ6a", "QmFzZTY0+x9Zk3pV/7tRw2LsYhUe8Dn", "K7QX2MZP9RTV4W8YB3NC6HJD", "9f86d081884c7d659a2feaa0c5", "zq8vkx3wj5tb7mn2ph6rc9fd4gs"]
 
@@ -93,6 +94,22 @@ def test_rules_dates_and_numbers_are_no_secrets(spark, small):
         assert all(kept[k] == f"see {x} here" for k, x in enumerate(ORDINARY))
 
 
+def test_repeats_count_once(spark, small):
+    model = secret_scan.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    key = RANDOM[0]
+    rows = [("x1y2z3" * 2 + key, True), (key + "-" * 60, True), (key[:19], False), (key[:17] + "aaaaaaaaaaaa", False), (key * 3, True), ("0Aa1Bb" * 20_000, False), (key * 5_000, True), ("", False)]
+    df = spark.createDataFrame([(k, run) for k, (run, _) in enumerate(rows)], "k int, run string")
+    began = time.time()
+    assert {r.k: r.told for r in df.select("k", secret_scan.is_random(F.col("run"), model).alias("told")).collect()} == {k: told for k, (_, told) in enumerate(rows)}
+    assert time.time() - began < 30
+
+
+def test_least_marks_by_chance():
+    rng = random.Random(2)
+    few = sum(len({rng.randrange(16) for _ in range(20)}) < secret_scan.LEAST_MARKS for _ in range(100_000))
+    assert few <= 20
+
+
 def brute_ratio(run, model):
     at = [secret_scan.ALPHABET.find(c) for c in run]
     pairs = [(a, b) for a, b in zip(at, at[1:]) if a >= 0 and b >= 0]
