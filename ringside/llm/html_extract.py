@@ -346,7 +346,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
 
     At most `sample` pages (the first in the order of a hash of the id) give the driver at
     most `per_page` blocks each, drawn by a hash of their text and place; only this training is
-    bounded, never the extraction. Pages without telling markup leave the prior weights.
+    bounded, never the extraction. Pages without telling markup, and an empty table, leave the
+    prior weights. A null page counts as an empty one; repeated pages count as often as they are drawn;
+    pages are read whole, however long; other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
 

@@ -78,7 +78,11 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long; a null text counts as empty."""
+    """(id, fp): the fingerprint of every row as a signed long.
+
+    A null text counts as empty; texts are read whole, however long; null ids stay; repeated rows
+    give repeated rows; an empty table gives an empty result; other columns are ignored.
+    """
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), _fingerprints(text_of(text_col)).alias("fp"))
 
@@ -315,7 +319,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` with one row of each group left: that with the smallest id.
 
     Of rows with that id but different texts, the one whose text has the least hash is left;
-    of rows that are equal in both, one. Null texts count as empty.
+    of rows that are equal in both, one. Null texts count as empty; a null id comes after all
+    others; texts are read whole, however long; an empty table stays empty; all columns stay.
     """
     return first_of_groups(docs, _groups(docs, id_col, text_col, radius, blocks, chunk), id_col, text_col)
 

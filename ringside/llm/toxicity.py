@@ -306,8 +306,8 @@ def scorer(spark, chain: Chain):
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, p_<category>..., <category>...) of every row: probabilities and decisions.
 
-    A null, empty or wordless text gets the probabilities of a text without features; repeated
-    rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+    A null, empty or wordless text gets the probabilities of a text without features; texts are
+    read whole, however long; repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
     found = docs.select(F.col(id_col).alias("id"), scorer(docs.sparkSession, chain)(text_col).alias("p"))
     out = [F.round(F.col("p")[j], 6).alias(f"p_{k}") for j, k in enumerate(chain.categories)]
