@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import cut
 
 
 def first_wins(df: DataFrame, keys: list[str], order: str | list[str] = "_ord") -> DataFrame:
@@ -27,10 +28,38 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def conflicting_duplicates(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(keys, conflicts): keys whose rows differ in some value; null differs from a value."""
-    kinds = [F.countDistinct(c) + F.max(F.col(c).isNull().cast("int")) for c in values]
-    several = reduce(Column.__add__, [(k > 1).cast("int") for k in kinds])
-    return df.groupBy(*keys).agg(several.alias("conflicts")).filter("conflicts > 0")
+    """(keys, conflicts): keys whose rows differ in some value; null differs from a value.
+
+    Keys that occur once are left out first, by a pass over the keys alone; the others need the least and the
+    greatest value of each column, so that no row is multiplied by the number of columns.
+    """
+    several = df.groupBy(*[F.col(c).alias(f"__key_{c}") for c in keys]).agg(F.count("*").alias("__n")).filter("__n > 1")
+    rows = df.join(several, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys], "left_semi")
+    differs = lambda c: (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
+    conflicts = reduce(Column.__add__, [F.coalesce(differs(c), F.lit(False)).cast("int") for c in values])
+    return rows.groupBy(*keys).agg(conflicts.alias("conflicts")).filter("conflicts > 0")
+
+
+MOST_BROADCAST = 4_000_000  # row numbers, or names
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, written and marked for a broadcast if it has at most MOST_BROADCAST rows (an action)."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def repeats(df: DataFrame, keys: list[str], order: str | list[str] = "_ord") -> tuple[DataFrame, DataFrame]:
+    """(`df` with the number __at of each row, (__at, __place) of the rows whose key occurs more than once).
+
+    `df` must be written already (sources.tables.cut), so that numbers stay. Only keys and order are
+    shuffled; whole rows meet few() numbers where they are.
+    """
+    order = [order] if isinstance(order, str) else order
+    numbered = df.withColumn("__at", F.monotonically_increasing_id())
+    by = Window.partitionBy(*keys)
+    places = {"__n": F.count("*").over(by), "__place": F.row_number().over(by.orderBy(*order, "__at"))}
+    return numbered, few(numbered.select(*dict.fromkeys([*keys, *order]), "__at").withColumns(places).filter("__n > 1").select("__at", "__place"))
 
 
 def is_unique(df: DataFrame, keys: list[str]) -> bool:
@@ -114,9 +143,11 @@ def assign_blocks(rows: DataFrame, owners: DataFrame, on: list[str], owner: str,
     fails if k does not divide n. Rows without an owner are kept with null.
     """
     by = Window.partitionBy(*on)
-    ranked = owners.select(*on, owner, F.row_number().over(by.orderBy(owner_order, owner)).alias("__rank"), F.count("*").over(by).alias("__owners"))
-    sizes = ranked.filter("__rank = 1").select(*on, "__owners")
-    placed = rows.withColumn("__n", F.count("*").over(by)).withColumn("__row", F.row_number().over(by.orderBy(order))).join(sizes, on, "left")
+    # one row a key, so that rows meet their owners where the window has put them
+    listed = owners.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(F.col(owner_order).alias("at"), F.col(owner).alias("owner")))).alias("__owners"))
+    placed = rows.withColumn("__n", F.count("*").over(by)).withColumn("__row", F.row_number().over(by.orderBy(order))).join(listed, on, "left")
     uneven = F.raise_error(F.concat(F.lit("rows can't be dealt evenly: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
-    rank = F.when(F.col("__n") % F.col("__owners") == 0, F.floor((F.col("__row") - 1) / (F.col("__n") / F.col("__owners"))).cast("int") + 1).when(F.col("__owners").isNull(), F.lit(None)).otherwise(uneven.cast("int"))
-    return placed.withColumn("__rank", rank).join(ranked.drop("__owners"), [*on, "__rank"], "left").drop("__rank", "__n", "__row", "__owners")
+    many = F.size("__owners")
+    own = F.get("__owners", F.floor((F.col("__row") - 1) / (F.col("__n") / many)).cast("int"))["owner"]
+    dealt = F.when(F.col("__owners").isNull(), F.lit(None)).when(F.col("__n") % many == 0, own).otherwise(uneven.cast(owners.schema[owner].dataType))
+    return placed.withColumn(owner, dealt).drop("__n", "__row", "__owners")

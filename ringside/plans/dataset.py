@@ -82,10 +82,11 @@ def build_round_stats(stats: DataFrame, fights: DataFrame, names: DataFrame) ->
     key, values = ["fight_id", "fighter_id", "round"], [*COUNTS, *PAIRS, *PERCENTAGES, "control_time"]
     bad = {"unresolved fight": "fight_id", "unresolved fighter": "fighter_id", "bad round": "round"}
     lost = dealt.agg(*[F.coalesce(F.max(F.col(c).isNull()), F.lit(False)).alias(k) for k, c in bad.items()]).first().asDict()
-    lost["conflicting duplicates"] = not keys.conflicting_duplicates(dealt, key, values).isEmpty()
+    numbered, again = keys.repeats(dealt, key)
+    lost["conflicting duplicates"] = not keys.conflicting_duplicates(numbered.join(again, "__at", "left_semi"), key, values).isEmpty()
     if any(lost.values()):
         raise ValueError("round statistics: " + ", ".join(k for k, is_there in lost.items() if is_there))
-    return keys.first_wins(dealt, key).select(*key[:2], "fighter_name", "round", *values)
+    return numbered.join(again.filter("__place > 1"), "__at", "left_anti").select(*key[:2], "fighter_name", "round", *values)
 
 
 def build(spark: SparkSession, raw_folder: str) -> dict[str, DataFrame]:
@@ -93,7 +94,7 @@ def build(spark: SparkSession, raw_folder: str) -> dict[str, DataFrame]:
     paths = {k: f"{raw_folder}/{k}.csv" for k in RAW}
     tables.must_exist(spark, *paths.values())
     raw = {k: tables.read_csv(spark, p, RAW[k]) for k, p in paths.items()}
-    names = keys.name_map(all_names(raw["fighter_details"]), FIGHTER_ALIASES).persist()
+    names = keys.few(keys.name_map(all_names(raw["fighter_details"]), FIGHTER_ALIASES))
     events = build_events(raw["event_details"], raw["fight_details"])
     fights = build_fights(raw["fight_details"], raw["fight_results"], events, names).persist()
     rounds = build_round_stats(raw["fight_stats"], fights, names)

@@ -131,3 +131,24 @@ def test_a_key_that_occurs_twice_fails_the_join(spark):
     assert {(r.k, r.v) for r in keys.unique(df.filter("v <> 'c'"), ["k"], "rows").collect()} == {(1, "a"), (2, "b")}
     with pytest.raises(Exception, match="occurs twice"):
         keys.unique(df, ["k"], "rows").collect()
+
+
+def test_conflicts_multiply_no_rows(spark):
+    """Distinct counts of several columns would write each row once for every column."""
+    df = spark.createDataFrame([(1, "x", 1.0, None), (1, "x", float("nan"), 1), (2, "y", float("nan"), 1), (2, "y", float("nan"), 1), (None, "a", 0.0, 1), (None, "b", -0.0, 1), (3, None, None, 1)], "k int, v string, w double, x int")
+    found = keys.conflicting_duplicates(df, ["k"], ["v", "w", "x"])
+    assert {r.k: r.conflicts for r in found.collect()} == {1: 2, None: 1}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeats_shuffle_no_whole_rows(spark, monkeypatch):
+    df = tables.cut(spark.createDataFrame([(k % 7 or None, f"v{k}", k // 2) for k in range(40)] + [(99, "once", 0)], "k int, v string, _ord int").repartition(4))
+    want = {(r.k, r._ord) for r in keys.first_wins(df, ["k"]).collect()}
+    for most in (keys.MOST_BROADCAST, 3):
+        monkeypatch.setattr(keys, "MOST_BROADCAST", most)
+        numbered, again = keys.repeats(df, ["k"])
+        assert again.count() == 40
+        got = numbered.join(again.filter("__place > 1"), "__at", "left_anti")
+        assert {(r.k, r._ord) for r in got.collect()} == want and got.count() == 8
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert ("ResolvedHint" in plan) == (most > 3)
