@@ -3,6 +3,7 @@
 import random
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ringside.operators import ratings
@@ -64,3 +65,39 @@ def test_leagues_are_walked_in_several_tasks(spark):
     assert len(tasks(ratings.elo(bouts(spark, 6), configs))) == 2
     found = tasks(ratings.elo(bouts(spark, 6), configs, apart=True))
     assert len(found) >= 6 and len({r["task"] for r in found}) == len(found)
+
+
+def test_rounds_go_over_ids_not_edges(spark):
+    """Many bouts of a few competitors leave a spanning forest for the rounds."""
+    from ringside.operators import components
+
+    edges = pd.DataFrame([(max(a, b), min(a, b)) for a in range(40) for b in range(40) for _ in range(3)], columns=["u", "v"])
+    left = pd.concat(components._forest(iter([edges[:2000], edges[2000:]])))
+    assert len(left) < 2 * 40 and set(left["u"]) | set(left["v"]) == set(range(40)) and set(plain(left.values.tolist()).values()) == {0}
+
+
+def test_queries_walk_leagues_apart(spark):
+    """A table of several leagues isn't walked in one task."""
+    from ringside.plans import experiments
+
+    df = bouts(spark, 5)
+    seen = []
+    plain_elo = ratings.elo
+
+    def noted(*a, **b):
+        seen.append(b.get("apart"))
+        return plain_elo(*a, **b)
+
+    ratings.elo = noted
+    try:
+        experiments.sweep(df, {"a": ratings.EloConfig()}, date(2000, 1, 1), 1)
+    finally:
+        ratings.elo = plain_elo
+    assert seen == [True]
+
+
+def test_a_bout_without_one_side_stays_with_the_other(spark):
+    rows = [(0, date(2000, 1, 1), None, "x", "L", "W", None), (1, date(2000, 1, 2), "x", "y", "W", "L", None), (2, date(2000, 1, 3), "p", "q", "W", "L", None)]
+    df = spark.createDataFrame(rows, bouts(spark, 2).schema)
+    whole, apart = ratings.elo(df, {"a": ratings.EloConfig()}), ratings.elo(df, {"a": ratings.EloConfig()}, apart=True)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
