@@ -86,3 +86,18 @@ def test_scores(spark):
     assert round(num(scores.win_rate_probability(L(0.6), L(0.2))), 9) == 0.75
     assert round(num(scores.glicko_expected(L(1500.0), L(1400.0), L(30.0))), 3) == 0.639 or round(num(scores.glicko_expected(L(1500.0), L(1400.0), L(30.0))), 4) == 0.6395
     assert num(scores.decay(L(1461), 4.0)) == 0.5
+
+
+def test_strict_parsers_take_padded_texts(spark):
+    rows = [("p", "  5 of 10\t"), ("p", "5 of 10\n"), ("p", None), ("q", " 50.5% "), ("q", "\t---"), ("q", " "), ("c", " 1:35\x1c"), ("c", "-- "), ("c", "1:35")]
+    want = {"p": [(5, 10), (5, 10), (None, None)], "q": [50.5, None, None], "c": [95, None, 95]}
+    make = {"p": lambda c: F.struct(*text.landed_attempted(c)), "q": text.percentage, "c": text.clock_seconds}
+    for k, f in make.items():
+        own = spark.createDataFrame([r for r in rows if r[0] == k], "k string, c string").coalesce(1)
+        assert [tuple(v) if k == "p" else v for (v,) in own.select(f(F.col("c"))).collect()] == want[k]
+
+
+def test_only_unmatched_texts_are_stripped(spark):
+    """Stripping took most of the time of the parsers: it stands behind the first match."""
+    plan = spark.range(1).select(text.landed_attempted(F.col("id").cast("string"))[0].alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_replace")
