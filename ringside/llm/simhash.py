@@ -235,12 +235,14 @@ def _compare(radius: int, words: list[str]):
 def compare(keyed: DataFrame, radius: int, chunk: int = 1024) -> DataFrame:
     """(a, b): links that connect all rows v that share a bucket (c, key) and are within `radius`.
 
-    keyed: (c, key, v, and the words of v's fingerprint). Buckets of one row end here; large
-    ones are cut into chunks.
+    keyed: (c, key, v, and the words of v's fingerprint); also n, if the rows of each bucket are counted
+    already. Buckets of one row end here; large ones are cut into chunks.
     """
-    words = [c for c in keyed.columns if c not in ("c", "key", "v")]
-    sizes = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    several = keyed.join(sizes, ["c", "key"])
+    words = [c for c in keyed.columns if c not in ("c", "key", "v", "n")]
+    if "n" in keyed.columns:
+        several = keyed.filter("n > 1")
+    else:
+        several = keyed.join(keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["c", "key"])
     dealt = several.withColumn("chunks", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64("v"), "chunks"))
     met = dealt.select("c", "key", "v", *words, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
         F.col("c").cast("long").alias("c"),
@@ -325,12 +327,25 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return first_of_groups(docs, _groups(docs, id_col, text_col, radius, blocks, chunk), id_col, text_col)
 
 
+#: Most (id, text_hash) that are broadcast.
+MOST_BROADCAST = 1_000_000
+
+
 def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the first row of each group; groups: (id, text_hash, first) of every row."""
-    own = groups.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
-    first = cut(own.groupBy(F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash")).agg(F.count("*").alias("rows")))
-    same = docs[id_col].eqNullSafe(first["first_id"]) & (F.xxhash64(text_of(docs[text_col])) == first["first_hash"])
-    kept = docs.join(first, same, "left_semi")
+    """`docs` with the first row of each group; groups: (id, text_hash, first) of every row.
+
+    The ids that stay, or those that go if they are fewer, are broadcast, so no text is shuffled unless
+    both are more than MOST_BROADCAST.
+    """
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # rows that are equal in both stay or go together
+    told = cut(groups.select("id", "text_hash", stays.alias("stays")).groupBy(F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash")).agg(F.max("stays").alias("stays"), F.count("*").alias("rows")))
+    first, gone = told.filter("stays"), told.filter("not stays")
+    stay, go = told.agg(F.count_if("stays"), F.count_if(~F.col("stays"))).first()
+    few, how = (first, "left_semi") if stay <= go or go > MOST_BROADCAST else (gone, "left_anti")
+    few = F.broadcast(few) if min(stay, go) <= MOST_BROADCAST else few
+    same = docs[id_col].eqNullSafe(few["first_id"]) & (F.xxhash64(text_of(docs[text_col])) == few["first_hash"])
+    kept = docs.join(few, same, how)
     if first.filter("rows > 1").isEmpty():
         return kept
     marked = kept.select(whole_row(kept), F.col(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("hash"))
