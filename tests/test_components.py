@@ -101,3 +101,22 @@ def test_a_bout_without_one_side_stays_with_the_other(spark):
     df = spark.createDataFrame(rows, bouts(spark, 2).schema)
     whole, apart = ratings.elo(df, {"a": ratings.EloConfig()}), ratings.elo(df, {"a": ratings.EloConfig()}, apart=True)
     assert sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_configs_of_many_leagues_share_a_task(spark):
+    """Bouts are shuffled once for all configs, not once for each."""
+    configs = ratings.candidate_configs()
+    assert ratings._packs(list(configs), 1, 12) == [[k] for k in configs] and ratings._packs(list(configs), 360, 12) == [list(configs)]
+    df = bouts(spark, 20)
+    apart = ratings.elo(df, configs, apart=True).withColumn("task", F.spark_partition_id())
+    found = apart.groupBy("task").agg(F.countDistinct("config").alias("n")).collect()
+    assert len(found) > 4 and {r["n"] for r in found} == {len(configs)}
+    whole = ratings.elo(df, configs)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, apart.drop("task").collect()))
+
+
+def test_leagues_are_sought_once(spark, monkeypatch):
+    df = ratings.with_leagues(bouts(spark, 6))
+    monkeypatch.setattr(ratings, "connected", None)
+    configs = {"a": ratings.EloConfig()}
+    assert sorted(map(str, ratings.elo(df, configs, apart=True).collect())) == sorted(map(str, ratings.elo(df.drop("league"), configs).collect()))

@@ -76,3 +76,29 @@ def test_temporal_experiment_skips_what_it_cannot_train(spark):
     got = {(r.model, r.fold): r.n for r in evaluate.metrics(told, ["model", "fold"]).collect()}
     assert ("f", "2000-01-01") not in got and got[("f", "2001-01-01")] == 10 and got[("base", "2000-01-01")] == 10
     assert weights.count() == 3
+
+
+def test_metrics_in_slices_against_all_pairs(spark, monkeypatch):
+    """Rows of several groups are written once, shuffled in slices, and leave nothing behind."""
+    import random
+    from pathlib import Path
+
+    from ringside.sources.tables import shared_folder
+
+    rng = random.Random(3)
+    for values in ([0.1, 0.25, 0.5, 0.8], None):  # few and many probabilities
+        rows = [(rng.choice("ab"), rng.choice(["x", None]), rng.randrange(2), rng.choice(values) if values else rng.random()) for _ in range(300)]
+        df = spark.createDataFrame(rows, "model string, fold string, y int, p double").withColumn("fold", F.array_compact(F.array("fold", F.lit("all"))))
+        monkeypatch.setattr(evaluate, "SLICE_ROWS", 100)
+        monkeypatch.setattr(evaluate, "TASK_ROWS", 30)
+        shared = Path(shared_folder(spark).removeprefix("file:"))
+        before = set(shared.rglob("*.parquet"))
+        got = {(r.model, r.fold): r for r in evaluate.metrics(df, ["model", "fold"], many="fold").collect()}
+        assert set(shared.rglob("*.parquet")) <= before
+        assert set(got) == {(m, f) for m in "ab" for f in ("x", "all")}
+        for (m, f), r in got.items():
+            own = [(y, p) for k, g, y, p in rows if k == m and f in (g, "all")]
+            pairs = [(p > q) + (p == q) / 2 for y, p in own if y for z, q in own if not z]
+            assert r.n == len(own) and r.roc_auc == pytest.approx(sum(pairs) / len(pairs))
+            assert r.brier_score == pytest.approx(sum((y - p) ** 2 for y, p in own) / len(own))
+            assert r.accuracy == pytest.approx(sum((p >= 0.5) == (y == 1) for y, p in own) / len(own))
