@@ -164,3 +164,14 @@ def test_one_folder_for_each_config(spark, tmp_path):
     assert {p.name for p in (tmp_path / "rated").iterdir() if p.is_dir()} == {f"config={k}" for k in configs}
     back = spark.read.parquet(str(tmp_path / "rated"))
     assert back.filter("config = 'baseline'").count() == 30 and back.count() == 60
+
+
+def test_what_a_walk_gives_leaves_it_as_arrow(spark):
+    rated = ratings.elo(bouts(spark, random_rows(50)), {"a": EloConfig(half_life_years=2.0)}, apart=True)
+    plan = rated._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    got = rated.orderBy("date", "fight_id").collect()
+    walk = ratings.EloWalk(EloConfig(half_life_years=2.0), ratings.PRODUCTION)
+    rows = bouts(spark, random_rows(50)).orderBy("date", "fight_id").collect()
+    want = [walk.step(r.date.toordinal(), r.fighter_1_id, r.fighter_2_id, r.fighter_1_result, r.fighter_2_result, r.division) for r in rows]
+    assert [tuple(r[n] for n, _ in ratings.ELO_FIELDS) for r in got] == want
