@@ -227,3 +227,38 @@ def test_toxicity_of_documents_whose_labels_were_not_trained_on(spark):
     # trained on 25 toxic labels
     assert toxic >= 5 and got.get((1, True), 0) >= 0.6 * toxic
     assert clean >= 100 and got.get((0, True), 0) <= 0.05 * clean
+
+
+def test_quality_counts_all_trusted_texts(spark):
+    n = 6600
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('a w', id % 7) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    model = quality.fit(docs, labels, bits=12)
+    counted = labels.filter("pmod(xxhash64(cast(doc_id as string), 'threshold'), 5) <> 0").count()
+    assert counted > 5000
+    reader = quality.Reader()
+    at = reader.ngrams(reader.ids(b"a"), 12)
+    assert model.log_ratio[at[0]] == pytest.approx(math.log((counted + 1) / (3 * counted + 4096)) - math.log((n + 1) / (3 * n + 4096)), abs=1e-6)
+
+
+def plain_threshold(good, bad, lose):
+    if not good:
+        return -math.inf
+    top = sorted(good)[int(lose * len(good))]
+    if not bad:
+        return top
+    gain = lambda c: sum(x < c for x in bad) / len(bad) - sum(x < c for x in good) / len(good)
+    best = max(((gain(c), c) for c in {*good, *bad} if c <= top))[1]
+    below = [x for x in (*good, *bad) if x < best]
+    return (best + max(below)) / 2 if below else best
+
+
+def test_threshold_against_all_cuts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for step, lose, n_good, n_bad in ((1e-3, 0.002, 400, 60), (0.05, 0.1, 60, 300), (10.0, 0.3, 50, 50), (0.01, 0.0, 1, 5), (0.01, 0.1, 30, 0), (0.01, 0.1, 0, 30)):
+        monkeypatch.setattr(quality, "SCORE_STEP", step)
+        good, bad = np.round(rng.normal(0.3, 0.2, n_good), 2).tolist(), np.round(rng.normal(-0.1, 0.3, n_bad), 2).tolist()
+        count = Counter(good), Counter(bad)
+        rows = [(x, count[0][x], count[1][x]) for x in {*good, *bad}]
+        got = quality._cut(spark.createDataFrame(rows, "score double, good long, bad long"), lose)
+        assert got == pytest.approx(plain_threshold(good, bad, lose), abs=1e-12)
